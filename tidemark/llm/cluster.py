@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` now in the session's shared folder (``spark.checkpoint.dir``).
-
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; one of our own is set only where
+    the session names none, as in tests."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return folder or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` now in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -105,4 +105,5 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     groups = near_groups(docs, id_col, text_col, shingle).select(F.col(f"`{id_col}`").alias("_id"), F.col("component_id").alias("_best"))
     gone = small(cut(groups.where(~F.col("_id").eqNullSafe(F.col("_best"))).select("_id").distinct()))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
+    return rows.join(gone, F.col("_key").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
