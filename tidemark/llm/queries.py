@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup as exact
-from tidemark.llm import mixing, packing, quality, simhash, token_counts
+from tidemark.llm import chat, mixing, packing, quality, sharding, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,46 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(added))
+    chats = chat.format_chat(turns, chat.text_part(F.col("text")))
+    read = chats.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+#: Escaping adds one character for each backslash and for each control string; the marks of a turn are 24 characters and its role.
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '', ''))
+    + len(regexp_extract_all(text, '<\|(im_start|im_end|image|audio|document|endoftext|startoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>')) AS body
+  FROM c
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+    CAST(sum(body + length(role) + 24) AS BIGINT) AS formatted_chars
+  FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.encode(text, "utf-8")))
+    dims = {"source": sharding.string_place(F.col("source")), "lang": sharding.string_place(F.col("lang")), "n_chars": sharding.number_place(F.col("n_chars"))}
+    out = sharding.kd_shards(docs, F.octet_length(text) + 1, dims, shards=16, carry=("text_crc32",))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -54,6 +94,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_sharding": op2_sharding,
     "op4_packing": op4_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
@@ -61,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL}
