@@ -52,7 +52,7 @@ def delta_class(delta: Column) -> Column:
 
 def billions(column: Column) -> Column:
     """Dollars in billions with two decimals; null as N/A."""
-    return F.coalesce(F.concat(F.lit("$"), F.format_string("%.2f", column / F.lit(1e9)), F.lit("B")), F.lit("N/A"))
+    return F.when(column.isNull(), "N/A").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", column / F.lit(1e9)), F.lit("B")))
 
 
 def or_na(column: Column) -> Column:

@@ -72,7 +72,7 @@ def snapshots(spark: SparkSession, repo: str, files: list[str]) -> DataFrame:
 
 def first_available(rows: DataFrame, usable=None) -> DataFrame:
     """Of each commit the first file, by number, that is usable (by default: has a line after its header)."""
-    fit = usable if usable is not None else F.size(F.split(F.trim("content"), "\n")) > 1
+    fit = usable if usable is not None else F.col("content").rlike(r"\n\s*\S")
     return first_rows(rows.where(fit), ["commit_hash"], [F.col("file_num")])
 
 

@@ -37,9 +37,8 @@ def metadata(df: DataFrame, key: str, **more: int | str) -> DataFrame:
 
 def write_metadata(df: DataFrame, path: str, key: str, **more: int | str) -> dict:
     """Writes it as one text file, and returns it."""
-    made = metadata(df, key, **more)
-    made.coalesce(1).write.mode("overwrite").text(path)
-    return json.loads(made.first()["value"])
+    metadata(df, key, **more).coalesce(1).write.mode("overwrite").text(path)
+    return read_metadata(df.sparkSession, path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict:
