@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import json
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import cut
-from tidemark.llm.texts import codes, slices, sums, words
+from tidemark.llm.texts import bounded, codes, slices, sums, words
 
 #: Words whose ids a worker remembers, over all its tasks; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Bytes of text tokenised at once.
-BATCH_BYTES = 8 << 20
-#: Letters that are their own canonical composition and whose lower case is one letter, and closing marks.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+BATCH_BYTES = 4 << 20
+#: Letters that are their own canonical composition and whose lower case is one letter, and marks (no apostrophe) behind them.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,24 +35,27 @@ class WordIds:
     """Token ids of words by a ``tokenizers`` file, remembered word by word.
 
     The vocabulary splits words at white space, so a text's ids are those of its words in turn. A word of
-    plain letters and closing marks is two pre-tokens; the letters go straight to the merges. All other words
+    plain letters and marks behind them is two pre-tokens; the letters go straight to the merges. All other words
     go through the file's whole pipeline.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        bare = json.loads(self.whole.to_str()) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}
-        self.merges = Tokenizer.from_str(json.dumps(bare))
+        self.merges = Tokenizer(self.whole.model)  # the same merges in memory, without what splits and normalises
         self.letters = byte_letters()
         self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
 
     def _learn(self, parts: list[str], tokenizer) -> None:
         texts = parts if tokenizer is self.whole else [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in parts]
-        for part, got in zip(parts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(got.ids, dtype=self.dtype).tobytes()
+        ids = [got.ids for got in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        data, width, at = np.fromiter(chain.from_iterable(ids), dtype=self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0
+        for part, got in zip(parts, ids, strict=True):
+            self.known[part] = data[at : at + width * len(got)]
+            at += width * len(got)
 
     def of(self, distinct: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
@@ -108,7 +112,7 @@ def encode(text: pa.Array, tokenizer: WordIds, end_id: int) -> tuple[np.ndarray,
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path: str | None, end_id: int) -> DataFrame:
     """Rows (id, ids binary, n long, part int, before long): ``before`` counts the ids of the rows before it in its task."""
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    narrow = bounded(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, before, part = ids_of(path or default_path()), 0, TaskContext.get().partitionId()

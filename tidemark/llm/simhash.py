@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import components, cut, small
-from tidemark.llm.texts import slices, sums, words
+from tidemark.llm.texts import bounded, slices, sums, words
 
 #: Fingerprint bits, and those of one of the two segments.
 BITS, SEGMENT = 64, 32
@@ -47,7 +47,7 @@ def fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """Rows (id, fingerprint long), one per row of ``docs``."""
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    narrow = bounded(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):

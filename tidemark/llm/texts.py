@@ -7,10 +7,23 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that a task holds in working arrays at once; a longer single text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
+#: Bytes of rows that Spark sends to a Python worker at once, in the session of every operator that uses Arrow.
+ARROW_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches limited to ARROW_BYTES where they could be larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df
+
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of about ``limit`` bytes of ``column``; nulls there become empty texts."""

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.texts import codes, slices, sums
+from tidemark.llm.texts import bounded, codes, slices, sums
 
 #: The mark that stands for a space.
 SPACE = "▁"
@@ -172,7 +172,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has no tokens; a null id stays. Repeated rows are counted each; extra columns are ignored; an empty table
     gives an empty result. Control strings in a text are ordinary text, as in the library.
     """
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    narrow = bounded(docs).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = merges_of(path or default_path())
