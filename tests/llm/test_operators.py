@@ -9,7 +9,7 @@ import pytest
 from edges import EDGE, SCHEMA
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, html_text, licenses, mixing, packing, quality, queries, sharding, simhash, token_counts
+from tidemark.llm import chat, exact_dedup, html_text, licenses, mixing, packing, quality, queries, sharding, similar, simhash, token_counts
 from tidemark.llm.cluster import components, positions
 
 SF = "/root/testdata/sf0.001"
@@ -384,6 +384,44 @@ def test_pipeline(spark, docs):
     check_packing([(i, text[i]) for i, k in times.items() for _ in range(k)], out, 2048)
 
 
+def test_near_stage_finds_all_pairs_of_the_similarity(spark):
+    import corpus_pipeline
+
+    rnd, texts = random.Random(9), []
+    line = " ".join(f"common{k}" for k in range(30))
+    for k in range(25):  # chains of edits, of sizes that give similarities on both sides of 0.8
+        base = [rnd.choice("abcdefghijklmnop") + str(rnd.randrange(60)) for _ in range(rnd.randrange(20, 160))]
+        for _ in range(6):
+            texts.append(" ".join(base) + (" " + line if k % 2 else ""))
+            for _ in range(rnd.randrange(1, 4)):
+                base[rnd.randrange(len(base))] = f"new{rnd.randrange(10**6)}"
+    hot = [f"hot{k}" for k in range(80)]
+    texts += [" ".join([*hot, f"end{k}"]) for k in range(120)] + [line] * 5 + ["", None, " ", "two words", "Two  Words", "a b c d e"]
+    given = list(enumerate(texts))
+    grams = lambda t: {" ".join(w[i : i + 5]) for w in [(t or "").lower().split()] if w for i in range(max(len(w) - 4, 1))}
+    sets, up = [grams(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+                linked += sets[i] != sets[j]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    assert linked > 100 and dict(rows(similar.groups(df))) == {i: root(i) for i in range(len(texts))}
+    left = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, SF).collect()}
+    assert left == {i for i in range(len(texts)) if root(i) == i}
+    twice = spark.createDataFrame([(None, texts[0]), (7, texts[0]), (7, texts[0]), (None, "alone")], "doc_id long, text string")
+    assert key(rows(similar.groups(twice))) == key([(None, 7), (7, 7), (7, 7), (None, None)])
+
+
 def test_empty_pipeline(spark, docs):
     import corpus_pipeline
 

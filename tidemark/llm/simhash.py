@@ -20,8 +20,8 @@ BITS, SEGMENT = 64, 32
 BATCH_BYTES = 1 << 20
 
 
-def fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
-    """The SimHash of each text as int64: over ``shingle``-word shingles, repeats included, XXH64 with seed 42."""
+def shingle_hashes(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 with seed 42 of each text's ``shingle``-word shingles, repeats included, and the number of each text."""
     flat, bounds = words(pc.ascii_lower(text))
     sizes = np.diff(bounds)
     data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), " ")[0].as_buffer().to_pybytes() if len(flat) else b""
@@ -35,8 +35,15 @@ def fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
     last = first + np.minimum(sizes, shingle)[of] - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(data[s:e], 42) for s, e in zip(starts[first].tolist(), ends[last].tolist(), strict=True)], dtype=np.uint64)
+    return hashes, counts
+
+
+def fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
+    """The SimHash of each text as int64, over its ``shingle``-word shingles."""
+    hashes, counts = shingle_hashes(text, shingle)
+    at = np.concatenate(([0], np.cumsum(counts)))
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    result = np.zeros(len(sizes), dtype=np.uint64)
+    result = np.zeros(len(counts), dtype=np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         ones = np.add.reduceat(bits, at[:-1][some], axis=0, dtype=np.int32)
