@@ -251,6 +251,20 @@ def test_quality_spares_clean_documents(spark):
     assert share[1] > 0.99 and share[0] < 0.2
 
 
+def test_quality_ignores_hot_copies(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    alone = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    far = max((r for r in alone.values() if r["kept"] and r["n_words"] >= 45), key=lambda r: r["word_distance"] or 0)["doc_id"]
+    hot = df.where(F.col("doc_id") == far).crossJoin(spark.range(2 * len(alone)).withColumnRenamed("id", "k"))
+    copies = hot.select((-1 - F.col("k")).alias("doc_id"), "text", "lang")
+    crowd = {r["doc_id"]: r["kept"] for r in quality.judge(df.unionByName(copies)).collect()}
+    assert {i: crowd[i] for i in alone} == {i: r["kept"] for i, r in alone.items()}
+    assert all(k == alone[far]["kept"] for i, k in crowd.items() if i < 0)
+    near = hot.select((-1 - F.col("k")).alias("doc_id"), F.concat_ws(" ", "text", F.concat(F.lit("copy"), "k")).alias("text"), "lang")
+    crowd = {r["doc_id"]: r["kept"] for r in quality.judge(df.unionByName(near)).collect()}
+    assert sum(crowd[i] != r["kept"] for i, r in alone.items()) <= 0.002 * len(alone)
+
+
 # 7
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ WINDOW = 5
 class Limits:
     """Base limits (words, percent of words in repeated windows) and those of the divergence verdict.
 
-    A document is compared only if it has ``guard_words`` words and its language has ``guard_docs`` documents.
+    A document is compared only if it has ``guard_words`` words and its language has ``guard_docs`` documents that are not near copies.
     It fails if a Jensen-Shannon distance (0 to 1) exceeds its limit plus its noise factor times what
     sampling so few characters or words from the reference would give.
     """
@@ -66,6 +67,23 @@ def repeated(word: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.cumsum(covered[:-1]) > 0
 
 
+def sketches(word: np.ndarray, of: np.ndarray, distinct: pa.Array, n: int) -> np.ndarray:
+    """The least hash of each text's windows of WINDOW words, mostly the same for near copies; 0 for shorter texts."""
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.array([digest(x) for x in distinct.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+    least = np.zeros(n, dtype=np.uint64)
+    starts = len(word) - WINDOW + 1
+    at = np.flatnonzero(of[:starts] == of[WINDOW - 1 :]) if starts > 0 else np.zeros(0, dtype=np.int64)
+    if len(at):
+        mixed = np.zeros(len(at), dtype=np.uint64)
+        for k in range(WINDOW):
+            mixed = (mixed ^ hashes[word[at + k]]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        first = np.flatnonzero(np.diff(of[at], prepend=-1))
+        least[of[at[first]]] = np.minimum.reduceat(mixed, first)
+    return least.view(np.int64)
+
+
 def features(text: pa.Array, lang: list[str | None]) -> dict[str, np.ndarray | list]:
     """Counters and histograms of each text."""
     n = len(text)
@@ -97,6 +115,7 @@ def features(text: pa.Array, lang: list[str | None]) -> dict[str, np.ndarray | l
     return {
         "n_words": np.diff(bounds), "word_chars": sums(chars[word], bounds), "n_symbols": per_class[:, SYMBOLS], "n_dup_lines": dup[:n],
         "n_repeat_words": sums(repeated(word, of), bounds), "chars": per_class.tolist(), "common": common.tolist(),
+        "sketch": sketches(word, of, distinct, n), "digest": [xxhash.xxh3_128_digest(x) for x in text.cast(pa.binary()).to_pylist()],
     }
 
 
@@ -109,11 +128,11 @@ def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str, carry: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             got = features(batch.column("text"), batch.column("lang").to_pylist())
-            arrays = [batch.column("id"), batch.column("lang"), *[batch.column(f"c_{c}") for c in carry], *[pa.array(got[c], pa.int64()) for c in COUNTERS], *[pa.array(got[c], pa.list_(pa.int64())) for c in ("chars", "common")]]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "lang", *[f"c_{c}" for c in carry], *COUNTERS, "chars", "common"])
+            arrays = [batch.column("id"), batch.column("lang"), *[batch.column(f"c_{c}") for c in carry], *[pa.array(got[c], pa.int64()) for c in COUNTERS], *[pa.array(got[c], pa.list_(pa.int64())) for c in ("chars", "common")], pa.array(got["sketch"], pa.int64()), pa.array(got["digest"], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "lang", *[f"c_{c}" for c in carry], *COUNTERS, "chars", "common", "sketch", "digest"])
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text"]
-    return narrow.mapInArrow(run, ", ".join([*kept, *[f"{c} bigint" for c in COUNTERS], "chars array<bigint>", "common array<bigint>"]))
+    return narrow.mapInArrow(run, ", ".join([*kept, *[f"{c} bigint" for c in COUNTERS], "chars array<bigint>", "common array<bigint>", "sketch bigint", "digest binary"]))
 
 
 def shares(histogram: str) -> Column:
@@ -131,22 +150,32 @@ def distance(p: str, q: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), (side(p) + side(q)) / 2))
 
 
-def references(rows: DataFrame, limits: Limits) -> DataFrame:
-    """For each language the mean shares over its documents: (ref_lang, ref_docs, ref_chars, ref_common), a row a language."""
+def distinct_texts(rows: DataFrame, limits: Limits) -> DataFrame:
+    """What ``references`` and the verdict need of each distinct text of a language that may stand in its reference."""
     usable = rows.where(~F.col("base_failed") & (F.col("n_words") >= limits.guard_words))
+    same = [F.first(c).alias(c) for c in ("n_words", "word_chars", "base_failed", "chars", "common", "sketch")]
+    return usable.groupBy("lang", "digest").agg(*same).drop("digest")
 
-    def mean(histogram: str, n: int) -> Column:
-        return F.array(*[F.avg(F.col(histogram)[i]) for i in range(n)]).alias(f"ref_{histogram}")
 
-    width = max(len(v.split()) for v in COMMON.values()) + 1
-    return usable.groupBy(F.col("lang").alias("ref_lang")).agg(F.count(F.lit(1)).alias("ref_docs"), mean("chars", len(CLASSES) + 1), mean("common", width))
+def references(texts: DataFrame) -> DataFrame:
+    """For each language the mean shares over its groups of near copies: (ref_lang, ref_docs, ref_chars, ref_common), a row a language.
+
+    Distinct texts of one sketch are a group and weigh as one document, so neither copies nor near copies vouch for themselves.
+    """
+    width = {"chars": len(CLASSES) + 1, "common": max(len(v.split()) for v in COMMON.values()) + 1}
+
+    def means(names: dict[str, list[Column]]) -> list[Column]:
+        return [F.array(*[F.avg(x) for x in values]).alias(name) for name, values in names.items()]
+
+    groups = texts.groupBy("lang", "sketch").agg(*means({h: [F.col(h)[i] for i in range(n)] for h, n in width.items()}))
+    return groups.groupBy(F.col("lang").alias("ref_lang")).agg(F.count(F.lit(1)).alias("ref_docs"), *means({f"ref_{h}": [F.col(h)[i] for i in range(n)] for h, n in width.items()}))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, the ``carry`` columns, the counters, base_failed, char_distance, word_distance, kept.
 
-    A first pass counts every whole text. The character classes and common words of the documents of each
-    language that pass the base rules give its reference; then documents beyond the limits leave the
+    A first pass counts every whole text. The character classes and common words of the distinct documents of
+    each language that pass the base rules give its reference, near copies together weighing as one; then documents beyond the limits leave the
     reference and it is taken again, ``trims`` times, so that junk does not vouch for itself. Words are
     compared only in languages with a list of common words.
 
@@ -159,7 +188,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = cut(measured.withColumns({"base_failed": failed, "chars": shares("chars"), "common": shares("common")}))
     listed = F.col("lang").isin(*COMMON)
 
-    def compared(reference: DataFrame) -> DataFrame:
+    def compared(rows: DataFrame, reference: DataFrame) -> DataFrame:
         both = rows.join(small(reference, 2000), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
         enough = (F.col("n_words") >= limits.guard_words) & (F.col("ref_docs") >= limits.guard_docs)
         both = both.withColumn("char_distance", F.when(enough, distance("chars", "ref_chars")))
@@ -172,10 +201,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         far = (F.col("char_distance") > limits.char_distance + noise(limits.char_noise, "chars", "word_chars")) | (F.col("word_distance") > limits.word_distance + noise(limits.word_noise, "common", "n_words"))
         return both.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
-    reference = cut(references(rows, limits))
+    texts = cut(distinct_texts(rows, limits))
+    reference = cut(references(texts))
     for _ in range(limits.trims):
-        reference = cut(references(compared(reference).where("kept").select(*rows.columns), limits))
-    out = compared(reference)
+        reference = cut(references(compared(texts, reference).where("kept").select(*texts.columns)))
+    out = compared(rows, reference)
     return out.select(F.col("id").alias(id_col), *[F.col(f"c_{c}").alias(c) for c in carry], *COUNTERS, "base_failed", "char_distance", "word_distance", "kept")
 
 
