@@ -66,6 +66,28 @@ def near(rows, shingle=3):
     return [(i, f"{p:016x}", best.get(c)) for (i, _), p, c in zip(rows, prints, comp, strict=True)]
 
 
+def alike(texts, shingle=5):
+    """For each text the least index of its component, over pairs whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = WORD.findall((t or "").lower())
+        sets.append({" ".join(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1))} if words else set())
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
 def counters(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

@@ -381,7 +381,8 @@ def test_pipeline(spark, docs):
     given = rows(docs.select("doc_id", "text", "lang"))
     good = [(i, t) for (i, t, _), k in zip(given, brute.verdicts(given, quality.Limits(), quality.COMMON, quality.CLASSES), strict=True) if k]
     ids = {i for i, _, _, k, _ in brute.exact(good) if k}
-    ids = {i for i, _, c in brute.near([x for x in good if x[0] in ids], 5) if i == c}
+    left = [x for x in good if x[0] in ids]
+    ids = {i for (i, _), c in zip(left, brute.alike([t for _, t in left]), strict=True) if i == left[c][0]}
     out = corpus_pipeline.run(spark, SF).collect()
     source = dict(rows(docs.select("doc_id", "source")))
     left = [(i, t, source[i]) for i, t in good if i in ids]
@@ -398,9 +399,14 @@ def test_pipeline(spark, docs):
     check_packing([(i, text[i]) for i, k in times.items() for _ in range(k)], out, 2048)
 
 
-def test_near_stage_finds_all_pairs_of_the_similarity(spark):
+@pytest.mark.parametrize("block", [similar.BLOCK, 7])
+def test_near_stage_finds_all_pairs_of_the_similarity(spark, monkeypatch, block):
     import corpus_pipeline
 
+    monkeypatch.setattr(similar, "BLOCK", block)
+    if block == 7:
+        monkeypatch.setattr(similar, "PAIRS", 50)
+
     rnd, texts = random.Random(9), []
     line = " ".join(f"common{k}" for k in range(30))
     for k in range(25):  # chains of edits, of sizes that give similarities on both sides of 0.8
@@ -409,29 +415,18 @@ def test_near_stage_finds_all_pairs_of_the_similarity(spark):
             texts.append(" ".join(base) + (" " + line if k % 2 else ""))
             for _ in range(rnd.randrange(1, 4)):
                 base[rnd.randrange(len(base))] = f"new{rnd.randrange(10**6)}"
+    base = [f"base{k}" for k in range(120)]
+    for _ in range(90):  # a dense group of which some are similar, most are nearly so
+        texts.append(" ".join(f"x{rnd.randrange(10**6)}" if rnd.random() < 0.04 else w for w in base))
     hot = [f"hot{k}" for k in range(80)]
     texts += [" ".join([*hot, f"end{k}"]) for k in range(120)] + [line] * 5 + ["", None, " ", "two words", "Two  Words", "a b c d e"]
     given = list(enumerate(texts))
-    grams = lambda t: {" ".join(w[i : i + 5]) for w in [(t or "").lower().split()] if w for i in range(max(len(w) - 4, 1))}
-    sets, up = [grams(t) for t in texts], list(range(len(texts)))
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    linked = 0
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = sorted((root(i), root(j)))
-                up[b] = a
-                linked += sets[i] != sets[j]
+    root = brute.alike(texts)
+    linked = len(texts) - len(set(root))
     df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
-    assert linked > 100 and dict(rows(similar.groups(df))) == {i: root(i) for i in range(len(texts))}
+    assert linked > 100 and dict(rows(similar.groups(df))) == dict(enumerate(root))
     left = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, SF).collect()}
-    assert left == {i for i in range(len(texts)) if root(i) == i}
+    assert left == {i for i in range(len(texts)) if root[i] == i}
     twice = spark.createDataFrame([(None, texts[0]), (7, texts[0]), (7, texts[0]), (None, "alone")], "doc_id long, text string")
     assert key(rows(similar.groups(twice))) == key([(None, 7), (7, 7), (7, 7), (None, None)])
 

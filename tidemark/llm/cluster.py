@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most this many (narrow) rows, else Spark picks a shuffle join.
 BROADCAST_ROWS = 200_000
+#: Bitmaps of 4 KB that may be broadcast.
+BITMAPS = 8_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; one of our own is set only where
-    the session names none, as in tests."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where the session names none, a local
+    session (driver and tasks in one process, as in tests) gets one of its own; on a cluster that is an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
@@ -32,6 +36,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is not in ``gone`` (one column of distinct ids; a null id names null ids).
+
+    Up to BROADCAST_ROWS ids are sent to the tasks as they are, more as bitmaps of 32,768 ids each if those have at
+    most BITMAPS of them (integer ids that lie close), so that rows with their texts stay where they are; only beyond
+    that the rows are shuffled by id.
+    """
+    gone = cut(gone.toDF("_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
+    many = gone.count() > BROADCAST_ROWS
+    if many and gone.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        number, place = F.bitmap_bucket_number, F.bitmap_bit_position
+        maps = cut(gone.where("_id IS NOT NULL").groupBy(number("_id").alias("_n")).agg(F.bitmap_construct_agg(place("_id")).alias("_bits")))
+        if maps.count() <= BITMAPS:
+            if not gone.where("_id IS NULL").isEmpty():
+                rows = rows.where("_key IS NOT NULL")
+            both = rows.join(F.broadcast(maps), number("_key") == F.col("_n"), "left")
+            byte = F.conv(F.hex(F.substring("_bits", F.floor(place("_key") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            listed = F.getbit(byte, (place("_key") % 8).cast("int")) == 1
+            return both.where(~F.coalesce(listed, F.lit(False))).select("_row.*")
+    gone = gone if many else F.broadcast(gone)
+    return rows.join(gone, F.col("_key").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
