@@ -163,3 +163,49 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
         if not more:
             return {s: cap * sizes[s] if s in capped else weight[s] * level for s in order}
         capped |= more
+
+
+def style_trees(pages):
+    """pages: (host, html) -> {host: Low}, by the definitions of importance, page by page and branch by branch."""
+    from tidemark.llm import html_text as h
+
+    out = {}
+    for host in {x for x, _ in pages}:
+        distinct = {}
+        for x, page in pages:
+            if x == host:
+                blocks, styles = h.parse(page)
+                distinct.setdefault("\n".join(b.text for b in blocks if b.kind in (h.MAIN, h.OPEN)), []).append((blocks, styles))
+        has, style, texts, above = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), {}
+        for i, copies in enumerate(distinct.values()):
+            for blocks, styles in copies:
+                for b in blocks:
+                    has[b.node].add(i)
+                    texts[b.node][b.text].add(i)
+                    above[b.node] = b.branches
+                for node, branches, x in styles:
+                    has[node].add(i)
+                    style[node][x].add(i)
+                    above[node] = branches
+        weight, sums = defaultdict(lambda: [0, 0.0, 0, 0.0]), defaultdict(int)
+        for node, where in has.items():
+            m = len(where)
+            if m < 2:
+                continue
+            ks, kt = [len(x) for x in style[node].values()], [len(x) for x in texts[node].values()]
+            entropy = -sum(k / sum(ks) * math.log(k / sum(ks), m) for k in ks)
+            content = sum(k * (1 - math.log(k, m)) for k in kt)
+            branches = [b""] + [above[node][i : i + 8] for i in range(0, len(above[node]), 8)]
+            for b in branches:
+                w = weight[b]
+                w[0], w[1], w[2], w[3], sums[b] = w[0] + sum(ks), w[1] + sum(ks) * max(entropy, 0), w[2] + sum(kt), w[3] + max(content, 0), max(sums[b], m)
+        importance = {b: max(w[3] / w[2], w[1] / w[0] if w[0] else 0) for b, w in weight.items() if w[2]}
+        if b"" not in importance:
+            continue
+        root = importance.pop(b"")
+        blocks = {(h.block_name(h.place(host, node), t), len(has[node])): 1 - math.log(len(x), len(has[node])) for node in texts if len(has[node]) > 1 for t, x in texts[node].items() if len(x) > 1}
+        pick = lambda values, pages, low: frozenset(b for b, i, m in values if m >= pages and i < low * root)
+        some, named = [(b, i, sums[b]) for b, i in importance.items()], [(b, i, m) for (b, m), i in blocks.items()]
+        high = frozenset(b for b, i, m in some if m >= h.ARTICLE_PAGES and i >= h.HIGH * root)
+        out[host] = h.Low(pick(some, h.PAGES, h.LOW), pick(named, h.PAGES, h.LOW), pick(some, h.ARTICLE_PAGES, h.ARTICLE_LOW), pick(named, h.ARTICLE_PAGES, h.ARTICLE_LOW), high)
+    return out

@@ -128,32 +128,71 @@ def page(*parts):
     return "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class='has-sidebar'>" + "".join(parts) + "</body></html>"
 
 
+def text_of(html, *low):
+    return html_text.main_text(html, *low)[0]
+
+
 def test_html_text():
     noise = "<header>h</header><nav><ul><li><a href=x>menu</a></ul></nav><div class='ad box'>buy</div><aside>s</aside><div id=cookie-notice>c</div><form><p>f<input></form><section class=comments><p>r</section><footer>&copy;</footer><p hidden>x</p><script>var a='</p>';</script><!-- <p>no -->"
     want = "Title & more\nfoo bar é\nlast one\n1\n2"
     article = "<article><h1>Title &amp;\n more</h1><p><b>foo</b>\t bar &eacute;<p>last<br>one<aside>no</aside><table><tr><td>1<td>2</table></article>"
-    assert html_text.main_text(page(noise, article, noise), set())[0] == want
-    assert html_text.main_text(page(noise, article.replace("article>", "div>"), noise), set())[0] == want
-    assert html_text.main_text(page("<form>", article, "</form>"), set())[0] == want
-    assert html_text.main_text("", set()) == ("", 0) and html_text.main_text("a < b &amp; <", set())[0] == "a < b & <"
-    assert html_text.main_text("<p title='never closed>x", set())[0] == "x" and html_text.main_text("<script>x", set())[0] == ""
-    assert html_text.main_text("<div>" * 3000 + "deep", set())[0] == "deep"
+    assert text_of(page(noise, article, noise)) == want
+    assert text_of(page(noise, article.replace("article>", "div>"), noise)) == want
+    assert text_of(page("<form>", article, "</form>")) == want
+    assert html_text.main_text("") == ("", 0) and text_of("a < b &amp; <") == "a < b & <"
+    assert text_of("<p title='never closed>x") == "x" and text_of("<script>x") == ""
+    assert text_of("<div>" * 3000 + "deep") == "deep" and text_of("<div>" * 3000 + "deep", "h", html_text.Low(frozenset([b"x" * 8]))) == "deep"
+    assert text_of("<article><ul><li><a href=x>all links</a><li><a href=y>of an article</a></ul></article>") == "all links\nof an article"
+
+
+def words_of(i, n=8):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+SITES = [
+    *[(i, f"https://Site.example.org/{i}", page("<div class=top><p>Welcome to us</p><p>Call now</p></div>", f"<div class=text><p>{words_of(i)}</p><p>{words_of(-i - 1)}</p></div>", "<div class=low><p>All rights</p></div>")) for i in range(8)],
+    *[(100 + i, "http://copies.example.org/", page("<div class=text><p>same words</p></div>")) for i in range(6)],
+    (200, "http://lone.example.org/", page("<div class=top><p>Welcome to us</p></div>")), (201, None, None), (201, None, None),
+    *[(300 + i, "http://notes.example.org/", page(f"<article><p>{words_of(i, 30)}</p><div class=box{i}><p>Get our letter</p></div><p>{words_of(-i - 1, 30)}</p>{'<p>a passage of some</p>' if i % 3 == 0 else ''}</article>")) for i in range(20)],
+    *[(400 + i % 6, "http://again.example.org/", page(f"<div class=ad>{i}</div><article><h1>once</h1><p>{words_of(i % 2)}</p></article>")) for i in range(12)],
+    *[(500 + i, "http://teaser.example.org/", page(f"<div class=story><p>{words_of(i, 40)}</p><p>{words_of(-i - 1, 40)}</p></div><div class=teaser><article>read {i} too</article></div>")) for i in range(9)],
+]
 
 
 def test_style_tree(spark):
-    words = lambda i: " ".join(f"w{i}x{j}" for j in range(8))
-    site = [(i, f"https://Site.example.org/{i}", page("<div class=top><p>Welcome to us</p><p>Call now</p></div>", f"<div class=text><p>{words(i)}</p><p>{words(-i - 1)}</p></div>", "<div class=low><p>All rights</p></div>")) for i in range(8)]
-    copies = [(100 + i, "http://copies.example.org/", page("<div class=text><p>same words</p></div>")) for i in range(6)]
-    lone = [(200, "http://lone.example.org/", page("<div class=top><p>Welcome to us</p></div>")), (201, None, None), (201, None, None)]
-    df = spark.createDataFrame(site + copies + lone, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "paths", "path", "id", "k", "text")})
+    df = spark.createDataFrame(SITES, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "paths", "path", "id", "k", "text", "tree_host", "branches", "high", "place")})
     got = defaultdict(list)
     for r in html_text.extract(df).collect():
         got[r["page_id"]].append((r["text"], r["n_chars"]))
-    assert all(got[i] == [(f"{words(i)}\n{words(-i - 1)}", len(words(i)) + len(words(-i - 1)) + 1)] for i in range(8))
+    assert all(got[i] == [(f"{words_of(i)}\n{words_of(-i - 1)}", len(words_of(i)) + len(words_of(-i - 1)) + 1)] for i in range(8))
     assert got[100] == [("same words", 10)] and got[200] == [("Welcome to us", 13)] and got[201] == [("", 0)] * 2
+    # a notice on all pages goes, though it stands in the article; a passage of some of them stays
+    assert all(got[300 + i][0][0] == f"{words_of(i, 30)}\n{words_of(-i - 1, 30)}" + ("\na passage of some" if i % 3 == 0 else "") for i in range(20))
+    assert all("Get our letter" in text_of(h) for i, _, h in SITES if 300 <= i < 320)  # with an empty tree it stays
+    assert all(x == (f"once\n{words_of(i % 2)}", 5 + len(words_of(i % 2))) for i in range(6) for x in got[400 + i])  # pages that repeat whole articles
+    assert all(got[500 + i][0][0].startswith(f"{words_of(i, 40)}\n{words_of(-i - 1, 40)}") for i in range(9))  # the text stands beside a teaser
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", [None, SF])
+def test_style_tree_against_brute_force(spark, sf):
+    df = spark.createDataFrame(SITES, "page_id long, url string, html string") if sf is None else spark.read.parquet(f"{sf}/pages.parquet")
+    pages = [(r["host"], r["html"] or "") for r in df.select(html_text.host("url").alias("host"), "html").collect()]
+    want = brute.style_trees(pages)
+    got = {r["tree_host"]: html_text.Low(*[frozenset(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r[c])) for c in html_text.Low._fields]) for r in html_text.style_tree(df.select(html_text.host("url").alias("host"), "html")).collect()}
+    empty = html_text.Low()
+    assert {h: x for h, x in got.items() if x != empty} == {h: x for h, x in want.items() if x != empty}
+    texts = key((r["page_id"], r["text"]) for r in (html_text.extract(df) if sf is None else queries.op3_html_text(spark, sf)).collect())
+    assert texts == key((r["page_id"], text_of(r["html"] or "", h, want.get(h, empty))) for r, (h, _) in zip(df.collect(), pages, strict=True))
+
+
+def test_very_long_page(spark):
+    long = page("<article>", *[f"<p>paragraph {i}" for i in range(60_000)], "<div>" * 2000, "end", "</article>")
+    df = spark.createDataFrame([(1, "http://a.b/", long), (2, "http://a.b/", "<p>x")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == {1: "\n".join([f"paragraph {i}" for i in range(60_000)] + ["end"]), 2: "x"}
+
+
 # 4
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -12,18 +11,20 @@ from typing import NamedTuple
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import cut, small
 from tidemark.llm.texts import bounded, slices
 
-#: Labels of a node's path at most; what lies deeper belongs to the node there.
-DEPTH = 24
-#: Pages of a host that must have a branch before its importance says anything, and the importance below which it goes.
+#: Distinct pages of a host that must have a branch or block before its importance says anything, and the importance below
+#: which it goes (relative to that of the host's whole tree): where markup says nothing, and in an article or main element.
 PAGES, LOW = 4, 0.4
-#: Part of a block's characters in links above which it is a menu, where the style tree knows too little.
-LINKS = 0.6
+ARTICLE_PAGES, ARTICLE_LOW = 8, 0.1
+#: Relative importance from which a branch outside of the article is known to be important.
+HIGH = 0.7
+#: Ancestors of a node down to this depth are branches that may go as a whole, and of the deeper ones those at powers of two.
+DEPTH = 32
 
 MAIN, OPEN, FORM, NOISE = 2, 1, 0, -1  # what a branch is: article, not known, form (an article may stand in it), noise
 
@@ -46,10 +47,31 @@ ATTRIBUTE = re.compile(r"([a-z][a-z0-9-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+
 
 
 class Block(NamedTuple):
-    path: str
+    node: int
+    branches: bytes
     kind: int
     text: str
-    links: int
+
+
+class Low(NamedTuple):
+    """What of a host is of little importance, where markup says nothing and in articles, and what of much: branches and blocks by name."""
+
+    branches: frozenset[bytes] = frozenset()
+    blocks: frozenset[int] = frozenset()
+    article_branches: frozenset[bytes] = frozenset()
+    article_blocks: frozenset[int] = frozenset()
+    high: frozenset[bytes] = frozenset()
+
+
+def _hash(data: str | bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+@lru_cache(maxsize=200_000)
+def child(node: int, branches: bytes, label: str, depth: int) -> tuple[int, bytes]:
+    """Name of the node that ``label`` names below ``node``, and its branches: those above it and itself, 8 bytes each."""
+    own = _hash(node.to_bytes(8, "little", signed=True) + label.encode("utf-8", "surrogatepass"))
+    return own, branches + own.to_bytes(8, "little", signed=True) if depth <= DEPTH or depth & (depth - 1) == 0 else branches
 
 
 @lru_cache(maxsize=50_000)
@@ -69,47 +91,40 @@ def label_of(name: str, attributes: str) -> tuple[str, int]:
     return label, FORM if name in ("form", "fieldset") or role == "form" else OPEN
 
 
-def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """The blocks of text of a page in order, and the style (labels of the children) of each inner node by path.
+def parse(page: str) -> tuple[list[Block], list[tuple[int, bytes, str]]]:
+    """The blocks of text of a page in order, and the style (labels of the children) of each inner node with its branches.
 
     Markup need not be sound: end tags close what is open in them or nothing, a new paragraph, item or cell
     closes the one before, and all else is closed by the end of the page.
     """
     blocks: list[Block] = []
-    styles: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, int, list[str]]] = [("", "", OPEN, [])]
+    styles: list[tuple[int, bytes, str]] = []
+    stack: list[tuple[str, int, bytes, int, list[str]]] = [("", 0, b"", OPEN, [])]
     run: list[str] = []
-    at, links, in_link = 0, 0, False
+    at = 0
 
     def flush() -> None:
-        nonlocal links
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                blocks.append(Block(stack[-1][1], stack[-1][2], text, links))
+                blocks.append(Block(*stack[-1][1:4], text))
             run.clear()
-        links = 0
 
     def close(to: int) -> None:
         while len(stack) > to:
-            _, path, _, children = stack.pop()
+            _, node, branches, _, children = stack.pop()
             if children:
-                styles.append((path, ",".join(children)))
+                styles.append((node, branches, ",".join(children)))
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
             run.append(page[at : m.start()])
-            if in_link:
-                links += m.start() - at
         at = m.end()
         name, ending = (m[3] or m[6] or "").lower(), m[2] or m[5]
         if name == "br":
             run.append(" ")
-        elif name == "a":
-            in_link = not ending
         elif name in BLOCKS:
             flush()
-            in_link = False
             if ending:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
@@ -124,7 +139,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                     if stack[i][0] != "p" and not (name in CLOSES and stack[i][0] in ("b", "i")):
                         break
                 label, kind = label_of(name, m[4] or m[7] or "")
-                _, path, above, children = stack[-1]
+                _, node, branches, above, children = stack[-1]
                 children.append(label)
                 if above == NOISE or kind == NOISE:
                     kind = NOISE
@@ -132,7 +147,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
                     kind = above if kind == OPEN or above == MAIN and kind != FORM else kind
                     if above == FORM:
                         kind = FORM
-                stack.append((name, f"{path}/{label}" if len(stack) <= DEPTH else path, kind, []))
+                stack.append((name, *child(node, branches, label, len(stack)), kind, []))
     if at < len(page):
         run.append(page[at:])
     flush()
@@ -145,81 +160,137 @@ def host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.trim(F.coalesce(F.col(url), F.lit(""))), r"^(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def tree_rows(hosts: list[str], pages: list[str]) -> Counter:
-    """How many of the pages have (host, path, feature): "n" for the node itself, "s" and the hash of a style, or "c"
-    and that of a block's text."""
-    counts: Counter = Counter()
+def place(host: str, node: int) -> int:
+    """The name of a node of a host."""
+    return _hash(host.encode("utf-8", "surrogatepass") + b"\n" + node.to_bytes(8, "little", signed=True))
+
+
+def block_name(node_place: int, text: str) -> int:
+    """The name of a text in the blocks of a node of a host."""
+    return node_place ^ _hash(text)
+
+
+def tree_rows(hosts: list[str], pages: list[str]) -> set[tuple]:
+    """What each page adds to the tree of its host: (place, kind, value, host, branches, page) for each of its nodes ("n", with
+    its host and branches), of their styles ("s") and of its blocks ("c"). Pages of one main content are one page."""
+    rows: set[tuple] = set()
     for host, page in zip(hosts, pages, strict=True):
         blocks, styles = parse(page)
-        counts.update({(host, path, "n") for path in {b.path for b in blocks} | {path for path, _ in styles}})
-        counts.update({(host, b.path, f"c{xxhash.xxh64_hexdigest(b.text)}") for b in blocks})
-        counts.update({(host, path, f"s{xxhash.xxh64_hexdigest(style)}") for path, style in styles})
-    return counts
+        same = _hash("\n".join(b.text for b in blocks if b.kind in (MAIN, OPEN)))
+        places = {node: (place(host, node), branches) for node, branches in {(b.node, b.branches) for b in blocks} | {x[:2] for x in styles}}
+        rows.update((at, "n", 0, host, branches, same) for at, branches in places.values())
+        rows.update((places[b.node][0], "c", block_name(places[b.node][0], b.text), None, None, same) for b in blocks)
+        rows.update((places[node][0], "s", _hash(style), None, None, same) for node, _, style in styles)
+    return rows
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Branches of little importance: rows (host, paths), from the merged pages (host, html) of each host.
+    """The fields of ``Low`` by host: rows (tree_host, branches, blocks, article_branches, article_blocks, high), from the merged pages (host, html).
 
-    A node's presentation importance is the entropy, to base m, of its styles over the m pages that have it; a
-    block's content importance is 1 - log k / log m if its text stands on k of the m pages that have blocks there.
-    A branch's importance is the mean over the nodes in it, weighted by pages, and low against that of the host's
-    whole tree, so that pages that are copies of each other lose nothing. Counts are aggregated before and after
-    one shuffle by (host, path, feature), so a host of any size is spread; what remains is a row for each path.
+    A node's presentation importance is the entropy, to base m, of its styles over the m distinct pages that have it; its
+    content importance is the mean over its blocks of 1 - log k / log m for a text that stands on k of these pages. A
+    branch's importance is the greater of both, as means over the nodes in it weighted by pages; a block's is its content
+    importance. Importance is relative to that of the host's whole tree. Counts of distinct pages are aggregated by
+    (node, kind, value), so a host of any size is spread; what remains is a row for each node.
     """
+    columns = {"place": pa.int64(), "kind": pa.string(), "value": pa.int64(), "host": pa.string(), "branches": pa.binary(), "page": pa.int64()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            counts = tree_rows(batch.column("host").to_pylist(), batch.column("html").to_pylist())
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(counts.values()), pa.int64())], ["host", "path", "feature", "k"])
+            rows = list(tree_rows(batch.column("host").to_pylist(), batch.column("html").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())], list(columns))
+
+    rows = pages.select("host", "html").mapInArrow(run, "place bigint, kind string, value bigint, host string, branches binary, page bigint")
+    counts = cut(rows.groupBy("place", "kind", "value", "host", "branches").agg(F.count_distinct("page").alias("k")))
+
+    def total(kind: str, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
 
-    features = pages.select("host", "html").mapInArrow(run, "host string, path string, feature string, k bigint").groupBy("host", "path", "feature").agg(F.sum("k").alias("k"))
     k = F.col("k").cast("double")
-    node = features.groupBy("host", "path", F.substring("feature", 1, 1).alias("kind")).agg(F.sum(k).alias("n"), F.sum(k * F.log(k)).alias("w"))
-    own = Window.partitionBy("host", "path")
-    m = F.max(F.when(F.col("kind") == "n", F.col("n"))).over(own)
-    # with n = sum of k: the entropy of the styles is log n - w / n; the mean of log k over the blocks is w / n
-    node = node.withColumn("m", m).where("m > 1 AND kind <> 'n'")
-    mean = F.col("w") / F.col("n")
-    imp = F.when(F.col("kind") == "s", (F.log("n") - mean) / F.log("m")).otherwise(1 - mean / F.log("m"))
-    node = node.select("host", "path", "m", "n", F.greatest(imp, F.lit(0.0)).alias("importance"), "kind")
-    labels = F.split("path", "/")
-    ups = node.where("path != ''").select("host", F.explode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, 1, i), "/"))).alias("branch"), "path", "m", "n", "importance", "kind")
-    branch = ups.where("kind = 'c'").groupBy("host", "branch").agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content"), F.max("m").alias("pages"))
-    shape = ups.where("kind = 's'").groupBy("host", "branch").agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("shape"))
-    joined = branch.join(shape, ["host", "branch"], "left").withColumn("importance", F.greatest("content", F.coalesce("shape", F.lit(0.0))))
-    root = F.max(F.when(F.size(F.split("branch", "/")) == 2, F.col("importance"))).over(Window.partitionBy("host"))
-    low = joined.withColumn("root", root).where((F.col("pages") >= PAGES) & (F.col("importance") < LOW * F.col("root")))
-    return low.groupBy("host").agg(F.collect_set("branch").alias("paths"))
-
-
-def main_text(page: str, low: set[str]) -> tuple[str, int]:
-    """The main text of one page without its low branches, and the number of its blocks."""
-    blocks, _ = parse(page)
-    kept = [b.text for b in blocks if b.kind == MAIN]
-    if not kept:
-        kept = [b.text for b in blocks if b.kind == OPEN and not any(b.path == x or b.path.startswith(x + "/") for x in low) and b.links <= LINKS * len(b.text)]
+    nodes = counts.groupBy("place").agg(F.max("host").alias("host"), F.max("branches").alias("branches"), total("n", k).alias("m"), *[total(x, v).alias(f"{name}_{x}") for x in "sc" for name, v in (("n", k), ("w", k * F.log(k)))])
+    nodes = cut(nodes.where("m > 1"))
+    # with n = sum of k and w = sum of k log k: the entropy of the styles is log n - w / n; the mean of log k over the blocks is w / n
+    shape = F.greatest(F.lit(0.0), (F.log("n_s") - F.col("w_s") / F.col("n_s")) / F.log("m"))
+    content = F.greatest(F.lit(0.0), 1 - F.col("w_c") / F.col("n_c") / F.log("m"))
+    above = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length("branches") / 8).cast("int")), lambda i: F.when(i == 0, F.lit(b"")).otherwise(F.substring("branches", i * 8 - 7, F.lit(8))))
+    ups = nodes.select("host", F.explode(above).alias("branch"), "m", "n_s", "n_c", F.when(F.col("n_s") > 0, F.col("n_s") * shape).alias("shape"), F.when(F.col("n_c") > 0, F.col("n_c") * content).alias("content"))
+    branch = ups.groupBy("host", "branch").agg(F.max("m").alias("m"), (F.sum("shape") / F.sum("n_s")).alias("shape"), (F.sum("content") / F.sum("n_c")).alias("content")).where("content IS NOT NULL")
+    branch = cut(branch.select("host", "branch", "m", F.greatest("content", F.coalesce("shape", F.lit(0.0))).alias("importance")))
+    root = small(branch.where(F.octet_length("branch") == 0).select(F.col("host").alias("root_host"), F.col("importance").alias("root")))
+
+    def named(rows: DataFrame, name: str) -> list[Column]:
+        low = (F.col("m") >= PAGES) & (F.col("importance") < LOW * F.col("root"))
+        lower = (F.col("m") >= ARTICLE_PAGES) & (F.col("importance") < ARTICLE_LOW * F.col("root"))
+        return [F.when(low, F.col(name)), F.when(lower, F.col(name))]
+
+    found = branch.where(F.octet_length("branch") > 0).join(root, F.col("host") == F.col("root_host"))
+    high = F.when((F.col("m") >= ARTICLE_PAGES) & (F.col("importance") >= HIGH * F.col("root")), F.col("branch"))
+    found = found.select("host", *[c.alias(x) for c, x in zip(named(found, "branch"), ("branches", "article_branches"), strict=True)], high.alias("high"))
+    texts = counts.where((F.col("kind") == "c") & (F.col("k") >= 2)).join(small(nodes).select(F.col("place").alias("at"), F.col("host").alias("of"), "m"), F.col("place") == F.col("at"))
+    texts = texts.withColumn("importance", 1 - F.log(k) / F.log("m")).join(root, F.col("of") == F.col("root_host"))
+    texts = texts.select(F.col("of").alias("host"), *[c.alias(x) for c, x in zip(named(texts, "value"), ("blocks", "article_blocks"), strict=True)]).where("blocks IS NOT NULL OR article_blocks IS NOT NULL")
+    both = found.unionByName(texts, allowMissingColumns=True)
+    return both.groupBy(F.col("host").alias("tree_host")).agg(*[F.collect_set(x).alias(x) for x in Low._fields])
+
+
+def main_text(page: str, host: str = "", low: Low = Low()) -> tuple[str, int]:
+    """The main text of one page without its branches and blocks of low importance, and the number of its blocks.
+
+    Blocks that markup names as menus, forms and the like are no candidates. In an article or main element, importance
+    must be lower than elsewhere for a block to go, and the greater part of the article must stay, else all of it
+    does. Where a page has such an element, other blocks stay only if they are known to be important and are
+    more than what it holds (which is then but a teaser).
+    """
+    blocks = [b for b in parse(page)[0] if b.kind in (MAIN, OPEN)]
+    names: dict[int, int] = {}
+
+    def stays(b: Block) -> bool:
+        branches, texts = (low.article_branches, low.article_blocks) if b.kind == MAIN else (low.branches, low.blocks)
+        if branches and any(b.branches[i : i + 8] in branches for i in range(0, len(b.branches), 8)):
+            return False
+        if not texts:
+            return True
+        if b.node not in names:
+            names[b.node] = place(host, b.node)
+        return block_name(names[b.node], b.text) not in texts
+
+    good = [stays(b) for b in blocks]
+    length = lambda kind, some: sum(len(b.text) for b, x in zip(blocks, some, strict=True) if x and b.kind == kind)
+    if 2 * length(MAIN, good) < length(MAIN, [True] * len(blocks)):
+        good = [x or b.kind == MAIN for b, x in zip(blocks, good, strict=True)]
+    if any(b.kind == MAIN for b in blocks):
+        good = [x and (b.kind == MAIN or b.branches[-8:] in low.high) for b, x in zip(blocks, good, strict=True)]
+        if length(OPEN, good) <= length(MAIN, good):
+            good = [x and b.kind == MAIN for b, x in zip(blocks, good, strict=True)]
+    kept = [b.text for b, x in zip(blocks, good, strict=True) if x]
     return "\n".join(kept), len(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, host, text, n_chars (code points), n_blocks.
 
-    Pass one merges the pages of each host into a style tree and finds the branches of low importance; pass two
-    reads every page again and removes branches that their markup names as menus, headers, footers, sidebars,
-    notices, adverts, forms or comments, and those that the tree finds unimportant. What stands in an article
-    or main element is important whatever the tree says, as sites repeat whole articles; where a page has
-    one, it is the text. The low branches of a host are joined by broadcast if counted to be few, else by host.
+    Pass one merges the pages of each host into a style tree and finds the branches and blocks of low importance; pass
+    two reads every page again and removes these, and what markup names as menus, headers, footers, sidebars,
+    notices, adverts, forms or comments. See ``main_text`` for what an article element changes. What is low of a host
+    is joined by broadcast if counted to be few hosts, else by host.
 
     Nulls: null html is an empty page, null urls share one nameless host. Repeated rows are extracted each; extra
     columns are ignored; an empty table gives an empty result. Very long pages are read whole.
     """
     narrow = bounded(pages).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")).withColumn("host", host("url"))
     low = small(cut(style_tree(narrow)), 20_000)
-    rows = narrow.join(low.withColumnRenamed("host", "low_host"), F.col("host") == F.col("low_host"), "left").drop("low_host")
+    rows = narrow.join(low, F.col("host") == F.col("tree_host"), "left").drop("tree_host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, Low] = {}
         for batch in slices(batches, "html"):
-            got = [main_text(page, set(low or ())) for page, low in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+            hosts, got = batch.column("host").to_pylist(), []
+            for i, page in enumerate(batch.column("html").to_pylist()):
+                if hosts[i] not in trees:
+                    if len(trees) > 1000:
+                        trees.clear()
+                    trees[hosts[i]] = Low(*[frozenset(batch.column(x)[i].as_py() or ()) for x in Low._fields])
+                got.append(main_text(page, hosts[i], trees[hosts[i]]))
             text = pa.array([x[0] for x in got], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), text, pc.utf8_length(text).cast(pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["id", "url", "host", "text", "n_chars", "n_blocks"])
 
