@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +18,16 @@ from tidemark.llm.cluster import cut
 from tidemark.llm.texts import bounded, codes, slices, sums, words
 
 #: Words whose ids a worker remembers, over all its tasks; beyond that it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: Words that go to the library as one text.
+TOGETHER = 500
 #: Bytes of text tokenised at once.
 BATCH_BYTES = 4 << 20
 #: Letters that are their own canonical composition and whose lower case is one letter, and marks (no apostrophe) behind them.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+SIMPLE = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+# What of a tokenizer file the short way of plain words stands on: how it normalises and splits, and the mark of a word's end.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+END = "</w>"
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,47 +41,83 @@ class WordIds:
     """Token ids of words by a ``tokenizers`` file, remembered word by word.
 
     The vocabulary splits words at white space, so a text's ids are those of its words in turn. A word of
-    plain letters and marks behind them is two pre-tokens; the letters go straight to the merges. All other words
-    go through the file's whole pipeline.
+    plain letters and marks behind them is two pre-tokens; the letters, in lower case, go straight to the merges. All other words
+    go through the file's whole pipeline. A file of another make is refused.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        made = json.loads(self.whole.to_str())
+        steps = [x["type"] for x in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if made["normalizer"] != {"type": "Sequence", "normalizers": NORMALIZERS} or steps != ["Split", "ByteLevel"] or made["model"]["end_of_word_suffix"] != END:
+            raise ValueError("only vocabularies of lower-case words with marked ends are supported")
         self.merges = Tokenizer(self.whole.model)  # the same merges in memory, without what splits and normalises
-        self.letters = byte_letters()
-        self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str], tokenizer) -> None:
-        texts = parts if tokenizer is self.whole else [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in parts]
-        ids = [got.ids for got in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        data, width, at = np.fromiter(chain.from_iterable(ids), dtype=self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0
-        for part, got in zip(parts, ids, strict=True):
-            self.known[part] = data[at : at + width * len(got)]
-            at += width * len(got)
-
-    def of(self, distinct: list[str]) -> list[bytes]:
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {k: v for k, v in byte_letters().items() if k != ord(" ")}
+        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        self.ends[[i for x, i in self.whole.get_vocab().items() if x.endswith(END)]] = True
+        self.known: dict[str, np.ndarray] = {}
+        self.heads, self.bounds, self.ids = pa.array([], pa.string()), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=self.dtype)
+
+    def _flat(self, found: list) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(x.ids for x in found), dtype=self.dtype)
+
+    def _merged(self, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain lower-case words in a row, and where each word's begin (one more entry ends them)."""
+        texts = [" ".join(heads[i : i + TOGETHER]) for i in range(0, len(heads), TOGETHER)]
+        texts = [x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in texts]
+        ids = self._flat(self.merges.encode_batch_fast(texts, add_special_tokens=False))
+        return ids, np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+
+    def _of_heads(self, heads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct ``heads`` begin and end in ``self.ids``."""
+        if len(self.heads) > CACHE_WORDS:
+            self.heads, self.bounds, self.ids = self.heads[:0], self.bounds[:1], self.ids[:0]
+        at = pc.fill_null(pc.index_in(heads, value_set=self.heads), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = heads.take(pa.array(new))
+            ids, bounds = self._merged(fresh.to_pylist())
+            at[new] = len(self.heads) + np.arange(len(new))
+            self.heads = pa.concat_arrays([self.heads, fresh])
+            self.bounds, self.ids = np.concatenate((self.bounds, self.bounds[-1] + bounds[1:])), np.concatenate((self.ids, ids))
+        return self.bounds[at], self.bounds[at + 1]
+
+    def _of_others(self, others: list[str]) -> list[np.ndarray]:
+        """The ids of each of ``others`` by the whole pipeline."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        split, other, letters = {}, [], set()
-        for word in distinct:
-            if word not in known:
-                if m := SIMPLE.fullmatch(word):
-                    split[word] = m[1].lower(), m[2]
-                    letters.add(m[1].lower())
-                    if m[2] and m[2] not in known:
-                        self._learn([m[2]], self.whole)
-                else:
-                    other.append(word)
-        self._learn([x for x in letters if x not in known], self.merges)
-        self._learn(other, self.whole)
-        for word, (head, tail) in split.items():
-            known[word] = known[head] + known[tail] if tail else known[head]
-        return [known[word] for word in distinct]
+        fresh = [x for x in others if x not in self.known]
+        self.known |= {x: np.array(got.ids, dtype=self.dtype) for x, got in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
+        return [self.known[x] for x in others]
+
+    def of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``distinct`` words in a row, and how many each has."""
+        split = pc.extract_regex(distinct, SIMPLE)
+        plain = np.flatnonzero(split.is_valid().to_numpy(zero_copy_only=False))
+        rest = np.flatnonzero(split.is_null().to_numpy(zero_copy_only=False))
+        split = split.take(pa.array(plain))
+        head, heads = codes(pc.utf8_lower(split.field("head")))
+        tail, tails = codes(split.field("tail"))
+        begin, end = self._of_heads(heads)
+        others = self._of_others([*tails.to_pylist(), *distinct.take(pa.array(rest)).to_pylist()])
+        sizes = np.array([len(x) for x in others], dtype=np.int64)
+        places = len(self.ids) + np.cumsum(sizes) - sizes
+        starts, lengths = np.zeros((2, len(distinct)), dtype=np.int64), np.zeros((2, len(distinct)), dtype=np.int64)
+        starts[0, plain], lengths[0, plain] = begin[head], (end - begin)[head]
+        starts[1, plain], lengths[1, plain] = places[tail], sizes[tail]
+        starts[0, rest], lengths[0, rest] = places[len(tails) :], sizes[len(tails) :]
+        return gathered(np.concatenate([self.ids, *others]), starts.T.ravel(), lengths.T.ravel()), lengths.sum(axis=0)
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces values[starts[i]:starts[i] + lengths[i]] in a row."""
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return values[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -98,15 +140,11 @@ def encode(text: pa.Array, tokenizer: WordIds, end_id: int) -> tuple[np.ndarray,
     """The ids of all texts in a row, each text's followed by ``end_id``, and each text's number of ids."""
     flat, bounds = words(text)
     word, distinct = codes(flat)
-    found = tokenizer.of(distinct.to_pylist())
-    width = np.dtype(tokenizer.dtype).itemsize
-    lengths = np.array([len(x) // width for x in found] + [1], dtype=np.int64)
-    store = np.frombuffer(b"".join(found) + np.array([end_id], dtype=tokenizer.dtype).tobytes(), dtype=tokenizer.dtype)
-    begins = np.cumsum(lengths) - lengths
-    word = np.insert(word, bounds[1:], len(found))
+    found, lengths = tokenizer.of(distinct)
+    lengths = np.append(lengths, 1)
+    word = np.insert(word, bounds[1:], len(distinct))
     sizes = lengths[word]
-    shift = begins[word] - (np.cumsum(sizes) - sizes)
-    ids = store[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+    ids = gathered(np.append(found, np.array([end_id], dtype=tokenizer.dtype)), (np.cumsum(lengths) - lengths)[word], sizes)
     return ids, sums(sizes, bounds + np.arange(len(bounds)))
 
 
