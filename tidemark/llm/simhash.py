@@ -8,14 +8,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import components, cut, small
+from tidemark.llm.cluster import components, cut, small, tasks, without
 from tidemark.llm.texts import bounded, slices, sums, words
 
-#: Fingerprint bits, and those of one of the two segments.
+#: Fingerprint bits, and those of one of the two segments: prints within 2 bits are within 1 bit in one of them.
 BITS, SEGMENT = 64, 32
+#: Fingerprints of one segment value up to which the table's entry is matched as it is; fuller ones are refined.
+BUCKET = 64
 #: Bytes of text whose shingles are unpacked to bits at once.
 BATCH_BYTES = 1 << 20
 
@@ -64,23 +66,43 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return narrow.mapInArrow(run, f"id {kind}, fingerprint bigint")
 
 
-def ball(fingerprint: str = "fingerprint"):
-    """The fingerprint and all that differ from it in one bit of one segment."""
-    flips = [F.lit(1 << (segment * SEGMENT + bit) if segment * SEGMENT + bit < BITS - 1 else -(1 << (BITS - 1))).cast("bigint") for segment in range(BITS // SEGMENT) for bit in range(SEGMENT)]
-    return F.array(F.col(fingerprint), *[F.col(fingerprint).bitwiseXOR(x) for x in flips])
+def flips(bits: int) -> list[int]:
+    """0 and the numbers with one of ``bits`` bits, as signed 64-bit numbers."""
+    return [0] + [1 << b if b < 63 else -(1 << 63) for b in range(bits)]
+
+
+def segment(number: int) -> Column:
+    """The value of a fingerprint's segment."""
+    return F.shiftrightunsigned("fingerprint", SEGMENT * number).bitwiseAND(F.lit((1 << SEGMENT) - 1))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct ``prints`` (fingerprint) within 2 differing bits of each other.
 
-    Each fingerprint enters the table under every key of its radius-1 balls: a segment of the key is enumerated,
-    the other is taken as it is. Two fingerprints are within 2 bits just if they meet under a key, so a key
-    holds at most 65 of them however dense the data are, and a key's members, each compared with the one
-    before it, are linked by a chain instead of all pairs. The complete distance of each link is verified.
+    Each fingerprint stands in one table a segment, under its segment's value. Its ball of radius 1 in each
+    segment is enumerated, the table's matches are fetched, and the complete distance of each is verified. Entries of
+    more than BUCKET fingerprints are not fetched: a pair that only meets in such entries has both members
+    in them, and these members meet in ``dense_links``.
     """
-    from pyspark.sql import Window
-
-    table = prints.select("fingerprint", F.explode(ball()).alias("key"))
+    table = prints.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(n).alias("segment"), segment(n).alias("value")) for n in range(BITS // SEGMENT)])).alias("at")).select("fingerprint", "at.*")
+    full = cut(table.groupBy("segment", "value").count().where(F.col("count") > BUCKET).select("segment", "value"))
+    asked = table.select(F.col("fingerprint").alias("u"), "segment", F.explode(F.transform(F.array(*[F.lit(x) for x in flips(SEGMENT)]), lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
+    entries = table.join(small(full), ["segment", "value"], "left_anti").withColumnRenamed("fingerprint", "v")
+    met = asked.join(entries, ["segment", "value"]).select("u", "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+    if full.isEmpty():
+        return met
+    dense = table.join(small(full), ["segment", "value"], "left_semi").select("fingerprint").distinct()
+    return met.union(dense_links(dense))
+
+
+def dense_links(prints: DataFrame) -> DataFrame:
+    """What ``links`` gives, for fingerprints of which thousands share a segment.
+
+    The key is refined to both segments: each fingerprint stands under all values that its whole ball of radius 1
+    has. Two are within 2 bits just if they meet under a key, so a key holds at most 65 of them however dense
+    the data are, and its members, each compared with the one before it, are linked by a chain instead of all pairs.
+    """
+    table = prints.select("fingerprint", F.explode(F.array(*[F.col("fingerprint").bitwiseXOR(F.lit(x)) for x in flips(BITS)])).alias("key"))
     before = F.lag("fingerprint").over(Window.partitionBy("key").orderBy("fingerprint"))
     met = table.select(F.col("fingerprint").alias("u"), before.alias("v")).where("v is not null")
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
@@ -95,7 +117,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give repeated rows, extra columns are ignored, an empty table gives an empty result.
     """
     rows = cut(with_fingerprints(docs, id_col, text_col, shingle))
-    prints = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least")))
+    prints = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least")).repartition(tasks(docs.sparkSession)))
     labels = components(links(prints.select("fingerprint")))
     linked = prints.join(labels, prints.fingerprint == labels.node).select("fingerprint", "label", "least")
     best = linked.groupBy("label").agg(F.min("least").alias("best"))
@@ -108,9 +130,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` with one document, that of the least id, left of each near-duplicate group.
 
-    A row whose id is null stays only if its group has no other id. Rows that repeat one id stay together.
+    A row whose id is null stays only if its group has no other id. Rows that repeat one id stay together, and go if one of them goes.
     """
     groups = near_groups(docs, id_col, text_col, shingle).select(F.col(f"`{id_col}`").alias("_id"), F.col("component_id").alias("_best"))
-    gone = small(cut(groups.where(~F.col("_id").eqNullSafe(F.col("_best"))).select("_id").distinct()))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
-    return rows.join(gone, F.col("_key").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
+    return without(docs, id_col, groups.where(~F.col("_id").eqNullSafe(F.col("_best"))).select("_id").distinct())
