@@ -9,7 +9,7 @@ import pytest
 from edges import EDGE, SCHEMA
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, html_text, licenses, mixing, packing, quality, queries, sharding, similar, simhash, token_counts
+from tidemark.llm import chat, cluster, exact_dedup, html_text, licenses, mixing, packing, quality, queries, sharding, similar, simhash, token_counts
 from tidemark.llm.cluster import components, positions
 
 SF = "/root/testdata/sf0.001"
@@ -315,6 +315,33 @@ def test_exact(edge, nothing):
     left = exact_dedup.survivors(edge)
     assert left.columns == edge.columns and key(r["doc_id"] for r in left.collect()) == kept
     assert exact_dedup.exact_dedup(nothing).count() == 0 and exact_dedup.survivors(nothing).count() == 0
+    odd = edge.withColumn("m", F.create_map(F.lit("a"), F.monotonically_increasing_id()))  # a type without order
+    assert key(r["doc_id"] for r in exact_dedup.survivors(odd).collect()) == kept
+
+
+def test_exact_beyond_broadcasts(spark, docs, monkeypatch):
+    want = key(exact_dedup.survivors(docs).collect())
+    given = rows(docs.select("doc_id", "text"))
+    assert key(r[0] for r in want) == key(i for i, _, _, k, _ in brute.exact(given) if k)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", 0)
+    for bitmaps in (cluster.BITMAPS, 0):
+        monkeypatch.setattr(cluster, "BITMAPS", bitmaps)
+        assert key(exact_dedup.survivors(docs).collect()) == want
+
+
+def test_without(spark, monkeypatch):
+    ids = [None, -5, 0, 1, 2, 7, 8, 32767, 32768, 32769, 10**12]
+    df = spark.createDataFrame([(i, str(i)) for i in ids for _ in range(2)], "doc_id long, _id string").repartition(3)
+    for gone in ([], [None], [0, 7, 32768], [-5, 1, 10**12, None]):
+        out = []
+        for most, bitmaps in ((100, 9), (-1, 9), (-1, 0)):
+            monkeypatch.setattr(cluster, "BROADCAST_ROWS", most)
+            monkeypatch.setattr(cluster, "BITMAPS", bitmaps)
+            left = cluster.without(df, "doc_id", spark.createDataFrame([(i,) for i in gone], "x long"))
+            assert left.columns == df.columns
+            out.append(key(left.collect()))
+        assert out == [key(r for r in df.collect() if r["doc_id"] not in gone)] * 3
 
 
 # 8
@@ -330,7 +357,9 @@ def test_simhash(spark, docs, edge, nothing):
     assert simhash.near_groups(nothing).count() == 0 and simhash.survivors(edge).columns == edge.columns
 
 
-def test_links_in_dense_clusters(spark):
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 3])
+def test_links_in_dense_clusters(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rnd, prints = random.Random(4), set()
     for _ in range(12):
         center = rnd.getrandbits(64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import cut, small
+from tidemark.llm.cluster import BROADCAST_ROWS, cut, small, without
 
 
 def normal(text: Column) -> Column:
@@ -18,25 +18,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_hash (SHA-256 of the normalised text, null where no refinement needed it), kept boolean.
 
     Refinement: rows are grouped by the length of their normalised text, then by length and the hash of its
-    first ``prefix`` characters; only for groups that still have two rows are whole texts read again and
-    hashed (SHA-256). Groups are counted by partial aggregates, so a group of any size is no task's burden;
-    what is left of the key tables is joined by broadcast if counted to be small, else by shuffle.
+    first ``prefix`` characters; only for groups that still have two rows are whole texts read again, normalised and
+    hashed (SHA-256): the second pass leaves out rows whose id is in no such group before it looks at their texts, if the
+    ids left can be broadcast; if they can't, it hashes all texts where they are, which is cheaper than to shuffle them.
+    Groups are counted by partial aggregates, so a group of any size is no task's burden; key tables are joined by
+    broadcast if counted to be small, else by shuffle.
 
     Nulls: a null text counts as empty; a null id sorts after all others and is keep_id only where a group
     has no other. Repeated rows (same id and text): exactly one is kept. Extra columns, of any name, are ignored
     unless named in ``carry``. An empty table gives an empty result.
     """
-    text = normal(F.col(f"`{text_col}`"))
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], text.alias("_text"))
     kept = [f"_c{i}" for i in range(len(carry))]
-    keyed = base.withColumn("_n", F.length("_text")).withColumn("_p", F.xxhash64(F.substring("_text", 1, prefix)))
-    narrow = cut(keyed.drop("_text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, kept, strict=True)], F.col(f"`{text_col}`").alias("_raw"))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_text", normal(F.col("_raw"))).withColumn("_n", F.length("_text")).withColumn("_p", F.xxhash64(F.substring("_text", 1, prefix)))
+
+    narrow = cut(keyed(base).drop("_raw", "_text"))
 
     lengths = small(cut(narrow.groupBy("_n").count().where("count > 1").select("_n")))
     alike = narrow.join(lengths, "_n", "left_semi").groupBy("_n", "_p").count().where("count > 1").select("_n", "_p")
     alike = small(cut(alike))
 
-    whole = cut(keyed.join(alike, ["_n", "_p"], "left_semi").select("_id", *kept, F.sha2("_text", 256).alias("_hash"), F.monotonically_increasing_id().alias("_row")))
+    ids = cut(narrow.join(alike, ["_n", "_p"], "left_semi").select(F.col("_id").alias("_i")).distinct())
+    left = base.join(F.broadcast(ids), F.col("_id").eqNullSafe(F.col("_i")), "left_semi") if ids.count() <= BROADCAST_ROWS else base
+    hashed = keyed(left).select("_id", *kept, "_n", "_p", F.sha2("_text", 256).alias("_hash"))
+    whole = cut(hashed.join(alike, ["_n", "_p"], "left_semi").drop("_n", "_p").withColumn("_row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     groups = small(cut(whole.groupBy("_hash").agg(first.alias("_first"), F.count(F.lit(1)).alias("group_size"))))
     several = whole.join(groups, "_hash").select("_id", *kept, F.col("_first.id").alias("keep_id"), "group_size", F.col("_hash").alias("text_hash"), (F.col("_row") == F.col("_first.row")).alias("kept"))
@@ -46,25 +53,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns (of any types).
 
-    Dropped rows are named by id and text hash. Rows that repeat the id and text of the one that stays
-    become one row, the least of them (their other columns must then be of types that can be ordered).
+    Dropped rows are named by id. Ids that several rows of the groups share are the exception: their rows are named by id
+    and text hash, and rows that repeat the id and text of the one that stays become one row, the first by its JSON form.
     """
     marked = cut(exact_dedup(docs, id_col, text_col).where("group_size > 1"))
-    key = [F.col(f"`{id_col}`").alias("_id"), F.sha2(normal(F.col(f"`{text_col}`")), 256).alias("_hash")]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")
-    rows = docs.select(*key, row)
-
-    def without(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"))
-        return left.join(small(keys), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), how)
-
     ids = marked.select(F.col(f"`{id_col}`").alias("_id"), F.col("text_hash").alias("_hash"), "keep_id", "kept")
+    shared = cut(docs.select(F.col(f"`{id_col}`").alias("_id")).join(small(cut(ids.select(F.col("_id").alias("_i")).distinct())), F.col("_id").eqNullSafe(F.col("_i")), "left_semi").groupBy("_id").count().where("count > 1").select("_id"))
     same = F.col("_id").eqNullSafe(F.col("keep_id"))
-    rows = without(rows, ids.where(~same), "left_anti")
-    repeated = cut(ids.where(same).groupBy("_id", "_hash").count().where("count > 1"))
-    if not repeated.isEmpty():
-        single = without(rows, repeated, "left_semi").groupBy("_id", "_hash").agg(F.min("_all").alias("_all"))
-        rows = without(rows, repeated, "left_anti").unionByName(single)
-    return rows.select("_all.*")
+    if shared.isEmpty():
+        return without(docs, id_col, ids.where(~same).select("_id"))
+    several = small(shared.withColumnRenamed("_id", "_s"))
+    lone = ids.where(~same).join(several, F.col("_id").eqNullSafe(F.col("_s")), "left_anti").select("_id")
+    left = without(docs, id_col, lone)
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_raw"))
+    plain = rows.join(several, F.col("_id").eqNullSafe(F.col("_s")), "left_anti").select("_all")
+    named = rows.join(several, F.col("_id").eqNullSafe(F.col("_s")), "left_semi").select("_all", "_id", F.sha2(normal(F.col("_raw")), 256).alias("_hash"))
+
+    def without_keys(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).distinct()
+        return left.join(small(cut(keys)), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), how)
+
+    named = without_keys(named, ids.where(~same), "left_anti")
+    repeated = ids.where(same).groupBy("_id", "_hash").count().where("count > 1")
+    single = without_keys(named, repeated, "left_semi").groupBy("_id", "_hash").agg(F.min_by("_all", F.to_json("_all")).alias("_all")).select("_all")
+    return plain.unionByName(without_keys(named, repeated, "left_anti").select("_all")).unionByName(single).select("_all.*")
