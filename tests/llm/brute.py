@@ -88,6 +88,23 @@ def alike(texts, shingle=5):
     return [root(i) for i in range(len(sets))]
 
 
+def kd_tree_fits(items, shard, leaves, first=0, whole=None):
+    """items: (id, size, dims). Whether ``shard`` splits them at weighted medians along the widest dimension, node by node."""
+    if leaves == 1 or not items:
+        return {shard[i] for i, _, _ in items} <= {first}
+    spread = lambda some, d: max(x[2][d] for x in some) - min(x[2][d] for x in some)
+    whole = whole or [spread(items, d) or 1 for d in range(len(items[0][2]))]
+    wide = max(range(len(whole)), key=lambda d: (spread(items, d) / whole[d], -d))
+    half = first + leaves // 2
+    left, right = [x for x in items if shard[x[0]] < half], [x for x in items if shard[x[0]] >= half]
+    if left and right and max(x[2][wide] for x in left) > min(x[2][wide] for x in right) + 1e-6 * spread(items, wide):
+        return False
+    total = sum(x[1] for x in items)
+    if abs(sum(x[1] for x in left) - total * (leaves // 2) / leaves) > max(x[1] for x in items) + total / 1000:
+        return False
+    return kd_tree_fits(left, shard, leaves // 2, first, whole) and kd_tree_fits(right, shard, leaves - leaves // 2, half, whole)
+
+
 def counters(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

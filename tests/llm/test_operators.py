@@ -90,7 +90,7 @@ def test_queries_against_sql(spark, name):
 
 def shards_of(df, **how):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    dims = {"source": sharding.string_place(F.col("source")), "n_chars": sharding.number_place(F.col("n_chars"))}
+    dims = {"source": F.col("source"), "n_chars": sharding.number_place(F.col("n_chars"))}
     return sharding.kd_shards(df, size, dims, **how)
 
 
@@ -115,6 +115,30 @@ def test_sharding_splits_along_the_widest(spark):
     assert all(len({r["x"] for r in out.collect() if r["shard"] == s}) == 1 for s in range(8))
 
 
+def test_sharding_keeps_groups(spark, docs):
+    same = lambda k, text, n: [(k + i, text, f"s{i % 5}", len(text)) for i in range(n)]
+    given = same(0, "x" * 1500, 40) + same(100, "y" * 9000, 90) + same(500, "", 800) + same(2000, "z" * 70, 60) + [(5000 + i, f"text {i} " * (i % 90), f"crawl-2023-{i % 7}", i % 90) for i in range(3000)]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, n_chars long").repartition(5)
+    for rows_, over in ((df, {"y" * 9000}), (docs, set())):
+        out = shards_of(rows_, shards=16, group=F.coalesce("text", F.lit(""))).collect()
+        text, of, size = dict(rows(rows_.select("doc_id", "text"))), defaultdict(set), Counter()
+        for r in out:
+            of[text[r["doc_id"]] or ""].add(r["shard"])
+            size[r["shard"]] += r["size"]
+        assert {t for t, s in of.items() if len(s) > 1} == over and len(out) == rows_.count() and set(size) == set(range(16))
+        mean = sum(size.values()) / 16
+        assert max(abs(x - mean) for x in size.values()) <= max(r["size"] for r in out) + mean / 16
+
+
+def test_sharding_against_a_plain_tree(spark):
+    rnd = random.Random(6)
+    items = [(i, rnd.randrange(1, 50), rnd.random(), float(rnd.randrange(9)), "abc"[rnd.randrange(3)] * rnd.randrange(1, 9)) for i in range(700)]
+    df = spark.createDataFrame(items, "id long, size long, x double, y double, s string")
+    out = {r["id"]: r["shard"] for r in sharding.kd_shards(df, F.col("size"), {"x": F.col("x"), "y": F.col("y"), "s": F.col("s")}, id_col="id", shards=8).collect()}
+    rank = {v: float(i) for i, v in enumerate(sorted({x[4] for x in items}))}
+    assert brute.kd_tree_fits([(x[0], x[1], (x[2], x[3], rank[x[4]])) for x in items], out, 8)
+
+
 def test_sharding_edges(edge, nothing):
     out = shards_of(edge, shards=4).collect()
     assert len(out) == len(EDGE) and sum(r["size"] for r in out) == sum(len((t or "").encode()) + 1 for _, t, _, _ in EDGE)
@@ -320,9 +344,9 @@ def test_exact(edge, nothing):
 
 
 def test_exact_beyond_broadcasts(spark, docs, monkeypatch):
-    want = key(exact_dedup.survivors(docs).collect())
-    given = rows(docs.select("doc_id", "text"))
-    assert key(r[0] for r in want) == key(i for i, _, _, k, _ in brute.exact(given) if k)
+    stay = exact_dedup.survivors(docs).collect()
+    want, given = key(stay), rows(docs.select("doc_id", "text"))
+    assert key(r["doc_id"] for r in stay) == key(i for i, _, _, k, _ in brute.exact(given) if k)
     monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(cluster, "BROADCAST_ROWS", 0)
     for bitmaps in (cluster.BITMAPS, 0):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +19,10 @@ KEY_BITS = VALUE_BITS + TIE_BITS
 CELLS = 1 << 15
 #: A median is near enough if the cell it falls in has at most this part of its node's bytes.
 FINE = 2.0**-13
-
-
-def string_place(value: Column) -> Column:
-    """A number in the order of strings, from their first six bytes; null comes before all."""
-    code = F.conv(F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.coalesce(code, F.lit(-1.0))
+#: A group is large, and gets its shard before the others, from this part of a shard's bytes or of all rows.
+LARGE_BYTES, LARGE_ROWS = 1 / 64, 1 / 1024
+#: Nodes whose splits are broadcast.
+NODES = 100_000
 
 
 def number_place(value: Column) -> Column:
@@ -30,6 +30,17 @@ def number_place(value: Column) -> Column:
     return F.coalesce(F.when(value >= 0, F.log2(value.cast("double") + 1)), F.lit(-1.0))
 
 
+def ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the strings of a column replaced by their places among its distinct values; null comes before all."""
+    values = positions(rows.select(F.col(name).alias("_value")).where("_value IS NOT NULL").distinct(), "_value", name="_place")
+    both = rows.join(small(values), F.col(name) == F.col("_value"), "left")
+    return both.withColumn(name, F.coalesce(F.col("_place").cast("double"), F.lit(-1.0))).drop("_value", "_place")
+
+
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= NODES else table
+
+
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
@@ -50,7 +61,7 @@ def _medians(rows: DataFrame, splits: list[dict], n_dims: int) -> dict[int, int]
         known = next(iter(open_.values()))["known"]
         bits = min(KEY_BITS - known, max(1, int(math.log2(CELLS / len(open_)))), 12)
         at = _table(rows.sparkSession, [{"s": k, "s_dim": x["dim"], "s_low": x["low"], "s_high": x["high"], "s_prefix": x["prefix"]} for k, x in open_.items()], "s:int,s_dim:int,s_low:double,s_high:double,s_prefix:bigint")
-        keyed = rows.join(F.broadcast(at), F.col("shard") == F.col("s")).select("shard", "size", "s_prefix", _key(n_dims).alias("key"))
+        keyed = rows.join(_sent(at, len(open_)), F.col("shard") == F.col("s")).select("shard", "size", "s_prefix", _key(n_dims).alias("key"))
         inside = keyed.where(F.shiftright("key", KEY_BITS - known) == F.col("s_prefix")) if known else keyed
         cell = F.shiftright("key", KEY_BITS - known - bits).bitwiseAND(F.lit((1 << bits) - 1))
         cells: dict[int, list] = {}
@@ -58,8 +69,9 @@ def _medians(rows: DataFrame, splits: list[dict], n_dims: int) -> dict[int, int]
             cells.setdefault(row["shard"], []).append((row["cell"], row["bytes"], row["n"]))
         for shard in list(open_):
             x, before = open_[shard], 0
+            last = max(cells[shard])
             for digit, size, n in sorted(cells[shard]):
-                if before + size >= x["want"] or (digit, size, n) == max(cells[shard]):
+                if before + size >= x["want"] or (digit, size, n) == last:
                     break
                 before += size
             x["prefix"], x["known"], x["want"] = (x["prefix"] << bits) | digit, known + bits, x["want"] - before
@@ -70,44 +82,98 @@ def _medians(rows: DataFrame, splits: list[dict], n_dims: int) -> dict[int, int]
     return found
 
 
-def kd_shards(docs: DataFrame, size: Column, dims: dict[str, Column], id_col: str = "doc_id", shards: int | None = None, target_bytes: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: id, the ``carry`` columns, size, shard, slot (place in its shard, gapless from 0).
+def _placed(large: list, leaves: int, room: float) -> tuple[dict[int, int], list[float]]:
+    """Shards for large groups, (name, bytes) each, the largest first to the emptiest shard (-1: it fits into none and is
+    cut), and the bytes left in each shard."""
+    left = [(-room, s) for s in range(leaves)]
+    heapq.heapify(left)
+    found = {}
+    for name, size in sorted(large, key=lambda x: (-x[1], x[0])):
+        free, shard = left[0]
+        found[name] = shard if size <= -free else -1
+        if size <= -free:
+            heapq.heapreplace(left, (free + size, shard))
+    return found, [-free for free, _ in sorted(left, key=lambda x: x[1])]
 
-    The rows are split in two along the dimension that is widest in them (its spread against the whole
-    table's), at a weighted median of bytes, and so on until each leaf has its target bytes: ``shards`` leaves, or as
-    many as ``target_bytes`` asks for. Medians are of (place, hash of the id), so that one value, however heavy, is
-    itself split. Only narrow rows are kept and read again; histograms of at most CELLS cells a pass and one row a
-    leaf reach the driver. Slots come from a range shuffle over all tasks, not from one task a shard.
 
-    Nulls: the dimensions' expressions must not be null (see ``string_place``); a null id is hashed like any other.
-    Repeated rows are spread apart by their place in the files. Extra columns are ignored unless carried. An
+def kd_shards(docs: DataFrame, size: Column, dims: dict[str, Column], id_col: str = "doc_id", shards: int | None = None, target_bytes: int | None = None, carry: tuple[str, ...] = (), group: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, the ``carry`` columns, size, shard, slot (place in its shard, gapless from 0).
+
+    What is split are rows or, where ``group`` is given, groups of rows of equal values. They are split in two along the
+    dimension that is widest in them (its spread against the whole table's), at a weighted median of bytes, and so on until
+    each leaf has its target bytes: ``shards`` leaves, or as many as ``target_bytes`` asks for. A dimension is a
+    number, or a string, which counts by its place among the distinct ones; a group has the least values of its
+    rows. Medians are of (place, hash of the id or group), so that one value, however heavy, is itself split. Large groups
+    (at most a few thousand, see LARGE_BYTES) get the emptiest shards first, and medians allow for what is taken there; a group
+    that fits into no shard is cut into its rows. Only narrow rows are kept and read again; histograms of at most CELLS
+    cells a pass and one row a leaf reach the driver. Slots come from a range shuffle over all tasks, not from one task a shard.
+
+    Nulls: a null number or string comes before all; a null id or group is hashed like any other.
+    Repeated rows are spread apart by their place in the files, or are a group. Extra columns are ignored unless carried. An
     empty table gives an empty result. With fewer rows than shards some shards are empty.
     """
     n = len(dims)
     kept = [f"c{i}" for i in range(len(carry))]
     id_hash = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 44)  # 20 bits, then 12 for rows that share an id
     tie = F.shiftleft(id_hash, 12) + F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 52)
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), size.cast("bigint").alias("size"), *[c.cast("double").alias(f"d{i}") for i, c in enumerate(dims.values())], *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, kept, strict=True)])
-    rows = cut(base.withColumns({"tie": tie, "shard": F.lit(0)}))
-    bounds = [f(f"d{i}").alias(f"{name}{i}") for i in range(n) for f, name in ((F.min, "low"), (F.max, "high"))]
-    whole = rows.agg(F.sum("size").alias("bytes"), *bounds).first()
-    leaves = {0: shards or max(1, math.ceil((whole["bytes"] or 0) / target_bytes))}
+    name = F.lit(None).cast("bigint") if group is None else F.xxhash64(group)
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), size.cast("bigint").alias("size"), *[c.alias(f"d{i}") for i, c in enumerate(dims.values())], *[F.col(f"`{c}`").alias(k) for c, k in zip(carry, kept, strict=True)], name.alias("group"))
+    rows = cut(base.withColumns({"tie": tie, "row": F.monotonically_increasing_id()}))
+    for i in range(n):
+        text = rows.schema[f"d{i}"].dataType.typeName() == "string"
+        rows = ranked(rows, f"d{i}") if text else rows.withColumn(f"d{i}", F.coalesce(F.col(f"d{i}").cast("double"), F.lit(-1.0)))
+    ds = [f"d{i}" for i in range(n)]
+    bounds = [f(d).alias(f"{what}{i}") for i, d in enumerate(ds) for f, what in ((F.min, "low"), (F.max, "high"))]
+    whole = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *bounds).first()
+    total = whole["bytes"] or 0
+    count = shards or max(1, math.ceil(total / target_bytes))
+    room, taken = [total / count] * count, {}
+    if group is None:
+        items = rows.select("row", "size", *ds, "tie")
+    else:
+        groups = cut(rows.groupBy("group").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), *[F.min(d).alias(d) for d in ds]))
+        large = groups.where((F.col("size") > LARGE_BYTES * total / count) | (F.col("rows") > LARGE_ROWS * whole["rows"])).where("rows > 1").select("group", "size").collect()
+        taken, room = _placed([tuple(r) for r in large], count, total / count)
+        given = _table(rows.sparkSession, [{"g": g, "to": s} for g, s in taken.items()], "g:bigint,to:int")
+        own = F.shiftrightunsigned(F.col("group"), 64 - TIE_BITS)
+        few = groups.join(F.broadcast(given), F.col("group") == F.col("g"), "left_anti").select(F.col("group").alias("row"), "size", *ds, own.alias("tie"))
+        rows = rows.join(F.broadcast(given), F.col("group") == F.col("g"), "left").drop("g").withColumn("row", F.when(F.col("to") == -1, F.xxhash64("group", "row")).when(F.col("to").isNull(), F.col("group")))
+        items = few.unionByName(rows.where("to = -1").select("row", "size", *ds, "tie"))
+    items = _split(cut(items.withColumn("shard", F.lit(0))), whole, room, n)
+    found = items.select(F.col("row").alias("item"), F.col("shard").alias("found"))
+    kept_columns = ["id", "size", *kept, "tie"]
+    sharded = rows.where("row IS NOT NULL").join(found, F.col("row") == F.col("item")).select(*kept_columns, F.col("found").alias("shard"))
+    if group is not None:  # rows of large groups know their shard and meet no others
+        sharded = sharded.unionByName(rows.where("row IS NULL").select(*kept_columns, F.col("to").alias("shard")))
+    placed = positions(sharded, "shard", "id", "tie")
+    starts = small(cut(placed.groupBy(F.col("shard").alias("s")).agg(F.min("position").alias("start"))))
+    out = placed.join(starts, F.col("shard") == F.col("s"))
+    return out.select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "size", "shard", (F.col("position") - F.col("start")).alias("slot"))
+
+
+def _split(items: DataFrame, whole, room: list[float], n: int) -> DataFrame:
+    """``items`` (row, size, d0.., tie, shard 0) with their leaves as ``shard``; room: the bytes that each leaf should get."""
+    bounds = [f(f"d{i}").alias(f"{what}{i}") for i in range(n) for f, what in ((F.min, "low"), (F.max, "high"))]
+    upto = [0.0, *accumulate(room)]
+    leaves = {0: len(room)}
     while whole["bytes"] and max(leaves.values()) > 1:
         splits = []
-        for node in rows.where(F.col("shard").isin(*[s for s, k in leaves.items() if k > 1]) if len(leaves) <= 1000 else F.lit(True)).groupBy("shard").agg(F.sum("size").alias("bytes"), *bounds).collect():
-            k = leaves[node["shard"]]
+        open_ = [s for s, k in leaves.items() if k > 1]
+        for node in items.where(F.col("shard").isin(*open_) if len(open_) <= 1000 else F.lit(True)).groupBy("shard").agg(F.sum("size").alias("bytes"), *bounds).collect():
+            first, k = node["shard"], leaves[node["shard"]]
             if k > 1:
                 spread = lambda i: (node[f"high{i}"] - node[f"low{i}"]) / ((whole[f"high{i}"] - whole[f"low{i}"]) or 1)  # noqa: B023, E731
                 dim = max(range(n), key=lambda i: (spread(i), -i))
-                splits.append({"shard": node["shard"], "dim": dim, "low": node[f"low{dim}"], "high": node[f"high{dim}"], "bytes": node["bytes"], "share": (k // 2) / k})
-        medians = _medians(rows, splits, n)
+                all_room = upto[first + k] - upto[first]
+                share = (upto[first + k // 2] - upto[first]) / all_room if all_room > 0 else (k // 2) / k
+                splits.append({"shard": first, "dim": dim, "low": node[f"low{dim}"], "high": node[f"high{dim}"], "bytes": node["bytes"], "share": share})
+        if not splits:
+            break
+        medians = _medians(items, splits, n)
         table = [{"s": x["shard"], "s_dim": x["dim"], "s_low": x["low"], "s_high": x["high"], "s_at": medians[x["shard"]], "s_add": leaves[x["shard"]] // 2} for x in splits]
-        at = _table(rows.sparkSession, table, "s:int,s_dim:int,s_low:double,s_high:double,s_at:bigint,s_add:int")
-        moved = rows.join(F.broadcast(at) if len(table) < 100_000 else at, F.col("shard") == F.col("s"), "left")
+        at = _sent(_table(items.sparkSession, table, "s:int,s_dim:int,s_low:double,s_high:double,s_at:bigint,s_add:int"), len(table))
+        moved = items.join(at, F.col("shard") == F.col("s"), "left")
         to = F.col("shard") + F.when(F.col("s").isNotNull() & (_key(n) >= F.col("s_at")), F.col("s_add")).otherwise(0)
-        rows = cut(moved.withColumn("shard", to).select(*rows.columns))
+        items = cut(moved.withColumn("shard", to).select(*items.columns))
         leaves = {s: k for shard, had in leaves.items() for s, k in ([(shard, had // 2), (shard + had // 2, had - had // 2)] if had > 1 else [(shard, had)])}
-    placed = positions(rows.select("id", "size", *kept, "tie", "shard"), "shard", "id", "tie")
-    starts = small(cut(placed.groupBy(F.col("shard").alias("s")).agg(F.min("position").alias("start"))))
-    out = placed.join(starts, F.col("shard") == F.col("s"))
-    return out.select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "size", "shard", (F.col("position") - F.col("start")).alias("slot"))
+    return items
