@@ -54,7 +54,7 @@ WITH c AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
-  SELECT *, length(text) + length(text) - length(replace(text, '', ''))
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
     + len(regexp_extract_all(text, '<\|(im_start|im_end|image|audio|document|endoftext|startoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>')) AS body
   FROM c
 ), g AS (
@@ -70,8 +70,8 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.encode(text, "utf-8")))
-    dims = {"source": sharding.string_place(F.col("source")), "lang": sharding.string_place(F.col("lang")), "n_chars": sharding.number_place(F.col("n_chars"))}
-    out = sharding.kd_shards(docs, F.octet_length(text) + 1, dims, shards=16, carry=("text_crc32",))
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "n_chars": sharding.number_place(F.col("n_chars"))}
+    out = sharding.kd_shards(docs, F.octet_length(text) + 1, dims, shards=16, carry=("text_crc32",), group=text)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
