@@ -283,6 +283,30 @@ def test_licenses(spark, docs):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "BSD": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "EPL": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def test_wrapped_licenses(spark, docs):
+    prose = [r["text"] for r in docs.where("doc_id < 200 AND length(text) > 500 AND text NOT ILIKE '%licen%' AND text NOT ILIKE '%released%'").collect()]
+    alone = [(i, f"Copyright (c) 2020\n\n{n}\n", [f]) for i, (f, n) in enumerate(WRAPPED.items())]
+    amid = [(100 + i, "\n".join([*prose[i].split("\n"), *(f" * {x}" for x in n.split("\n")), *prose[i + 1].split("\n")]), [f]) for i, (f, n) in enumerate(WRAPPED.items())]
+    two = [(200, f"{WRAPPED['BSD']}\n\n{WRAPPED['GPL']}", ["BSD", "GPL"]), (201, "You may use it under the MIT License.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.", ["Apache", "MIT"])]
+    plain = [(300 + i, t, []) for i, t in enumerate(prose[20:60])] + [(400, "The license plate was released.\nPermission was granted to distribute the copyright notices.", []), (401, "All rights reserved. Redistribution of wealth is not software.", [])]
+    given = alone + amid + two + plain
+    df = spark.createDataFrame([x[:2] for x in given], "doc_id long, text string")
+    assert {r["doc_id"]: r["licences"] for r in licenses.scan(df).collect()} == {i: f for i, _, f in given}
+
+
+def test_templates_have_anchors(spark):
+    assert licenses.templates(spark).where(~licenses.anchored(F.col("text"))).count() == 0
+
+
 # 6
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,13 +17,45 @@ from tidemark.llm.cluster import cut
 
 # Notices by licence family.
 TEMPLATES = {
-    "Apache": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "This project is distributed under the terms of the Apache License, version 2.0."],
-    "MIT": ["Released under the MIT License.", "This software is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Licensed under the GNU GPL version 2 or later."],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You can redistribute this library under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
-    "AGPL": ["This work is licensed under the GNU Affero General Public License, version 3.", "You can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."],
-    "BSD": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Licensed under the BSD License."],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "Apache": [
+        "Licensed under the Apache License, Version 2.0.",
+        "This project is distributed under the terms of the Apache License, version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "This software is licensed under the MIT License.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+    ],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "GPL": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "Licensed under the GNU GPL version 2 or later.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "LGPL": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You can redistribute this library under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+    ],
+    "BSD": [
+        "Released under the BSD 3-Clause License.",
+        "Licensed under the BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "MPL": ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "EPL": ["Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "Unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "zlib": ["Licensed under the zlib License.", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
     "CC BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -33,6 +66,8 @@ OTHERS = [
     "All rights reserved.", "Copyright by the authors and contributors.", "See the terms of use for details.", "You must be licensed to drive in this state.", "The software was released last year under a new name.",
     "A public licence hearing was held on the matter.", "This work is under review by the general public.", "Permission is granted to members of the club only.", "Free software is software that respects your freedom.", "The version of the file was changed without notice.",
 ]
+# Parts of words of which each notice has some; only in blocks that have one are lines joined.
+ANCHORS = "license unlicense permission redistribut distribut software copyright warrant domain terms rights apache gnu gpl mozilla eclipse creative released licensed zlib cc".split()
 UNKNOWN = "unknown"
 #: Hashed features.
 FEATURES = 1 << 12
@@ -42,10 +77,10 @@ SAMPLE_DOCS = 300
 VARIANTS = 12
 #: Part of a template's word pairs that a paragraph must have for the template to confirm a prediction.
 CONFIRM = 0.6
-#: False positives that calibration allows among held-out paragraphs of no family.
-FALSE_POSITIVES = 0.002
-#: Bounds of the calibrated threshold: a small sample must not make it so strict that variants of a notice fail.
-LIMITS = (0.3, 0.6)
+#: Probability from which a family other than the likeliest is put to its templates too.
+ALSO = 0.25
+#: Lines of the windows of a paragraph; each window overlaps the next by half.
+WINDOWS = (4, 12, 40)
 
 
 def tokens(text: Column) -> Column:
@@ -78,10 +113,35 @@ def variants(lines: DataFrame, seeds: range) -> DataFrame:
     return some.select("family", F.array_join(kept, " ").alias("text"))
 
 
+def anchored(text: Column) -> Column:
+    """Whether a text has one of ANCHORS."""
+    lower = F.lower(text)
+    return reduce(Column.__or__, [F.contains(lower, F.lit(x)) for x in ANCHORS])
+
+
+def sample_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The lines with a letter (text) of SAMPLE_DOCS documents: their ids are taken first, then the texts."""
+    key = F.xxhash64(F.col("_i").cast("string"))
+    ids = cut(docs.select(F.col(f"`{id_col}`").alias("_i")).orderBy(key, "_i").limit(SAMPLE_DOCS).distinct())
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).join(F.broadcast(ids), F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    return texts.select(F.explode(F.split("_text", "\n")).alias("text")).where(F.col("text").rlike(r"\p{L}")).distinct()
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, paragraph): the lines of each text that have a letter."""
-    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("paragraph"))
-    return lines.where(F.col("paragraph").rlike(r"\p{L}"))
+    """Rows (id, row, block, paragraph): the lines of each text that have a letter, and lines joined.
+
+    A block is what stands between blank lines. Blocks of several lines with an anchor are paragraphs too, joined whole or in
+    overlapping windows of WINDOWS lines; so notices wrapped at any width, alone or amid other text, are seen.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    blocks = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, r"\n[ \t\r]*\n")).alias("block", "text"))
+    lines = F.split("text", "\n")
+    n = F.size(lines)
+    none = F.array().cast("array<string>")
+    joined = [F.when((n > size // 3) & (n <= size), F.array(F.array_join(lines, " "))).when(n > size, F.transform(F.sequence(F.lit(1), n, F.lit(size // 2)), lambda at: F.array_join(F.slice(lines, at, size), " "))).otherwise(none) for size in WINDOWS]  # noqa: B023
+    several = F.when((n > 1) & anchored(F.col("text")), F.array_distinct(F.filter(F.concat(*joined), anchored))).otherwise(none)
+    units = blocks.select("id", "row", "block", F.explode(F.concat(lines, several)).alias("paragraph"))
+    return units.where(F.col("paragraph").rlike(r"\p{L}"))
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
@@ -107,48 +167,54 @@ def features() -> list:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[PipelineModel, list[str], float]:
-    """The model, its labels, and the calibrated probability from which a family is predicted.
+    """The model, its labels, and the probability of being a notice that calibration finds to be even.
 
-    It learns from variants of the templates, lines of no family and the paragraphs of a bounded sample of
-    documents (those near a template left out). On other variants and the other half of the sample, the threshold
-    is the least at which paragraphs of no family pass no more often than FALSE_POSITIVES.
+    It learns from variants of the templates, lines of no family and the lines of a bounded sample of documents (those
+    near a template left out). On other variants and the other half of the sample a logistic curve is laid through the
+    log odds of being a notice (Platt's calibration, both classes of equal weight); the threshold is where it is one half.
     """
     spark = docs.sparkSession
-    sample = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).orderBy(F.xxhash64(F.col(f"`{id_col}`").cast("string"))).limit(SAMPLE_DOCS)
-    plain = without_notices(paragraphs(sample, id_col, text_col).select(F.col("paragraph").alias("text")))
+    plain = without_notices(sample_lines(docs, id_col, text_col))
     plain = cut(plain.select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")))
     others = rows_of(spark, [{"family": UNKNOWN, "text": x} for x in OTHERS], "family:string,text:string")
 
     def examples(seeds: range, half: int) -> DataFrame:
         parts = [variants(templates(spark), seeds), variants(others, seeds), plain.where(F.col("half") == half).select("family", "text")]
-        return reduce(DataFrame.unionByName, parts).withColumn("words", tokens(F.col("text")))
+        return cut(reduce(DataFrame.unionByName, parts).withColumn("words", tokens(F.col("text"))).coalesce(4))
+
+    def weights(rows: DataFrame, name: str) -> DataFrame:
+        share = rows.groupBy(name).count().agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("classes")).first()
+        return rows.groupBy(F.col(name).alias("_class")).agg((share["all"] / share["classes"] / F.count(F.lit(1))).alias("weight"))
 
-    taught = cut(examples(range(VARIANTS), 0))
-    share = taught.groupBy("family").count().agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("families")).first()
-    weights = taught.groupBy("family").agg((share["all"] / share["families"] / F.count(F.lit(1))).alias("weight"))
+    taught = examples(range(VARIANTS), 0)
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc")
     fit = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.002, maxIter=60, family="multinomial", standardization=False)
-    model = Pipeline(stages=[*features(), indexer, fit]).fit(taught.join(weights, "family"))
+    model = Pipeline(stages=[*features(), indexer, fit]).fit(taught.join(weights(taught, "family"), F.col("family") == F.col("_class")).drop("_class"))
     labels = list(model.stages[-2].labels)
     model = PipelineModel([*model.stages[:-2], model.stages[-1]])
-    held = score(model, labels, examples(range(100, 100 + VARIANTS), 1)).select("family", "p").where(F.col("family") == UNKNOWN)
-    quantile = held.agg(F.percentile("p", F.lit(1 - FALSE_POSITIVES))).first()[0]
-    return model, labels, min(max(quantile or LIMITS[0], LIMITS[0]), LIMITS[1])
+    held = score(model, labels, examples(range(100, 100 + VARIANTS), 1)).select((F.col("family") != UNKNOWN).cast("double").alias("notice"), F.log(F.greatest("p", F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9))).alias("odds"))
+    held = cut(VectorAssembler(inputCols=["odds"], outputCol="odds_vector").transform(held))
+    curve = LogisticRegression(featuresCol="odds_vector", labelCol="notice", weightCol="weight", regParam=0.001, maxIter=60).fit(held.join(weights(held, "notice"), F.col("notice") == F.col("_class")))
+    even = -curve.intercept / curve.coefficients[0] if curve.coefficients[0] > 0 else 0.0
+    return model, labels, 1 / (1 + math.exp(-even))
 
 
 def score(model: PipelineModel, labels: list[str], rows: DataFrame) -> DataFrame:
-    """``rows`` (with words) and the likeliest family other than unknown, with its probability p."""
+    """``rows`` (with words) with the probability p of being a notice, and the families that may be named, array<struct<p, family>>: the
+    likeliest, and others of ALSO and more."""
     p = vector_to_array("probability")
-    best = F.array_max(F.array(*[F.struct(F.get(p, i).alias("p"), F.lit(x).alias("family")) for i, x in enumerate(labels) if x != UNKNOWN]))
-    return model.transform(rows).withColumn("best", best).withColumns({"p": F.col("best.p"), "predicted": F.col("best.family")})
+    each = F.array(*[F.struct(F.get(p, i).alias("p"), F.lit(x).alias("family")) for i, x in enumerate(labels) if x != UNKNOWN])
+    some = F.filter("each", lambda x: (x["p"] >= ALSO) | (x["p"] == F.array_max("each")["p"]))
+    return model.transform(rows).withColumn("each", each).withColumns({"p": F.aggregate("each", F.lit(0.0), lambda total, x: total + x["p"]), "families": some})
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id of ``docs``: id, licences (array of families, sorted), n_notices, best_family, best_probability.
+    """One row per id of ``docs``: id, licences (array of families, sorted), n_notices (paragraphs between blank lines, by
+    family named there), best_family, best_probability.
 
-    Every paragraph of every whole text is classified; a family counts if its probability reaches the calibrated
-    threshold and one of its templates has CONFIRM of its word pairs in the paragraph. Other paragraphs are of the
-    unknown class. Nothing but ids and findings is shuffled.
+    Every paragraph of every whole text is classified; a family counts if the probability of a notice reaches the calibrated
+    threshold, the family is among the likely ones, and one of its templates has CONFIRM of its word pairs in the paragraph. Other paragraphs
+    are of the unknown class. Nothing but ids and findings is shuffled.
 
     Nulls: a null text has no paragraphs; null ids are one row. Rows that share an id are scanned together.
     Extra columns are ignored; an empty table gives an empty result (nothing is trained).
@@ -159,9 +225,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return none
     model, labels, threshold = train(docs, id_col, text_col)
     rows = paragraphs(docs, id_col, text_col).withColumn("words", tokens(F.col("paragraph")))
-    likely = score(model, labels, rows).where(F.col("p") >= threshold).select("id", "p", "predicted", pairs(F.col("words")).alias("own"))
+    likely = score(model, labels, rows).where(F.col("p") >= threshold).select("id", "row", "block", F.explode("families").alias("f"), pairs(F.col("words")).alias("own")).select("id", "row", "block", "own", "f.p", F.col("f.family").alias("predicted"))
     wanted = template_pairs(docs.sparkSession).groupBy("t_family").agg(F.collect_list("wanted").alias("wanted"))
     confirmed = F.exists("wanted", lambda w: F.size(F.array_intersect(w, F.col("own"))) >= CONFIRM * F.size(w))
-    found = likely.join(F.broadcast(wanted), F.col("predicted") == F.col("t_family")).where(confirmed).groupBy("id").agg(F.array_sort(F.collect_set("predicted")).alias("licences"), F.count(F.lit(1)).alias("n_notices"), F.max(F.struct("p", "predicted")).alias("best"))
+    found = likely.join(F.broadcast(wanted), F.col("predicted") == F.col("t_family")).where(confirmed)
+    found = found.groupBy("id", "row", "block", "predicted").agg(F.max("p").alias("p"))
+    found = found.groupBy("id").agg(F.array_sort(F.collect_set("predicted")).alias("licences"), F.count(F.lit(1)).alias("n_notices"), F.max(F.struct("p", "predicted")).alias("best"))
     out = ids.join(found.withColumnRenamed("id", "f_id"), F.col("id").eqNullSafe(F.col("f_id")), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("licences", F.array().cast("array<string>")).alias("licences"), F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"), F.col("best.predicted").alias("best_family"), F.col("best.p").alias("best_probability"))
