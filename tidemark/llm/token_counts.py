@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from tidemark.llm.texts import bounded, codes, slices, sums
 SPACE = "▁"
 #: No merge.
 NEVER = np.iinfo(np.int32).max
+#: Symbols from which a sequence is merged by itself.
+LONG = 4096
 #: Bytes of text counted at once.
 BATCH_BYTES = 8 << 20
 
@@ -25,7 +28,8 @@ class Merges:
 
     Symbols are the pieces and the characters that occur in pieces. A pair merges if its concatenation is a
     piece, the pieces of higher score first. ``single`` marks pieces after whose merge a better pair may appear;
-    of those, one occurrence at a time may be merged.
+    of those, one occurrence at a time may be merged. ``beside`` are the pairs of characters that stand side by
+    side in a piece: nothing ever merges over others, so that sequences part there, however long they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,6 +58,8 @@ class Merges:
                 if a is not None and b is not None:
                     pairs[a * self.n_symbols + b] = place[x]
                     self.single[[s for s in (a, b) if s < self.pieces and s > place[x]]] = True
+        beside = {(symbols[a], symbols[b]) for x in ordered for a, b in zip(x, x[1:])}
+        self.beside = np.array(sorted(a * self.n_symbols + b for a, b in beside), dtype=np.int64)
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
 
@@ -65,12 +71,23 @@ class Merges:
     def count(self, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Symbols left of each sequence chars[bounds[i]:bounds[i + 1]] (code points, none empty); a character
         that is no piece counts its UTF-8 bytes."""
-        total = np.zeros(len(bounds) - 1, dtype=np.int64)
         symbol = self.of_char[chars]
         width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
-        seq = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         if not len(symbol):
-            return total
+            return np.zeros(len(bounds) - 1, dtype=np.int64)
+        whole = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        key = symbol[:-1].astype(np.int64) * self.n_symbols + symbol[1:]
+        joined = self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] == key
+        parts = np.concatenate(([True], (whole[1:] != whole[:-1]) | ~joined))
+        seq, owner = np.cumsum(parts) - 1, whole[parts]
+        total = np.zeros(len(owner), dtype=np.int64)
+        sizes = np.bincount(seq, minlength=len(owner))
+        if sizes.max() > LONG:
+            for i in np.flatnonzero(sizes > LONG).tolist():
+                some = slice(*np.searchsorted(seq, (i, i + 1)).tolist())
+                total[i] = self.count_long(symbol[some].tolist(), width[some].tolist())
+            short = sizes[seq] <= LONG
+            symbol, width, seq = symbol[short], width[short], seq[short]
         rank = np.full(len(symbol), NEVER, dtype=np.int32)
         inside = np.flatnonzero(seq[:-1] == seq[1:])
         rank[inside] = self.rank(symbol[inside], symbol[inside + 1])
@@ -107,7 +124,28 @@ class Merges:
             fresh = fresh[fresh + 1 < len(seq)]
             fresh = fresh[seq[fresh] == seq[fresh + 1]]
             rank[fresh] = self.rank(symbol[fresh], symbol[fresh + 1])
-        return total
+        return np.bincount(owner, weights=total, minlength=len(bounds) - 1).astype(np.int64)
+
+
+    def count_long(self, symbol: list[int], width: list[int]) -> int:
+        """``count`` for one long sequence, where a round for each rank would read it too often: the pairs wait in a heap."""
+        ranks, n = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True)), self.n_symbols
+        after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (r := ranks.get(a * n + b)) is not None]  # noqa: B905
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            k = after[i]
+            if symbol[i] != a or k >= len(symbol) or symbol[k] != b:
+                continue  # one of them has merged meanwhile
+            symbol[i], symbol[k] = rank, -1
+            after[i] = after[k]
+            if after[k] < len(symbol):
+                before[after[k]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < len(symbol) and (r := ranks.get(symbol[left] * n + symbol[right])) is not None:
+                    heapq.heappush(heap, (r, left, symbol[left], symbol[right]))
+        return sum(1 if 0 <= x < self.pieces else w for x, w in zip(symbol, width, strict=True) if x >= 0)
 
 
 _MERGES: dict[str, Merges] = {}
