@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import cut, small
+from tidemark.llm.cluster import cut, small, without
 from tidemark.llm.texts import bounded, codes, slices, sums, words
 
 # Common words of each language, by language code.
@@ -212,12 +212,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    Rejected rows are named by id; rows that share an id are rejected one by one, by their text.
+    Rejected rows are named by id. Rows that share an id are rejected one by one, by their text and language.
     """
-    names = docs.columns
-    digest = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_key"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang"), digest.alias("_digest"))
-    bad = judge(keyed, "_key", "_text", "_lang", limits, carry=("_digest",)).where("NOT kept")
-    bad = small(cut(bad.select(F.col("_key").alias("_k"), F.col("_digest").alias("_d")).distinct()))
-    gone = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d"))
-    return keyed.join(bad, gone, "left_anti").select("_row.*")
+    key = F.col(f"`{id_col}`").alias("_id")
+    shared = cut(docs.groupBy(key).count().where("count > 1").select("_id"))
+    if shared.isEmpty():
+        bad = judge(docs, id_col, text_col, lang_col, limits).where("NOT kept").select(id_col)
+        return without(docs, id_col, bad)
+    digest = F.sha2(F.concat_ws("\n", F.coalesce(F.col("_lang").cast("string"), F.lit("")), F.col("_text").cast("string")), 256)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key, F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang"))
+    many = F.col("_id").eqNullSafe(F.col("_s"))
+    several = small(shared.withColumnRenamed("_id", "_s"))
+    named = keyed.join(several.withColumn("_many", F.lit(True)), many, "left").withColumn("_digest", F.when(F.col("_many"), digest))
+    bad = cut(judge(named, "_id", "_text", "_lang", limits, carry=("_digest",)).where("NOT kept").select(F.col("_id").alias("_k"), F.col("_digest").alias("_d")).distinct())
+    lone = without(named.where("_many IS NULL").select("_id", "_row"), "_id", bad.where("_d IS NULL").select("_k")).select("_row.*")
+    rest = named.where("_many").join(small(bad.where("_d IS NOT NULL")), F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left_anti").select("_row.*")
+    return lone.unionByName(rest)
