@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -329,6 +330,8 @@ def test_quality_verdict(docs, nothing):
     assert got == {i: k for (i, _, _), k in zip(given, want, strict=True)} and 0 < sum(want) < len(want)
     assert key(quality.accepted(docs).collect()) == key(r for r in docs.collect() if got[r["doc_id"]])
     assert quality.judge(nothing).count() == 0 and quality.accepted(nothing).count() == 0
+    twice = docs.select(F.floor(F.col("doc_id") / 2).alias("doc_id"), "text", "lang", F.col("doc_id").alias("was"))
+    assert {r["was"] for r in quality.accepted(twice).collect()} == {i for i, k in got.items() if k}
 
 
 def test_quality_spares_clean_documents(spark):
@@ -444,6 +447,18 @@ def test_token_counts(edge, nothing):
     assert token_counts.count_tokens(nothing).count() == 0
 
 
+def test_token_counts_of_very_long_words():
+    from sentencepiece import SentencePieceProcessor
+
+    rnd, merges = random.Random(8), token_counts.merges_of(token_counts.default_path())
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "etaoinshr"]
+    began, texts = time.process_time(), ["".join(rnd.choices(k, k=1_000_000)) for k in kinds]
+    got = token_counts.counts(pa.array(texts), merges).tolist()
+    assert time.process_time() - began < 60
+    sp = SentencePieceProcessor(model_file=token_counts.default_path())
+    assert got == [len(x) for x in sp.encode(texts, num_threads=1)]
+
+
 # 10
 
 
@@ -479,6 +494,19 @@ def test_mixing_edges(edge):
     assert set(mixing.mixed(edge).columns) == set(edge.columns)
 
 
+def test_mixed_with_shared_ids(spark):
+    given = [(i % 50, " ".join(["w"] * (5 + i % 13)), "ab"[i % 2], i) for i in range(300)] + [(None, "the same words", "b", 0)] * 41
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, n long").repartition(4)
+    sizes, taken = Counter(), Counter()
+    for _, t, s, _ in given:
+        sizes[s] += len(t.split())
+    out = mixing.mixed(df).collect()
+    for r in out:
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - x) <= 9 for s, x in brute.targets(sizes).items())
+    assert max(Counter(tuple(r) for r in out if r["doc_id"] is not None).values()) <= 2 and key(out) == key(mixing.mixed(df.repartition(2)).collect())
+
+
 def test_mixing_tilts_by_size(docs):
     """Within a source the logarithm of the rate, below the cap, is in proportion to the size."""
     by = defaultdict(list)

@@ -6,7 +6,7 @@ from itertools import cycle, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import cut, positions, small
@@ -97,12 +97,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     their own. Documents without words get one copy, which takes no words. An empty table gives an empty
     result. Equal input gives equal output.
     """
-    count = size if size is not None else size_of(F.col("text"))
+    kept = [f"_c{i}" for i in range(len(carry))]
+    rows, plan = planned(docs, id_col, source_col, size if size is not None else size_of(F.col("text")), weights, share, cap, carry)
+    out = rows.join(small(plan), ["source_key", "size"])
+    copies = F.floor(F.col("copies") / F.col("n")) + (F.col("position") - F.col("start") < F.col("copies") % F.col("n")).cast("bigint")
+    return out.select(F.col("_id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], F.col("_source").alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"))
+
+
+def source_key(source: Column) -> Column:
+    """A string in the order of sources, null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def planned(docs: DataFrame, id_col: str, source_col: str, count: Column, weights: tuple[float, ...], share: float, cap: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The narrow rows of ``docs`` with their positions in order of (source, size, hash of the id), and the plan of each (source_key, size) class: its
+    rows n from ``start`` on, the copies that they get together, rate, source_size and target."""
     hashed = F.xxhash64(F.col("_id").cast("string"))
-    key = F.when(F.col("_source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("_source")))
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), count.alias("size"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
     kept = [f"_c{i}" for i in range(len(carry))]
-    rows = positions(base.withColumn("source_key", key).withColumn("_hash", hashed), "source_key", "size", "_hash", "_id", *kept)
+    rows = positions(base.withColumn("source_key", source_key(F.col("_source"))).withColumn("_hash", hashed), "source_key", "size", "_hash", "_id", *kept)
 
     classes = cut(rows.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("start")))
     totals = classes.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
@@ -116,19 +129,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     whole = cut(rated.select("source_key", "size", "n", "start", "rate").groupBy("source_key").applyInPandas(lambda pdf: rounded(pdf, cap), "source_key string, size bigint, n bigint, start bigint, copies bigint"))
 
     plan = rated.select("source_key", "size", "source_size", "target", "rate").join(whole, ["source_key", "size"])
-    out = rows.join(small(cut(plan)), ["source_key", "size"])
-    more = (F.col("position") - F.col("start") < F.col("copies") % F.col("n")).cast("bigint")
-    copies = F.floor(F.col("copies") / F.col("n")) + more
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("_source").alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"))
+    return rows, cut(plan)
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
     """``docs`` itself in the mix: each row as often as its copies say, none if zero.
 
-    Copies are found by id (null included); rows that share an id are each repeated by the most that one of them gets.
+    A row finds its copies by its source and size, whose class has a number for all and an edge: rows before it, in order of
+    (hash of the id, id, hash of the text), get one more. So only classes are sent to the rows, texts stay where they are, and rows that share
+    an id get copies each on its own. Rows equal in all of these that stand on an edge are told apart by their JSON form.
     """
-    marked = mix(docs, id_col, source_col, size_of(F.col(f"`{text_col}`")))
-    taken = cut(marked.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
-    joined = rows.join(small(taken), F.col("_key").eqNullSafe(F.col("_id")))
-    return joined.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select("_row.*")
+    words = size_of(F.col(f"`{text_col}`"))
+    order = F.struct("_hash", "_id", "_text_hash")
+    keys = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("_source"), words.alias("size"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_text_hash"))
+    ranked, plan = planned(keys, "_id", "_source", F.col("size"), weights, share, cap, ("_text_hash",))
+    ranked = ranked.join(small(plan), ["source_key", "size"]).withColumn("more", F.col("copies") % F.col("n")).withColumn("rank", F.col("position") - F.col("start")).withColumnRenamed("_c0", "_text_hash")
+    edges = cut(ranked.where("more > 0 AND rank = more").select("source_key", "size", order.alias("edge")))
+    upto = ranked.where("rank < more").join(small(edges), ["source_key", "size"]).where(order == F.col("edge")).groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("on_edge"))
+    each = F.floor(F.col("copies") / F.col("n")).alias("each")
+    table = cut(plan.select("source_key", "size", each).join(edges, ["source_key", "size"], "left").join(upto, ["source_key", "size"], "left"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), source_key(F.col(f"`{source_col}`")).alias("source_key"), words.alias("size"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_text_hash"))
+    rows = rows.withColumn("_hash", F.xxhash64(F.col("_id").cast("string"))).join(small(table), ["source_key", "size"])
+    on_edge = F.col("on_edge").isNotNull() & (order == F.col("edge"))
+    before = F.coalesce(order < F.col("edge"), F.lit(False)).cast("bigint")
+    out = rows.where(~on_edge).select("_row", (F.col("each") + before).alias("copies"))
+    if not table.where("on_edge IS NOT NULL").isEmpty():
+        place = F.row_number().over(Window.partitionBy("source_key", "size").orderBy(F.to_json("_row")))
+        out = out.unionByName(rows.where(on_edge).withColumn("place", place).select("_row", (F.col("each") + (F.col("place") <= F.col("on_edge")).cast("bigint")).alias("copies")))
+    return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("_row.*")
