@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import cut, positions, small
 
+#: Partitions of tables that have a row for each source.
+SOURCE_PARTS = 8
 #: Newton rounds at most, and the relative error of a source's words at which they end.
 ROUNDS, TOLERANCE = 60, 1e-9
 
@@ -27,7 +29,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: f
     of one) rises, round by round, to its fixed point. A round is one aggregate over the sources.
     """
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    rows = cut(sources.withColumns({"weight": weight, "most": F.col("source_size") * F.lit(float(cap))}))
+    rows = cut(sources.withColumns({"weight": weight, "most": F.col("source_size") * F.lit(float(cap))}).coalesce(SOURCE_PARTS))
     total = (rows.agg(F.sum("source_size")).first()[0] or 0) * share
     level, held = 0.0, -1
     while True:
@@ -48,7 +50,7 @@ def tilts(classes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
     """
     x = F.col("size") / F.col("mean")
     rows = cut(classes.where("size > 0").join(small(sources.select("source_key", "source_size", "target", "n_docs")), "source_key").select("source_key", "size", "n", "target", "source_size", (F.col("source_size") / F.col("n_docs")).alias("mean")))
-    state = cut(sources.select("source_key", F.lit(0.0).alias("tilt"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")))
+    state = cut(sources.select("source_key", F.lit(0.0).alias("tilt"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")).coalesce(SOURCE_PARTS))
     for _ in range(ROUNDS):
         rate = F.exp(F.least(F.col("tilt") * x, F.lit(float(np.log(cap)))))
         free = F.col("tilt") * x < float(np.log(cap))
@@ -63,7 +65,7 @@ def tilts(classes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
         bounded = (F.col("low") > float("-inf")) & (F.col("high") < float("inf"))
         other = F.when(bounded, (F.col("low") + F.col("high")) / 2).when(F.col("off") < 0, F.col("tilt") * 2 + 1).otherwise(F.col("tilt") * 2 - 1)
         done = F.abs("off") <= TOLERANCE
-        state = cut(moved.select("source_key", F.when(done, F.col("tilt")).when(inside, step).otherwise(other).alias("tilt"), "low", "high", "off", "most", "target"))
+        state = cut(moved.select("source_key", F.when(done, F.col("tilt")).when(inside, step).otherwise(other).alias("tilt"), "low", "high", "off", "most", "target").coalesce(SOURCE_PARTS))
         if not (state.agg(F.max(F.abs("off"))).first()[0] or 0) > TOLERANCE:
             break
     full = F.col("target") >= F.col("most") * (1 - 1e-12)
