@@ -67,12 +67,14 @@ OTHERS = [
     "A public licence hearing was held on the matter.", "This work is under review by the general public.", "Permission is granted to members of the club only.", "Free software is software that respects your freedom.", "The version of the file was changed without notice.",
 ]
 # Parts of words of which each notice has some; only in blocks that have one are lines joined.
-ANCHORS = "license unlicense permission redistribut distribut software copyright warrant domain terms rights apache gnu gpl mozilla eclipse creative released licensed zlib cc".split()
+ANCHORS = "license permission redistribut software copyright domain rights".split()
 UNKNOWN = "unknown"
 #: Hashed features.
 FEATURES = 1 << 12
 #: Documents, taken in order of a hash of their ids, whose paragraphs teach the class of unknown; the bound of what the fit reads.
 SAMPLE_DOCS = 300
+#: Partitions of the bounded training rows; each sends its gradient of all classes and features to the driver.
+FIT_PARTS = 4
 #: Variants of each template in training, and of each for calibration.
 VARIANTS = 12
 #: Part of a template's word pairs that a paragraph must have for the template to confirm a prediction.
@@ -180,7 +182,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[PipelineModel, l
 
     def examples(seeds: range, half: int) -> DataFrame:
         parts = [variants(templates(spark), seeds), variants(others, seeds), plain.where(F.col("half") == half).select("family", "text")]
-        return cut(reduce(DataFrame.unionByName, parts).withColumn("words", tokens(F.col("text"))).coalesce(4))
+        return cut(reduce(DataFrame.unionByName, parts).withColumn("words", tokens(F.col("text"))).coalesce(FIT_PARTS))
 
     def weights(rows: DataFrame, name: str) -> DataFrame:
         share = rows.groupBy(name).count().agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("classes")).first()
@@ -189,12 +191,12 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[PipelineModel, l
     taught = examples(range(VARIANTS), 0)
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc")
     fit = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.002, maxIter=60, family="multinomial", standardization=False)
-    model = Pipeline(stages=[*features(), indexer, fit]).fit(taught.join(weights(taught, "family"), F.col("family") == F.col("_class")).drop("_class"))
+    model = Pipeline(stages=[*features(), indexer, fit]).fit(taught.join(weights(taught, "family"), F.col("family") == F.col("_class")).drop("_class").coalesce(FIT_PARTS))
     labels = list(model.stages[-2].labels)
     model = PipelineModel([*model.stages[:-2], model.stages[-1]])
     held = score(model, labels, examples(range(100, 100 + VARIANTS), 1)).select((F.col("family") != UNKNOWN).cast("double").alias("notice"), F.log(F.greatest("p", F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9))).alias("odds"))
     held = cut(VectorAssembler(inputCols=["odds"], outputCol="odds_vector").transform(held))
-    curve = LogisticRegression(featuresCol="odds_vector", labelCol="notice", weightCol="weight", regParam=0.001, maxIter=60).fit(held.join(weights(held, "notice"), F.col("notice") == F.col("_class")))
+    curve = LogisticRegression(featuresCol="odds_vector", labelCol="notice", weightCol="weight", regParam=0.001, maxIter=60).fit(held.join(weights(held, "notice"), F.col("notice") == F.col("_class")).coalesce(FIT_PARTS))
     even = -curve.intercept / curve.coefficients[0] if curve.coefficients[0] > 0 else 0.0
     return model, labels, 1 / (1 + math.exp(-even))
 
@@ -204,8 +206,9 @@ def score(model: PipelineModel, labels: list[str], rows: DataFrame) -> DataFrame
     likeliest, and others of ALSO and more."""
     p = vector_to_array("probability")
     each = F.array(*[F.struct(F.get(p, i).alias("p"), F.lit(x).alias("family")) for i, x in enumerate(labels) if x != UNKNOWN])
-    some = F.filter("each", lambda x: (x["p"] >= ALSO) | (x["p"] == F.array_max("each")["p"]))
-    return model.transform(rows).withColumn("each", each).withColumns({"p": F.aggregate("each", F.lit(0.0), lambda total, x: total + x["p"]), "families": some})
+    scored = model.transform(rows).withColumn("p", 1 - F.get(p, labels.index(UNKNOWN)))
+    some = scored.withColumn("each", each).withColumn("most", F.array_max("each")["p"])
+    return some.withColumn("families", F.filter("each", lambda x: (x["p"] >= ALSO) | (x["p"] == F.col("most"))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
