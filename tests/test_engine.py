@@ -54,6 +54,12 @@ def test_formats(spark):
     assert rows(lines.select(C.commit_fields(F.col("x")).alias("c")).select("c.*")) == [("h", D(2024, 1, 2), "a|b"), ("h", D(2024, 1, 2), ""), ("", None, "")]
 
 
+def test_metrics_and_labels(spark):
+    df = spark.createDataFrame([(1234567.0, 0.25), (None, None), (-5.0, 0.75)], "n double, x double")
+    assert rows(df.select(C.metric(F.col("n")), C.metric(F.col("x"), 1), C.metric(F.col("n"), 2, "$"))) == [("1,234,567", "0.2", "$1234567.00"), ("N/A", "N/A", "N/A"), ("-5", "0.8", "$-5.00")]
+    assert rows(df.select(C.group_label(F.lit("Oil"), F.lit(3), F.col("n")))) == [("Oil (3 tickers) | RS: 1234567.0",), ("Oil (3 tickers) | RS: N/A",), ("Oil (3 tickers) | RS: -5.0",)]
+
+
 def test_filters(spark):
     df = stocks(spark, DATA)
     assert filters.FilterSpec().apply(df).count() == 5  # the default minima drop nulls
@@ -130,6 +136,11 @@ def test_files(spark, tmp_path):
     assert rows(files.load_industries(spark, str(tmp_path)).select("industry", "rank")) == [("X", 2.0)]
     cache = files.Cache(spark)
     first = cache.get(str(tmp_path), files.load_stocks)
+    (tmp_path / "rs_stocks_4.csv").write_text("Price,Ticker,RevenueGrowth,Relative Strength\n1,R,2,3\n")
+    grouped = files.read_all(spark, f"{tmp_path}/rs_stocks_[1-4].csv")[0]
+    assert grouped._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # one scan for each header
+    assert {(r["ticker"], r["source_file"]) for r in grouped.where("ticker IN ('Q', 'R')").collect()} == {("Q", "rs_stocks_2.csv"), ("R", "rs_stocks_4.csv")}
+    (tmp_path / "rs_stocks_4.csv").unlink()
     assert cache.get(str(tmp_path), files.load_stocks) is first and "rs_stocks_1.csv:" in files.signature(spark, str(tmp_path))
     (tmp_path / "rs_stocks_historical.csv").unlink()
     assert cache.get(str(tmp_path), files.load_stocks) is not first
@@ -138,25 +149,113 @@ def test_files(spark, tmp_path):
     assert set(INDUSTRY_NAMES.values()) - set(STOCK_NAMES.values()) == {"tickers"}
 
 
+class Repo:
+    """A git repository of test files."""
+
+    def __init__(self, folder):
+        self.folder = folder
+        folder.mkdir(exist_ok=True)
+        self.git("init", "-q")
+
+    def git(self, *args, day="2024-01-01"):
+        env = {"GIT_AUTHOR_DATE": f"{day}T12:00:00", "GIT_COMMITTER_DATE": f"{day}T12:00:00", "PATH": "/usr/bin:/bin", "HOME": str(self.folder)}
+        subprocess.run(["git", "-C", str(self.folder), "-c", "user.name=t", "-c", "user.email=t@example.org", *args], check=True, capture_output=True, env=env)
+
+    def commit(self, day, message, **texts):
+        for name, text in texts.items():
+            (self.folder / f"{name}.csv").write_text(text)
+        self.git("add", ".", day=day)
+        self.git("commit", "-q", "--allow-empty", "-m", message, day=day)
+        return self
+
+
 def test_commits(spark, tmp_path):
-    def git(*args, day="2024-01-01"):
-        env = {"GIT_AUTHOR_DATE": f"{day}T12:00:00", "GIT_COMMITTER_DATE": f"{day}T12:00:00", "PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}
-        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.org", *args], check=True, capture_output=True, env=env)
-
-    git("init", "-q")
-    (tmp_path / "a.csv").write_text("Ticker\nA\n")
-    git("add", "."), git("commit", "-qm", "one | bar")
-    (tmp_path / "b.csv").write_text("Ticker\nB\n")
-    (tmp_path / "a.csv").write_text("Ticker\n")
-    git("add", ".", day="2024-01-02"), git("commit", "-qm", "two", day="2024-01-02")
+    Repo(tmp_path).commit("2024-01-01", "one | bar", a="Ticker\nA\n").commit("2024-01-02", "two", a="Ticker\n", b="Ticker\nB\n")
     assert [(d, m) for _, d, m in commits.log(str(tmp_path))] == [(D(2024, 1, 2), "two"), (D(2024, 1, 1), "one | bar")]
     assert commits.log(str(tmp_path / "none")) == []
     got = commits.snapshots(spark, str(tmp_path), ["a.csv", "b.csv"])
     assert sorted(rows(got.select("date", "file"))) == [(D(2024, 1, 1), "a.csv"), (D(2024, 1, 2), "a.csv"), (D(2024, 1, 2), "b.csv")]
     assert sorted(rows(commits.first_available(got).select("date", "file"))) == [(D(2024, 1, 1), "a.csv"), (D(2024, 1, 2), "b.csv")]
+    assert [r["date"] for r in commits.snapshots(spark, str(tmp_path), ["b.csv"], D(2024, 1, 1)).collect()] == [D(2024, 1, 2)]
     assert not commits.upstream_ahead(str(tmp_path), "main")
 
 
+def test_remote_ahead(tmp_path):
+    far = Repo(tmp_path / "far").commit("2024-01-01", "one")
+    far.git("branch", "-M", "main")
+    far.git("clone", "-q", str(far.folder), str(tmp_path / "near"))
+    far.commit("2024-01-02", "two")
+    assert not commits.upstream_ahead(str(tmp_path / "near"), "main")
+    far.git("-C", str(tmp_path / "near"), "fetch", "-q")
+    assert commits.upstream_ahead(str(tmp_path / "near"), "main")
+
+
+def test_parsed(spark):
+    long = ",".join(f"T{i}" for i in range(5000))
+    texts = [
+        ("a", "\ufeffTicker,Sector,Price,date\r\nA,\"x, \"\"y\"\"\",1.5,1999-01-01\r\n\r\nNA,,N/A,\r\nshort\r\n"), ("b", 'Price,Ticker\n2,"two\nlines"\n3,C,extra'),
+        ("c", f'Ticker,Sector\nL,"{long}"'), ("no records", "Ticker\n"), ("unknown", "x,y\n1,2"), ("open quote", 'Ticker\n"A\nB'), ("empty", ""), ("null", None),
+    ]
+    df = files.parsed(spark.createDataFrame(texts, "name string, content string").withColumn("date", F.lit(D(2024, 1, 1))))
+    got = sorted(rows(df.select("name", "line", "ticker", "sector", "price")))
+    assert got == [("a", 1, "A", 'x, "y"', 1.5), ("a", 2, "NA", None, None), ("a", 3, "short", None, None), ("b", 1, "two\nlines", None, 2.0), ("b", 2, "C", None, 3.0), ("c", 1, "L", long, None)]
+    assert {r["date"] for r in df.collect()} == {D(2024, 1, 1)}
+    own = files.parsed(spark.createDataFrame(texts[:1], "name string, content string"), compat_na_tokens=True)
+    assert rows(own.select("ticker", "date")) == [("A", D(1999, 1, 1)), (None, None), ("short", None)]
+
+
+STOCKS = ["s1.csv", "s2.csv"]
+
+
+def test_history_of_commits(spark, tmp_path):
+    """A whole build equals the build of a prefix and the append of the rest; every exit state."""
+    repo = Repo(tmp_path / "repo")
+    where, whole, grown = str(repo.folder), f"{tmp_path}/whole", f"{tmp_path}/grown"
+    assert history.build_from_commits(spark, where, whole, STOCKS, "ticker").state == "current"
+    repo.commit("2024-01-01", "none yet", other="x\n")
+    assert history.build_from_commits(spark, where, whole, STOCKS, "ticker").state == "no file"
+    assert history.append_from_commits(spark, where, grown, STOCKS, "ticker").state == "missing"
+    repo.commit("2024-01-02", "one", s1="Ticker,1M_RS_Percentile\nA,99\nA,98\n", s2="Ticker,Price\nA,7\nB,8\n")
+    assert history.build_from_commits(spark, where, grown, STOCKS, "ticker") == history.Appended("built", 2)
+    assert history.append_from_commits(spark, where, grown, STOCKS, "ticker").state == "current"
+    repo.commit("2024-01-03", "early", s1="Ticker,Price\nA,1\nC,3\n").commit("2024-01-03", "late", s1="Ticker,Price\nA,2\n").commit("2024-01-04", "next", s1="Price,Ticker\n5,A\n")
+    assert history.append_from_commits(spark, where, grown, STOCKS, "ticker") == history.Appended("appended", 5, D(2024, 1, 2))
+    repo.commit("2024-01-05", "bad", s1="", s2='Ticker\n"A\n')
+    assert history.append_from_commits(spark, where, grown, STOCKS, "ticker") == history.Appended("no file", 0, D(2024, 1, 4))
+    assert history.build_from_commits(spark, where, whole, STOCKS, "ticker").rows == 7
+    shown = [sorted(map(repr, rows(spark.read.parquet(p).select("date", "ticker", "price", "p1m", "r1m", "commit_hash")))) for p in (whole, grown)]
+    assert shown[0] == shown[1]
+    got = {(r["date"].day, r["ticker"]): (r["price"], r["r1m"]) for r in spark.read.parquet(grown).collect()}
+    assert got == {(2, "A"): (None, 2.0), (2, "B"): (8.0, None), (3, "A"): (2.0, None), (3, "B"): (8.0, None), (3, "C"): (3.0, None), (4, "A"): (5.0, None), (4, "B"): (8.0, None)}
+    old = [(r["date"].day, r["ticker"], r["price"]) for r in history.build_legacy(spark, where, STOCKS).collect()]
+    assert old[:2] == [(2, "A", None), (2, "A", None)] and [r for r in old if r[0] == 3] == [(3, "A", 1.0), (3, "C", 3.0), (3, "A", 2.0)]
+
+
+def test_append_survives_failure(spark, tmp_path, monkeypatch):
+    """A write that fails after the newest of several dates is in place loses no date, be it the first or a later one."""
+    days = [stocks(spark, [(D(2024, 1, n), "A", "s", "i", float(n), 1.0, 1.0, 1.0)]) for n in (1, 2, 3, 4)]
+    path, write = f"{tmp_path}/history", history.write_history
+
+    def half(df, where):
+        write(df.where(F.col("date") == F.lit(df.agg(F.max("date")).first()[0])), where)
+        raise OSError("lost")
+
+    monkeypatch.setattr(history, "write_history", half)
+    with pytest.raises(OSError):
+        history.replace_dates(spark, path, history.build(days[:2], "ticker"))
+    with pytest.raises(OSError):
+        history.append(spark, path, days[2], "ticker")
+    monkeypatch.setattr(history, "write_history", write)
+    assert history.append(spark, path, files.union(days[:2]), "ticker").state == "current"
+    monkeypatch.setattr(history, "write_history", half)
+    with pytest.raises(OSError):
+        history.append(spark, path, files.union(days[2:]), "ticker")
+    monkeypatch.setattr(history, "write_history", write)
+    history.append(spark, path, files.union(days[2:]), "ticker")
+    assert sorted(r["rs"] for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0, 4.0]
+    assert not files.exists(spark, f"{path}-stage")
+
+
 def test_sinks(spark, tmp_path):
     df = stocks(spark, DATA)
     sinks.write_csv(df, f"{tmp_path}/csv")

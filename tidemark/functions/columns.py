@@ -55,6 +55,18 @@ def billions(column: Column) -> Column:
     return F.when(column.isNull(), "N/A").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", column / F.lit(1e9)), F.lit("B")))
 
 
+def metric(column: Column, decimals: int = 0, prefix: str = "") -> Column:
+    """A number as text: ``decimals`` places, ties to even, after ``prefix``; a whole number with its thousands parted by commas. Null as N/A."""
+    text = F.call_function("format_number", column.cast("double"), F.lit("0." + "0" * decimals)) if decimals else F.format_number(column, 0)
+    return F.coalesce(F.concat(F.lit(prefix), text), F.lit("N/A"))
+
+
+def group_label(name: Column, size: Column, strength: Column) -> Column:
+    """What stands above a group's list: its name, how many tickers, its strength or N/A."""
+    shown = F.coalesce(F.call_function("format_number", strength.cast("double"), F.lit("0.0#####")), F.lit("N/A"))
+    return F.concat(name, F.lit(" ("), size.cast("string"), F.lit(" tickers) | RS: "), shown)
+
+
 def or_na(column: Column) -> Column:
     """Text, with N/A for null."""
     return F.coalesce(column.cast("string"), F.lit("N/A"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # The columns of the snapshot files, in their order, and the names used in this package.
 STOCK_NAMES = {
     "Rank": "rank", "Ticker": "ticker", "Sector": "sector", "Industry": "industry", "Exchange": "exchange", "Relative Strength": "rs", "Percentile": "percentile",
@@ -18,5 +16,3 @@ NUMERIC = ("rank", "rs", "percentile", "p1m", "p3m", "p6m", "r1m", "r3m", "r6m",
 HORIZONS = {"p1m": "r1m", "p3m": "r3m", "p6m": "r6m"}
 #: Natural keys of the two histories, besides the date.
 STOCK_KEY, INDUSTRY_KEY = "ticker", "industry"
-
-COMMITS = T.StructType([T.StructField("hash", T.StringType()), T.StructField("date", T.DateType()), T.StructField("message", T.StringType())])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -15,7 +16,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
 def newest_first(df: DataFrame, compat_ascending: bool = False) -> list[Column]:
     """The order of "keep first": newest date (oldest in ``compat_ascending``, as in old histories), then explicit ties (T4, T5)."""
     date = F.col("date").asc_nulls_last() if compat_ascending else F.col("date").desc_nulls_last()
-    ties = [("precedence", False), ("ordinal", True), ("file_num", False), ("rs", True)]
+    ties = [("precedence", False), ("age", False), ("ordinal", True), ("file_num", False), ("line", False), ("rs", True)]
     return [date, *[F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in ties if c in df.columns]]
 
 
@@ -30,5 +31,7 @@ def recent(df: DataFrame, ticker: str, n: int = 10) -> DataFrame:
 
 
 def per_key_and_date(df: DataFrame, key: str) -> DataFrame:
-    """One row per key and date."""
-    return first_rows(df, [key, "date"], newest_first(df))
+    """One row per key and date. Rows that tie in all of ``newest_first`` go by a hash of all their columns, so the
+    order is total (T5)."""
+    rest = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return first_rows(df, [key, "date"], [*newest_first(df), F.xxhash64(*rest)])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions.columns import with_ranks
+from tidemark.functions.schema import STOCK_NAMES
 from tidemark.operators.snapshot import per_key_and_date
-from tidemark.sources.files import union
+from tidemark.sources import commits
+from tidemark.sources.files import delete, exists, parsed, union
 from tidemark.sources.sinks import write_history
 
 
+#: Columns that order rows of one key and date, and are no part of a history.
+PLACES = ("precedence", "age", "file_num", "line")
+
+
 def enriched(snapshot: DataFrame, date: dt.date | None = None, commit_hash: str | None = None) -> DataFrame:
     """A snapshot with its date, commit and ranks."""
     fixed = {k: F.lit(v) for k, v in (("date", date), ("commit_hash", commit_hash)) if v is not None}
@@ -24,7 +29,7 @@ def enriched(snapshot: DataFrame, date: dt.date | None = None, commit_hash: str
 
 def build(snapshots: list[DataFrame], key: str) -> DataFrame:
     """All snapshots, one row per key and date (T20), ties by the explicit order of ``newest_first``."""
-    return per_key_and_date(with_ranks(union(snapshots)), key)
+    return per_key_and_date(with_ranks(union(snapshots)), key).drop(*PLACES)
 
 
 def high_water_mark(history: DataFrame) -> dt.date | None:
@@ -35,12 +40,13 @@ def high_water_mark(history: DataFrame) -> dt.date | None:
 def upserted(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """New and old rows, of one key and date the new one."""
     both = new.withColumn("precedence", F.lit(0)).unionByName(old.withColumn("precedence", F.lit(1)), allowMissingColumns=True)
-    return per_key_and_date(both, key).drop("precedence")
+    return per_key_and_date(both, key).drop(*PLACES)
 
 
 @dataclass(frozen=True)
 class Appended:
-    """ST6: what an append did: ``missing`` history, ``current`` (nothing newer), or ``appended`` so many rows from ``cutoff`` on."""
+    """ST6: what a build or append did: ``missing`` history, ``current`` (nothing newer), ``no file`` (newer commits, none
+    with a readable file; a failure), ``built``, or ``appended`` so many rows from ``cutoff`` on."""
 
     state: str
     rows: int = 0
@@ -56,25 +62,95 @@ def read_history(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append(spark: SparkSession, path: str, new: DataFrame, key: str, lateness: int = 0, shared: str | None = None) -> Appended:
+def replace_dates(spark: SparkSession, path: str, rows: DataFrame) -> int:
+    """ST5: puts ``rows``, whole dates, in the place of those dates. They are staged beside the history first; from then on the
+    change can be finished by anyone (``finish``), so a failure between two dates loses none."""
+    rows.write.mode("overwrite").parquet(_stage(path))
+    return finish(spark, path)
+
+
+def finish(spark: SparkSession, path: str) -> int:
+    """ST5: puts dates in place that an unfinished change has staged whole; returns how many rows. Doing it again changes nothing.
+
+    One writer at a time is assumed. The stage's mark goes before its files, so what is half removed is never taken for whole.
+    """
+    stage = _stage(path)
+    if not exists(spark, f"{stage}/_SUCCESS"):
+        return 0
+    staged = spark.read.parquet(stage)
+    rows = staged.count()
+    write_history(staged, path)
+    delete(spark, f"{stage}/_SUCCESS")
+    delete(spark, stage)
+    return rows
+
+
+def _stage(path: str) -> str:
+    return path.rstrip("/") + "-stage"
+
+
+def append(spark: SparkSession, path: str, new: DataFrame, key: str, lateness: int = 0) -> Appended:
     """ST3-ST5: rows of ``new`` after the history's newest date join it; dates that ``new`` touches are rewritten.
 
     ``lateness`` days before the newest date are taken too (T: the default, none, drops them silently, as a second
-    snapshot of the newest day). Rows that meet an old key and date replace it. The rewritten dates go to a folder in
-    ``shared`` first, so nothing reads what it overwrites; running the same append again changes nothing.
+    snapshot of the newest day). Rows that meet an old key and date replace it. An earlier append that failed is finished first;
+    running the same append again changes nothing.
     """
+    finish(spark, path)
     old = read_history(spark, path)
     if old is None:
         return Appended("missing")
-    mark = high_water_mark(old)
-    cutoff = mark - dt.timedelta(days=lateness) if mark and lateness else mark
+    cutoff = _cutoff(old, lateness)
     fresh = with_ranks(new)
     fresh = fresh.where(F.col("date") > F.lit(cutoff)) if cutoff else fresh
     dates = [r[0] for r in fresh.select("date").distinct().collect()]  # one value a day
     if not dates:
         return Appended("current", cutoff=cutoff)
-    stage = f"{shared or spark.conf.get('spark.checkpoint.dir', None) or path.rstrip('/') + '-stage'}/append-{uuid.uuid4().hex}"
-    upserted(fresh, old.where(F.col("date").isin(dates)), key).write.parquet(stage)
-    staged = spark.read.parquet(stage)
-    write_history(staged, path)
-    return Appended("appended", staged.count(), cutoff)
+    return Appended("appended", replace_dates(spark, path, upserted(fresh, old.where(F.col("date").isin(dates)), key)), cutoff)
+
+
+def _cutoff(old: DataFrame, lateness: int) -> dt.date | None:
+    mark = high_water_mark(old)
+    return mark - dt.timedelta(days=lateness) if mark else None
+
+
+def from_commits(spark: SparkSession, repo: str, files: list[str], names: dict[str, str] = STOCK_NAMES, after: dt.date | None = None, first_only: bool = False) -> DataFrame:
+    """The rows of the given files of all commits (``after`` a day), with the commit's date and hash; of
+    each commit all files, or ``first_only`` the first with rows (S10). Files are fetched and parsed by the tasks."""
+    found = commits.snapshots(spark, repo, files, after)
+    found = commits.first_available(found) if first_only else found
+    return parsed(found.drop("message", "file"), names)
+
+
+def build_from_commits(spark: SparkSession, repo: str, path: str, files: list[str], key: str, names: dict[str, str] = STOCK_NAMES) -> Appended:
+    """The whole history of a repository's snapshots, written to ``path``; dates that it had before and the repository lacks stay."""
+    finish(spark, path)
+    if not commits.log(repo):
+        return Appended("current")
+    rows = build([from_commits(spark, repo, files, names)], key).persist()
+    try:
+        return Appended("no file") if rows.isEmpty() else Appended("built", replace_dates(spark, path, rows))
+    finally:
+        rows.unpersist()
+
+
+def append_from_commits(spark: SparkSession, repo: str, path: str, files: list[str], key: str, names: dict[str, str] = STOCK_NAMES, lateness: int = 0) -> Appended:
+    """ST3-ST6: the commits after the history's newest date join it; only their files are fetched."""
+    finish(spark, path)
+    old = read_history(spark, path)
+    if old is None:
+        return Appended("missing")
+    cutoff = _cutoff(old, lateness)
+    if not commits.newer(repo, cutoff):
+        return Appended("current", cutoff=cutoff)
+    new = from_commits(spark, repo, files, names, cutoff).persist()
+    try:
+        return Appended("no file", cutoff=cutoff) if new.isEmpty() else append(spark, path, new, key, lateness)
+    finally:
+        new.unpersist()
+
+
+def build_legacy(spark: SparkSession, repo: str, files: list[str], names: dict[str, str] = STOCK_NAMES) -> DataFrame:
+    """The old history: of each commit the first file with rows, no row left out, oldest date first, then by commit and line."""
+    rows = from_commits(spark, repo, files, names, first_only=True)
+    return rows.orderBy("date", F.col("age").desc(), "line").drop("commit_hash", *PLACES)

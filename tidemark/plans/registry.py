@@ -13,7 +13,7 @@ from tidemark.operators import filters, industry, metrics, ranking, snapshot, ta
 from tidemark.plans import history
 from tidemark.plans.views import EV, IND, SNAP, ev, ind, snap
 from tidemark.sources import commits
-from tidemark.sources.files import union
+from tidemark.sources.files import parsed, union
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -379,3 +379,42 @@ def dated_line_pairs(spark, sf_dir):
     days = ev(spark, sf_dir).select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
     lines = days.select(F.posexplode(F.array(F.col("k").cast("string"), F.concat(F.col("date").cast("string"), F.lit(" 10:00:00 +0000")))).alias("half", "line"), "k")
     return commits.dated_lines(lines.select((F.col("k") * 2 - 2 + F.col("half")).alias("n"), "line"))
+
+
+@query(f"SELECT format('{{:,}}', count(*)) AS n_rows, printf('%.1f', {MEAN.format('rs')}) AS avg_rs, printf('%.1f', {MEAN.format('percentile')}) AS avg_percentile, '$' || printf('%.2f', avg(price)) AS avg_price FROM snap", SNAP)
+def overview_formatted(spark, sf_dir):
+    """P15 A01 A02"""
+    row = metrics.overview(snap(spark, sf_dir))
+    return row.select(C.metric(F.col("n_rows")).alias("n_rows"), *[C.metric(F.col(c), 1).alias(c) for c in ("avg_rs", "avg_percentile")], C.metric(F.col("avg_price"), 2, "$").alias("avg_price"))
+
+
+@query("SELECT industry, industry || ' (' || n || ' tickers) | RS: ' || CASE WHEN n % 2 = 0 THEN 'N/A' ELSE CAST(n + 0.5 AS VARCHAR) END AS label FROM ind WHERE date = (SELECT max(date) FROM ind)", SNAP, IND)
+def industry_labels(spark, sf_dir):
+    """Industries of an even number of tickers have no strength here"""
+    rows = filters.on_newest(ind(spark, sf_dir))
+    strength = F.when(F.col("n") % 2 != 0, F.col("n") + 0.5)
+    return rows.select("industry", C.group_label(F.col("industry"), F.col("n"), strength).alias("label"))
+
+
+@query("SELECT ticker, sector, rs, percentile FROM snap WHERE sector = 'SMALL' AND percentile >= 50 AND rs >= 30000", SNAP)
+def dataset_filter(spark, sf_dir):
+    """rows without dates are filtered by the file that they came from"""
+    rows = snap(spark, sf_dir).drop("date").withColumn("source_file", F.concat("sector", F.lit(".csv")))
+    return filters.FilterSpec(source_file="SMALL.csv", min_percentile=50, min_rs=30000).apply(rows).select("ticker", "sector", "rs", "percentile")
+
+
+@query("SELECT industry, rank, rs FROM (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY rank, rs, tickers) AS rn FROM ind) WHERE rn = 1", SNAP, IND)
+def undated_industries(spark, sf_dir):
+    """A17 F15"""
+    return industry.latest_industries(ind(spark, sf_dir).drop("date")).select("industry", "rank", "rs")
+
+
+@query("SELECT date, ticker, CASE WHEN day(date) % 2 = 0 THEN sector || ', \"x\"' END AS sector, CAST(printf('%.2f', rs) AS DOUBLE) AS rs FROM ev", EV)
+def csv_text_parse(spark, sf_dir):
+    """Texts of some hundred records, of two headers by turns"""
+    even = F.dayofmonth("date") % 2 == 0
+    record = F.when(even, F.format_string('%s,"%s, ""x""",%.2f', "ticker", "sector", "rs")).otherwise(F.format_string("%.2f,%s", "rs", "ticker"))
+    rows = ev(spark, sf_dir).select("date", F.floor(F.col("ordinal") / 500).alias("file"), record.alias("record"))
+    header = F.when(even, "Ticker,Sector,Relative Strength").otherwise("Relative Strength,Ticker")
+    texts = rows.groupBy("date", "file").agg(F.array_join(F.collect_list("record"), "\r\n").alias("records"))
+    return parsed(texts.select("date", F.concat_ws("\n", header, "records").alias("content"))).select("date", "ticker", "sector", "rs")

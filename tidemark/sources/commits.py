@@ -25,6 +25,11 @@ def log(repo: str) -> list[tuple[str, dt.date, str]]:
     return [(h, dt.date.fromisoformat(d), m) for h, d, m in fields]
 
 
+def newer(repo: str, after: dt.date | None) -> list[tuple[str, dt.date, str]]:
+    """The commits dated strictly after a day; all if it is None."""
+    return [c for c in log(repo) if after is None or c[1] > after]
+
+
 class _Commits(InputPartition):
     def __init__(self, commits: list[tuple]) -> None:
         self.commits = commits
@@ -34,9 +39,10 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.repo, self.files = options["path"], options["files"].split(",")
         self.per_task = int(options.get("commitsPerTask", 50))
+        self.after = dt.date.fromisoformat(options["after"]) if options.get("after") else None
 
     def partitions(self) -> list[InputPartition]:
-        commits = [(i, *c) for i, c in enumerate(log(self.repo))]
+        commits = [(i, *c) for i, c in enumerate(newer(self.repo, self.after))]
         return [_Commits(commits[i : i + self.per_task]) for i in range(0, len(commits), self.per_task)] or [_Commits([])]
 
     def read(self, partition: _Commits):
@@ -63,10 +69,10 @@ class SnapshotSource(DataSource):
         return _Reader(self.options)
 
 
-def snapshots(spark: SparkSession, repo: str, files: list[str]) -> DataFrame:
-    """The given files of every commit, missing ones left out."""
+def snapshots(spark: SparkSession, repo: str, files: list[str], after: dt.date | None = None) -> DataFrame:
+    """The given files of every commit (``after`` a day: only of later ones are files fetched), missing ones left out."""
     spark.dataSource.register(SnapshotSource)
-    rows = spark.read.format("snapshots").option("files", ",".join(files)).load(repo)
+    rows = spark.read.format("snapshots").option("files", ",".join(files)).option("after", after.isoformat() if after else "").load(repo)
     return rows.where(F.col("content").isNotNull())
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import NA_TOKENS, coerced, day
@@ -28,30 +28,85 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_csv(spark: SparkSession, path: str, names: dict[str, str] = STOCK_NAMES, compat_na_tokens: bool = False) -> DataFrame:
-    """One file with header, all columns read as text, renamed, numbers and dates parsed.
+def read_csv(spark: SparkSession, path: str | list[str], names: dict[str, str] = STOCK_NAMES, compat_na_tokens: bool = False, with_source: bool = False) -> DataFrame:
+    """A file, or files of one header: all columns read as text, renamed, numbers and dates parsed.
 
     Text columns are taken verbatim, so that a ticker NA stays one; ``compat_na_tokens`` makes such texts null (T7).
     """
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    if with_source:
+        raw = raw.withColumn("source_file", F.col("_metadata.file_name"))
     if compat_na_tokens:
-        raw = raw.select([F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+        raw = raw.select([F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns if c != "source_file"] + [c for c in raw.columns if c == "source_file"])
     df = coerced(raw.withColumnsRenamed(names))
     return df.withColumn("date", day(F.col("date"))) if "date" in df.columns else df
 
 
+def header_of(spark: SparkSession, status) -> str | None:
+    """The first line of a file, None if it has none; nothing beyond it is fetched."""
+    path, conf = status.getPath(), spark._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        plain = codec.createInputStream(stream) if codec else stream
+        return spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
 def read_all(spark: SparkSession, pattern: str, names: dict[str, str] = STOCK_NAMES, compat_na_tokens: bool = False) -> tuple[DataFrame | None, list[str]]:
-    """The files of a glob, each with its own header (T6) and its name as source_file; and the names of the files
-    that cannot be read, which are left out (T25)."""
-    frames, bad = [], []
+    """The files of a glob, each by its own header (T6), with its name as source_file; and the names of the files
+    that cannot be read, which are left out (T25).
+
+    Files are grouped by their first line, and each group is one scan, so the plan grows with the headers and not with the files.
+    """
+    groups: dict[str | None, list] = {}
     for status in _list(spark, pattern):
-        name = status.getPath().getName()
-        frame = read_csv(spark, status.getPath().toString(), names, compat_na_tokens)
-        if not frame.columns or not set(frame.columns) & set(names.values()):
-            bad.append(name)
+        groups.setdefault(header_of(spark, status), []).append(status.getPath())
+    frames, bad = [], []
+    for header, paths in groups.items():
+        frame = read_csv(spark, [p.toString() for p in paths], names, compat_na_tokens, with_source=True) if header and header.strip() else None
+        if frame is None or not set(frame.columns) & set(names.values()):
+            bad += [p.getName() for p in paths]
         else:
-            frames.append(frame.withColumn("source_file", F.lit(name)))
-    return (union(frames) if frames else None), bad
+            frames.append(frame)
+    return (union(frames) if frames else None), sorted(bad)
+
+
+# A record of a CSV text (line breaks may stand within quotes), and a field of a record, behind its comma.
+RECORD = r'[^"\n]*+(?:"[^"]*+"[^"\n]*+)*+'
+FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
+
+
+def fields(record: Column) -> Column:
+    """The fields of a CSV record, quotes undone."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELD), F.lit(1))
+    return F.transform(raw, lambda x: F.when(F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"')) & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+
+
+def parsed(rows: DataFrame, names: dict[str, str] = STOCK_NAMES, compat_na_tokens: bool = False) -> DataFrame:
+    """The records of the CSV texts in ``content``, each text by its own header (T6), in one pass over all of them.
+
+    The other columns of ``rows`` stay, and go before columns of the same name in a text. ``line`` is the record's number
+    in its text, from 1; columns of ``names`` that a text lacks are null, as are empty fields and missing ends of records. Texts without
+    a known column, or with an odd number of quotes, have no records (T25); blank lines are no records.
+    """
+    kept = [c for c in rows.columns if c != "content"]
+    text = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
+    whole = rows.withColumn("_text", text).where((F.length("_text") - F.length(F.replace(F.col("_text"), F.lit('"'), F.lit("")))) % 2 == 0)
+    records = whole.select(*kept, F.filter(F.regexp_extract_all("_text", F.lit(RECORD), F.lit(0)), lambda r: F.trim(r) != "").alias("_records"))
+    known = records.withColumn("_header", fields(F.get("_records", F.lit(0)))).where(F.arrays_overlap("_header", F.array(*[F.lit(n) for n in names])))
+    lines = known.select(*kept, "_header", F.posexplode(F.slice("_records", F.lit(2), F.size("_records"))).alias("_at", "_record"))
+    lines = lines.select(*kept, "_header", (F.col("_at") + 1).alias("line"), fields(F.col("_record")).alias("_fields"))
+    missing = NA_TOKENS if compat_na_tokens else ("",)
+
+    def value(name: str) -> Column:
+        found = F.get("_fields", (F.array_position("_header", name) - 1).cast("int"))
+        return F.when(~found.isin(*missing), found)
+
+    own = {name: mine for name, mine in names.items() if mine not in kept}
+    df = coerced(lines.select(*kept, "line", *[value(name).alias(mine) for name, mine in own.items()]))
+    return df if "date" in kept else df.withColumn("date", day(F.col("date")))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -82,6 +137,12 @@ def empty(df: DataFrame | None) -> bool:
     return df is None or df.isEmpty()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, in any store that Spark writes."""
+    where = _path(spark, path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def signature(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str:
     """Names and modification seconds of the files, by name."""
     return "|".join(f"{s.getPath().getName()}:{s.getModificationTime() // 1000}" for s in _list(spark, f"{folder}/{pattern}"))

@@ -21,16 +21,17 @@ def landed(spark: SparkSession, folder: str, schema: T.StructType, names: dict[s
 def run(stream: DataFrame, path: str, checkpoint: str, key: str, once: bool = True, every: str = "30 minutes", lateness: int = 0):
     """Append what has landed: all of it now (``once``, for a scheduler), or again and again.
 
-    The checkpoint's offsets say what is new (T26). A batch may be run again after a failure; the append is
-    idempotent, so that changes nothing. Histories that do not exist yet are begun by the first batch.
+    The checkpoint's offsets say what is new (T26). A batch may be run again after a failure: what it had staged whole is
+    finished, what it had not is staged again. Histories that do not exist yet are begun by the first batch.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
         rows = rows.persist()
+        history.finish(spark, path)
         if history.read_history(spark, path) is None:
             if not rows.isEmpty():
-                history.write_history(history.build([rows], key), path)
+                history.replace_dates(spark, path, history.build([rows], key))
         else:
             history.append(spark, path, rows, key, lateness)
         rows.unpersist()
