@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has at most this many (narrow) rows, else Spark picks a shuffle join.
 BROADCAST_ROWS = 200_000
+#: Narrow rows in a partition of the tables that many rounds go over.
+PART_ROWS = 50_000
 #: Bitmaps of 4 KB that may be broadcast.
 BITMAPS = 8_000
 
@@ -85,19 +87,32 @@ def positions(df: DataFrame, *order: Column | str, name: str = "position") -> Da
     return ranged.withColumn(name, F.col(name) + F.element_at(shift, part))
 
 
+def parts_for(rows: int, spark: SparkSession) -> int:
+    """Partitions for so many narrow rows, PART_ROWS in each, at most those of a shuffle."""
+    return max(1, min(tasks(spark), -(-rows // PART_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u long, v long): rows (node, label), label the least node reached.
 
     Least labels spread along the edges and each label is replaced by its own label (pointer jumping), so
-    rounds grow with the logarithm of a component's width. Only the two aggregates of a round reach the driver.
+    rounds grow with the logarithm of a component's width. A round is one aggregate and one join by label; its partitions
+    are as many as the rows ask for, so that many rounds over few edges are few tasks. Only one flag of a round reaches the driver.
     """
+    spark = edges.sparkSession
     both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u != v").distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    wide = parts_for(both.count(), spark)
+    both = cut(both.coalesce(wide)) if wide < tasks(spark) else both
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")).coalesce(wide))
+    few = labels.count() <= BROADCAST_ROWS
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("near")).agg(F.min("label").alias("least"))
-        seen = labels.join(near, F.col("node") == F.col("near"), "left").select("node", F.least("label", "least").alias("to"), F.col("label").alias("old"))
-        parents = labels.select(F.col("node").alias("parent"), F.col("label").alias("up"))
-        step = cut(seen.join(parents, F.col("to") == F.col("parent"), "left").select("node", F.least("to", "up").alias("label"), "old"))
+        known = F.broadcast(labels) if few else labels
+        met = both.join(known, both.v == labels.node).select(F.col("u").alias("node"), "label", F.lit(None).cast("bigint").alias("own"))
+        own = labels.select("node", "label", F.col("label").alias("own"))
+        seen = met.union(own).groupBy("node").agg(F.min("label").alias("to"), F.max("own").alias("old")).coalesce(wide)
+        parents = known.select(F.col("node").alias("parent"), F.col("label").alias("up"))
+        step = seen.join(parents, F.col("to") == F.col("parent"), "left").select("node", F.least("to", "up").alias("label"), "old")
+        step = cut(step if few else step.coalesce(wide))
         if step.where("label != old").isEmpty():
             return step.select("node", "label")
         labels = step.select("node", "label")
