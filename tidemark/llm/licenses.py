@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import HashingTF, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +69,7 @@ OTHERS = [
 # Parts of words of which each notice has some; only in blocks that have one are lines joined.
 ANCHORS = "license permission redistribut software copyright domain rights".split()
 UNKNOWN = "unknown"
-#: Hashed features.
+#: Hashed features of words, and as many of word pairs.
 FEATURES = 1 << 12
 #: Documents, taken in order of a hash of their ids, whose paragraphs teach the class of unknown; the bound of what the fit reads.
 SAMPLE_DOCS = 300
@@ -130,20 +130,21 @@ def sample_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, row, block, paragraph): the lines of each text that have a letter, and lines joined.
+    """Rows (id, row, block, words): the tokens of the lines of each text that have a letter, and of lines joined.
 
     A block is what stands between blank lines. Blocks of several lines with an anchor are paragraphs too, joined whole or in
     overlapping windows of WINDOWS lines; so notices wrapped at any width, alone or amid other text, are seen.
+    Tokens are made before the rows are dealt out, so that no later filter makes them again.
     """
     text = F.col(f"`{text_col}`").cast("string")
     blocks = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, r"\n[ \t\r]*\n")).alias("block", "text"))
-    lines = F.split("text", "\n")
-    n = F.size(lines)
+    blocks = blocks.withColumn("lines", F.split("text", "\n"))
+    lines, n = F.col("lines"), F.size("lines")
     none = F.array().cast("array<string>")
     joined = [F.when((n > size // 3) & (n <= size), F.array(F.array_join(lines, " "))).when(n > size, F.transform(F.sequence(F.lit(1), n, F.lit(size // 2)), lambda at: F.array_join(F.slice(lines, at, size), " "))).otherwise(none) for size in WINDOWS]  # noqa: B023
     several = F.when((n > 1) & anchored(F.col("text")), F.array_distinct(F.filter(F.concat(*joined), anchored))).otherwise(none)
-    units = blocks.select("id", "row", "block", F.explode(F.concat(lines, several)).alias("paragraph"))
-    return units.where(F.col("paragraph").rlike(r"\p{L}"))
+    units = F.filter(F.concat(lines, several), lambda x: x.rlike(r"\p{L}"))
+    return blocks.select("id", "row", "block", F.explode(F.transform(units, tokens)).alias("words"))
 
 
 def template_pairs(spark: SparkSession) -> DataFrame:
@@ -161,11 +162,12 @@ def without_notices(lines: DataFrame) -> DataFrame:
 
 
 def features() -> list:
-    return [
-        SQLTransformer(statement="SELECT *, words AS grams1 FROM __THIS__"), NGram(n=2, inputCol="words", outputCol="grams2"),
-        HashingTF(inputCol="grams1", outputCol="tf1", numFeatures=FEATURES, binary=True), HashingTF(inputCol="grams2", outputCol="tf2", numFeatures=FEATURES, binary=True),
-        VectorAssembler(inputCols=["tf1", "tf2"], outputCol="features"),
-    ]
+    return [HashingTF(inputCol=x, outputCol=f"tf_{x}", numFeatures=FEATURES, binary=True) for x in ("words", "pairs")] + [VectorAssembler(inputCols=["tf_words", "tf_pairs"], outputCol="features")]
+
+
+def with_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` (with words) with their word pairs, none for a lone word."""
+    return rows.withColumn("pairs", F.when(F.size("words") > 1, pairs(F.col("words"))).otherwise(F.array().cast("array<string>")))
 
 
 def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[PipelineModel, list[str], float]:
@@ -182,7 +184,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[PipelineModel, l
 
     def examples(seeds: range, half: int) -> DataFrame:
         parts = [variants(templates(spark), seeds), variants(others, seeds), plain.where(F.col("half") == half).select("family", "text")]
-        return cut(reduce(DataFrame.unionByName, parts).withColumn("words", tokens(F.col("text"))).coalesce(FIT_PARTS))
+        return cut(with_pairs(reduce(DataFrame.unionByName, parts).withColumn("words", tokens(F.col("text")))).coalesce(FIT_PARTS))
 
     def weights(rows: DataFrame, name: str) -> DataFrame:
         share = rows.groupBy(name).count().agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("classes")).first()
@@ -193,7 +195,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[PipelineModel, l
     fit = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.002, maxIter=60, family="multinomial", standardization=False)
     model = Pipeline(stages=[*features(), indexer, fit]).fit(taught.join(weights(taught, "family"), F.col("family") == F.col("_class")).drop("_class").coalesce(FIT_PARTS))
     labels = list(model.stages[-2].labels)
-    model = PipelineModel([*model.stages[:-2], model.stages[-1]])
+    model = PipelineModel([*model.stages[:-2], model.stages[-1].setRawPredictionCol("").setPredictionCol("")])
     held = score(model, labels, examples(range(100, 100 + VARIANTS), 1)).select((F.col("family") != UNKNOWN).cast("double").alias("notice"), F.log(F.greatest("p", F.lit(1e-9)) / F.greatest(1 - F.col("p"), F.lit(1e-9))).alias("odds"))
     held = cut(VectorAssembler(inputCols=["odds"], outputCol="odds_vector").transform(held))
     curve = LogisticRegression(featuresCol="odds_vector", labelCol="notice", weightCol="weight", regParam=0.001, maxIter=60).fit(held.join(weights(held, "notice"), F.col("notice") == F.col("_class")).coalesce(FIT_PARTS))
@@ -202,7 +204,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> tuple[PipelineModel, l
 
 
 def score(model: PipelineModel, labels: list[str], rows: DataFrame) -> DataFrame:
-    """``rows`` (with words) with the probability p of being a notice, and the families that may be named, array<struct<p, family>>: the
+    """``rows`` (with words and pairs) with the probability p of being a notice, and the families that may be named, array<struct<p, family>>: the
     likeliest, and others of ALSO and more."""
     p = vector_to_array("probability")
     each = F.array(*[F.struct(F.get(p, i).alias("p"), F.lit(x).alias("family")) for i, x in enumerate(labels) if x != UNKNOWN])
@@ -227,7 +229,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         none = ids.select(F.col("id").alias(id_col), F.array().cast("array<string>").alias("licences"), F.lit(0).cast("bigint").alias("n_notices"), F.lit(None).cast("string").alias("best_family"), F.lit(None).cast("double").alias("best_probability"))
         return none
     model, labels, threshold = train(docs, id_col, text_col)
-    rows = paragraphs(docs, id_col, text_col).withColumn("words", tokens(F.col("paragraph")))
+    rows = with_pairs(paragraphs(docs, id_col, text_col))
     likely = score(model, labels, rows).where(F.col("p") >= threshold).select("id", "row", "block", F.explode("families").alias("f"), pairs(F.col("words")).alias("own")).select("id", "row", "block", "own", "f.p", F.col("f.family").alias("predicted"))
     wanted = template_pairs(docs.sparkSession).groupBy("t_family").agg(F.collect_list("wanted").alias("wanted"))
     confirmed = F.exists("wanted", lambda w: F.size(F.array_intersect(w, F.col("own"))) >= CONFIRM * F.size(w))
