@@ -582,3 +582,25 @@ def test_empty_pipeline(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, SF)
     assert df.count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(cluster, "PART_ROWS", 100)
+    path, rng = [(i, i + 1) for i in range(1000, 1200)], random.Random(3)
+    edges = path + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(2000, 2000 + i) for i in range(100)]
+    least = {x: x for e in edges for x in e}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for u, v in edges:
+        u, v = sorted((root(u), root(v)))
+        least[v] = u
+    linked = {x for u, v in edges if u != v for x in (u, v)}
+    got = cluster.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((x, root(x)) for x in linked)
+    assert cluster.components(spark.createDataFrame([], "u long, v long")).count() == 0
