@@ -585,7 +585,7 @@ def test_empty_pipeline(spark, docs):
 
 
 @pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_components(spark, monkeypatch, broadcast):
+def test_components_by_rounds(spark, monkeypatch, broadcast):
     monkeypatch.setattr(cluster, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(cluster, "PART_ROWS", 100)
     path, rng = [(i, i + 1) for i in range(1000, 1200)], random.Random(3)
