@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup as exact
-from tidemark.llm import chat, html_text, licenses, mixing, packing, quality, sharding, simhash, token_counts
+from tidemark.llm import chat, html_text, licenses, mixing, packing, quality, sharding, simhash, token_counts, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.spliced(trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+#: CRC-32 bit by bit over the digits of c; nodes are told apart by the marks of their turns, and subtrees by the beginnings of these.
+OP11_SQL = r"""
+WITH o AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, mark) - 1 AS pos, mark, n FROM (
+    SELECT conv_id AS c, turn, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS mark, length(text) AS n
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))
+), h AS (
+  SELECT c, c - c % 100 AS b, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, byte: list_reduce([xor(crc, byte), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM o)
+), r AS (
+  SELECT h.c, 0 AS source, o.pos, mark, n FROM h JOIN o ON o.c = h.b AND o.pos < h.h
+  UNION ALL SELECT h.c, 1, o.pos, mark, n FROM h JOIN o ON o.c = h.c AND o.pos >= h.h
+), t AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY source, pos) AS d, mark, n FROM r
+), p AS (
+  SELECT c, d, n, string_agg(mark, '') OVER (PARTITION BY c ORDER BY d) AS path FROM t UNION ALL SELECT c, 0, 0, '' FROM h
+), e AS (
+  SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM p
+), nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, min(n) AS n, bool_and(ends) AS leaf, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids FROM e GROUP BY path, d
+), sums AS (
+  SELECT a.path, count(*) FILTER (b.d = a.d + 1) AS n_children, count(*) FILTER (b.leaf) AS n_leaves, CAST(sum((b.n_convs - 1) * b.n) AS BIGINT) AS saved_tokens
+  FROM nodes a JOIN nodes b ON b.d >= a.d AND starts_with(b.path, a.path) GROUP BY a.path
+)
+SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, n_children, n_leaves, saved_tokens, sha256(x.ids) AS ends_sha256
+FROM nodes x JOIN sums USING (path) LEFT JOIN nodes up ON x.d > 0 AND up.path = left(x.path, 64 * (x.d - 1))
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
@@ -112,5 +146,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL}
