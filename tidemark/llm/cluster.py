@@ -116,3 +116,21 @@ def components(edges: DataFrame) -> DataFrame:
         if step.where("label != old").isEmpty():
             return step.select("node", "label")
         labels = step.select("node", "label")
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = 1000) -> DataFrame:
+    """``rows`` with the other columns of ``table``, which has each key once; rows whose key it lacks are left out.
+
+    A small table is broadcast. Beyond that, the keys that have over one in ``hot`` of the rows (so fewer than ``hot`` keys) meet their rows
+    by a broadcast, and only the rest is shuffled by key, so that no task gets more than its share. Both sides should be cut.
+    """
+    n = table.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut(counts.where(F.col("_n") > rows.count() / hot).drop("_n"))
+    if large.isEmpty():
+        return rows.join(table, keys)
+    common = cut(table.join(F.broadcast(large), keys, "left_semi"))
+    rest = rows.join(F.broadcast(large), keys, "left_anti").join(table, keys)
+    return rows.join(F.broadcast(common), keys).unionByName(rest)

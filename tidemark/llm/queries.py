@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup as exact
-from tidemark.llm import chat, html_text, licenses, mixing, packing, quality, sharding, simhash, token_counts, trie
+from tidemark.llm import chat, html_text, licenses, mixing, packing, phrases, quality, sharding, simhash, token_counts, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +135,45 @@ FROM nodes x JOIN sums USING (path) LEFT JOIN nodes up ON x.d > 0 AND up.path =
 """
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: Counts of up to three words in a row, all in 128-bit integers.
+OP13_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents)
+), g AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+), f1 AS (
+  SELECT lang, w[i] AS w1, count(*) AS f FROM g GROUP BY 1, 2
+), f2 AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM g WHERE i + 1 <= len(w) GROUP BY 1, 2, 3
+), f3 AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM g WHERE i + 2 <= len(w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10
+), c2 AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * t.f * t.f // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM f2 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w2
+  WHERE t.f >= 10 AND NOT EXISTS (SELECT 1 FROM f3 z WHERE z.lang = t.lang AND z.w1 = t.w1 AND z.w2 = t.w2 AND 2 * z.f >= t.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 z WHERE z.lang = t.lang AND z.w2 = t.w1 AND z.w3 = t.w2 AND 2 * z.f >= t.f)
+), s3 AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, a1.f AS l1, b1.f AS r1, a2.f AS l2, b2.f AS r2,
+    CAST(1000000 AS HUGEINT) * t.f * t.f // (CAST(a1.f AS HUGEINT) * b1.f) AS s1, CAST(1000000 AS HUGEINT) * t.f * t.f // (CAST(a2.f AS HUGEINT) * b2.f) AS s2
+  FROM f3 t JOIN f1 a1 ON a1.lang = t.lang AND a1.w1 = t.w1 JOIN f2 b1 ON b1.lang = t.lang AND b1.w1 = t.w2 AND b1.w2 = t.w3
+    JOIN f2 a2 ON a2.lang = t.lang AND a2.w1 = t.w1 AND a2.w2 = t.w2 JOIN f1 b2 ON b2.lang = t.lang AND b2.w1 = t.w3
+), s AS (
+  SELECT lang, phrase, a, l, r, score FROM c2
+  UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM s3
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s
+)
+SELECT k.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM k JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang) t ON t.lang = k.lang WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_sharding": op2_sharding,
@@ -147,5 +186,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_phrases": op13_phrases,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_phrases": OP13_SQL}
