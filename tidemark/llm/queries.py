@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup as exact
-from tidemark.llm import chat, html_text, licenses, mixing, packing, phrases, quality, sharding, simhash, token_counts, trie
+from tidemark.llm import chat, html_text, licenses, mixing, packing, phrases, quality, sharding, simhash, token_counts, trie, warc
+from tidemark.llm.cluster import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +137,24 @@ FROM nodes x JOIN sums USING (path) LEFT JOIN nodes up ON x.d > 0 AND up.path =
 """
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    read = warc.read_archives(spark, folder, payloads=False)
+    return read.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+#: In order of page_id (null last) and URL, the first row of a large payload is the response.
+OP12_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages
+), r AS (
+  SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS first_id FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS FIRST)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND nth > 1 THEN first_id END AS refers_to FROM r
+"""
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -144,7 +164,8 @@ OP13_SQL = r"""
 WITH p AS (
   SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents)
+-
+]')) AS piece FROM documents)
 ), g AS (
   SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
 ), f1 AS (
@@ -186,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_warc": op12_warc,
     "op13_phrases": op13_phrases,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op13_phrases": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL, "op13_phrases": OP13_SQL}
