@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import delta_class, descending, file_label, first_listed, joined, whole
 from tidemark.operators.filters import on_newest
+from tidemark.operators.numbering import numbered
 from tidemark.operators.snapshot import first_rows
 
 
@@ -61,8 +62,8 @@ def grouped_top(stocks: DataFrame, industries: DataFrame, n: int = 200) -> DataF
 def lists_by_industry(top: DataFrame) -> DataFrame:
     """One row per industry (null excluded, T10): place by strength, size, its tickers in order, a file name."""
     groups = top.where(F.col("industry").isNotNull()).groupBy("industry").agg(F.max("industry_rs").alias("industry_rs"), F.count(F.lit(1)).alias("n_tickers"), joined("ticker", ",", *descending("rs")).alias("tickers"))
-    order = Window.orderBy(F.col("industry_rs").desc_nulls_last(), "industry")
-    return groups.withColumns({"place": F.row_number().over(order), "file_name": F.concat(file_label(F.col("industry")), F.lit("_tickers.txt"))})
+    named = groups.withColumn("file_name", F.concat(file_label(F.col("industry")), F.lit("_tickers.txt")))
+    return numbered(named, [F.col("industry_rs").desc_nulls_last(), F.col("industry")], "place")
 
 
 def whole_list(top: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import exact_mean
+from tidemark.operators.quantiles import quantiles
 from tidemark.operators.snapshot import latest_per_ticker
 
 
@@ -39,8 +40,11 @@ def by_date(df: DataFrame, **values: Column) -> DataFrame:
 
 
 def daily_strength(df: DataFrame) -> DataFrame:
-    """Mean, median and maximum strength by date."""
-    return by_date(df, mean_rs=exact_mean(F.col("rs")), median_rs=F.median("rs"), max_rs=F.max("rs"))
+    """Mean, median and maximum strength by date (T23); the medians of all dates are selected together. Dates without a strength have nulls."""
+    days = df.where(F.col("date").isNotNull()).select("date", "rs")
+    found = quantiles(days, ["date"], ["rs"], {"median_rs": 0.5}, mean_rs=exact_mean(F.col("x")), max_rs=F.max("x"))
+    empty = days.groupBy("date").agg(F.count("rs").alias("n")).where("n = 0").select("date", *[F.lit(None).cast("double").alias(c) for c in ("mean_rs", "median_rs", "max_rs")])
+    return found.select("date", "mean_rs", "median_rs", "max_rs").unionByName(empty)
 
 
 def sector_trend(df: DataFrame, sector: str | None = None) -> DataFrame:
@@ -56,14 +60,14 @@ def horizon_means(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, standard deviation, least, quartiles (interpolated) and greatest of each column; one pass."""
-
-    def stats(c: str) -> Column:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return F.struct(F.lit(c).alias("metric"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("max"))
-
-    return df.agg(F.array(*[stats(c) for c in columns]).alias("all")).select(F.inline("all"))
+    """Count, mean, standard deviation, least, quartiles (interpolated) and greatest of each column, in their order; a column without values
+    has a count of 0 and nulls. The quartiles of all columns are selected together, by passes that combine in the tasks."""
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    x = F.col("x")
+    found = quantiles(df, [], columns, quartiles, mean=F.avg(x), std=F.stddev_samp(x), min=F.min(x), max=F.max(x)).withColumnRenamed("metric", "_metric")
+    every = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("_at", "metric"))
+    both = every.join(F.broadcast(found), F.col("metric") == F.col("_metric"), "left")
+    return both.orderBy("_at").select("metric", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mean", "std", "min", *quartiles, "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

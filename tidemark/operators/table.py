@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import billions, or_na
+from tidemark.operators import numbering
 from tidemark.operators.filters import on_newest
 from tidemark.operators.snapshot import latest_per_ticker
 
@@ -28,12 +29,10 @@ def chosen(df: DataFrame, columns: tuple[str, ...] = DEFAULT) -> DataFrame:
 def numbered(df: DataFrame, by: str, ascending: bool = True, ties: str = "ticker") -> DataFrame:
     """Rows in order of ``by``, nulls last both ways, with row_num from 1 as first column.
 
-    Numbers over one order of all rows are for tables to look at, which filters have made small; the number does not
-    replace the data's own rank (T12).
+    The number does not replace the data's own rank (T12). Tables of any size are numbered by tasks, see ``numbering``.
     """
     key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_last()
-    number = F.row_number().over(Window.orderBy(key, F.col(ties)))
-    return df.withColumn("row_num", number).select("row_num", *df.columns)
+    return numbering.numbered(df, [key, F.col(ties)]).select("row_num", *df.columns)
 
 
 def company(df: DataFrame, ticker: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import filters, industry, metrics, ranking, snapshot, table
+from tidemark.operators import filters, industry, metrics, numbering, ranking, snapshot, table
 from tidemark.plans import history
 from tidemark.plans.views import EV, IND, SNAP, ev, ind, snap
 from tidemark.sources import commits
@@ -267,7 +267,7 @@ def topn_by_industry(spark, sf_dir):
 )
 def grouped_ticker_list(spark, sf_dir):
     """A14 A15 O09 P22"""
-    return industry.lists_by_industry(topn_by_industry(spark, sf_dir))
+    return industry.lists_by_industry(topn_by_industry(spark, sf_dir)).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT string_agg(ticker, ',' ORDER BY industry_rs DESC, industry, rs DESC, ticker) AS tickers, count(*) AS n_tickers FROM g", SNAP, IND, NEWEST, _latest_ind, _grouped)
@@ -294,7 +294,7 @@ def table_numeric_ranges(spark, sf_dir):
 def table_sorted_ranked(spark, sf_dir):
     """O07 P05 P16 T12 T22"""
     shown = table.chosen(table.latest_table(snap(spark, sf_dir)), ("rank", "ticker", "industry", "short_float_pct", "not_there"))
-    return table.numbered(shown, "short_float_pct", ascending=False)
+    return table.numbered(shown, "short_float_pct", ascending=False).withColumn("row_num", F.col("row_num").cast("int"))
 
 
 @query("SELECT DISTINCT 'sector' AS field, sector AS value FROM snap UNION ALL SELECT DISTINCT 'ticker', ticker FROM snap", SNAP)
@@ -374,9 +374,7 @@ def commit_line_split(spark, sf_dir):
 @query("SELECT CAST(k AS VARCHAR) AS hash, date FROM (SELECT row_number() OVER (ORDER BY date) AS k, date FROM (SELECT DISTINCT date FROM ev))", EV)
 def dated_line_pairs(spark, sf_dir):
     """S02"""
-    from pyspark.sql import Window
-
-    days = ev(spark, sf_dir).select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
+    days = numbering.numbered(ev(spark, sf_dir).select("date").distinct(), [F.col("date")], "k")
     lines = days.select(F.posexplode(F.array(F.col("k").cast("string"), F.concat(F.col("date").cast("string"), F.lit(" 10:00:00 +0000")))).alias("half", "line"), "k")
     return commits.dated_lines(lines.select((F.col("k") * 2 - 2 + F.col("half")).alias("n"), "line"))
 

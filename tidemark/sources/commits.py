@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions.columns import day
+from tidemark.operators.numbering import lines
 from tidemark.operators.snapshot import first_rows
 
 
@@ -82,10 +83,15 @@ def first_available(rows: DataFrame, usable=None) -> DataFrame:
     return first_rows(rows.where(fit), ["commit_hash"], [F.col("file_num")])
 
 
-def dated_lines(lines: DataFrame) -> DataFrame:
+def dated_lines(log: DataFrame) -> DataFrame:
     """(hash, date) from rows (n, line) of a log that has a hash on one line and its date on the next."""
     block = F.floor(F.col("n") / 2)
-    return lines.groupBy(block.alias("block")).agg(F.max(F.when(F.col("n") % 2 == 0, F.trim("line"))).alias("hash"), day(F.max(F.when(F.col("n") % 2 == 1, F.trim(F.col("line"))))).alias("date")).select("hash", "date")
+    return log.groupBy(block.alias("block")).agg(F.max(F.when(F.col("n") % 2 == 0, F.trim("line"))).alias("hash"), day(F.max(F.when(F.col("n") % 2 == 1, F.trim(F.col("line"))))).alias("date")).select("hash", "date")
+
+
+def log_of_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(hash, date) from a file that holds such a log."""
+    return dated_lines(lines(spark, path))
 
 
 def upstream_ahead(repo: str, branch: str, remote: str = "origin") -> bool:
