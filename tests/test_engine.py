@@ -198,7 +198,7 @@ def test_parsed(spark):
     ]
     df = files.parsed(spark.createDataFrame(texts, "name string, content string").withColumn("date", F.lit(D(2024, 1, 1))))
     got = sorted(rows(df.select("name", "line", "ticker", "sector", "price")))
-    assert got == [("a", 1, "A", 'x, "y"', 1.5), ("a", 2, "NA", None, None), ("a", 3, "short", None, None), ("b", 1, "two\nlines", None, 2.0), ("b", 2, "C", None, 3.0), ("c", 1, "L", long, None)]
+    assert got == [("a", 1, "A", 'x, "y"', 1.5), ("a", 2, "NA", None, None), ("a", 3, "short", None, None), ("b", 1, "two\nlines", None, 2.0), ("b", 2, "C", None, 3.0), ("c", 1, "L", long, None), ("open quote", 2, "B", None, None)]
     assert {r["date"] for r in df.collect()} == {D(2024, 1, 1)}
     own = files.parsed(spark.createDataFrame(texts[:1], "name string, content string"), compat_na_tokens=True)
     assert rows(own.select("ticker", "date")) == [("A", D(1999, 1, 1)), (None, None), ("short", None)]

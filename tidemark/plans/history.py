@@ -13,7 +13,7 @@ from tidemark.functions.columns import with_ranks
 from tidemark.functions.schema import STOCK_NAMES
 from tidemark.operators.snapshot import per_key_and_date
 from tidemark.sources import commits
-from tidemark.sources.files import delete, exists, parsed, union
+from tidemark.sources.files import accepted, delete, exists, records, union
 from tidemark.sources.sinks import write_history
 
 
@@ -114,12 +114,21 @@ def _cutoff(old: DataFrame, lateness: int) -> dt.date | None:
     return mark - dt.timedelta(days=lateness) if mark else None
 
 
+def from_index(found: DataFrame, repo: str, names: dict[str, str] = STOCK_NAMES, first_only: bool = False, program: str = "git") -> DataFrame:
+    """Every record (see ``files.records``) of the files that ``commits.index`` or ``commits.stream`` has found, with the commit's date and hash; of
+    each commit all files, or ``first_only`` the first with rows (S10). A blob is read and parsed once, whichever commits have it."""
+    texts = commits.contents(found, repo, program)
+    if first_only:
+        fit = texts.where(commits.has_rows(F.col("content"))).select("blob")
+        found = commits.first_available(found.join(fit, "blob"), F.lit(True))
+    own = [c for c in found.columns if c != "blob"]
+    rows = records(texts, names)
+    return found.join(rows.drop(*own), "blob").drop("blob", "message")
+
+
 def from_commits(spark: SparkSession, repo: str, files: list[str], names: dict[str, str] = STOCK_NAMES, after: dt.date | None = None, first_only: bool = False) -> DataFrame:
-    """The rows of the given files of all commits (``after`` a day), with the commit's date and hash; of
-    each commit all files, or ``first_only`` the first with rows (S10). Files are fetched and parsed by the tasks."""
-    found = commits.snapshots(spark, repo, files, after)
-    found = commits.first_available(found) if first_only else found
-    return parsed(found.drop("message", "file"), names)
+    """The rows of the given files of all commits (``after`` a day)."""
+    return accepted(from_index(commits.index(spark, repo, files, after), repo, names, first_only)).drop("file")
 
 
 def build_from_commits(spark: SparkSession, repo: str, path: str, files: list[str], key: str, names: dict[str, str] = STOCK_NAMES) -> Appended:

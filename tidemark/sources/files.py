@@ -73,8 +73,10 @@ def read_all(spark: SparkSession, pattern: str, names: dict[str, str] = STOCK_NA
     return (union(frames) if frames else None), sorted(bad)
 
 
-# A record of a CSV text (line breaks may stand within quotes), and a field of a record, behind its comma.
-RECORD = r'[^"\n]*+(?:"[^"]*+"[^"\n]*+)*+'
+# A field of a CSV text and a record whose fields are all sound; line breaks may stand within quotes, which begin and end a field.
+SOUND = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",\n]*+)'
+RECORD = rf"{SOUND}(?:,{SOUND})*+"
+#: A field behind its comma, in a record that may be unsound.
 FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 
 
@@ -84,20 +86,27 @@ def fields(record: Column) -> Column:
     return F.transform(raw, lambda x: F.when(F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"')) & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
-def parsed(rows: DataFrame, names: dict[str, str] = STOCK_NAMES, compat_na_tokens: bool = False) -> DataFrame:
-    """The records of the CSV texts in ``content``, each text by its own header (T6), in one pass over all of them.
+def records(rows: DataFrame, names: dict[str, str] = STOCK_NAMES, compat_na_tokens: bool = False) -> DataFrame:
+    """Every record of the CSV texts in ``content``, each text by its own header (T6), with the reason why it is rejected, null if it is
+    not, in one pass over all of them.
 
-    The other columns of ``rows`` stay, and go before columns of the same name in a text. ``line`` is the record's number
-    in its text, from 1; columns of ``names`` that a text lacks are null, as are empty fields and missing ends of records. Texts without
-    a known column, or with an odd number of quotes, have no records (T25); blank lines are no records.
+    The other columns of ``rows`` stay, and go before columns of the same name in a text. ``line`` is the record's number in its text,
+    from 1; columns of ``names`` that a text lacks are null, as are empty fields and missing ends of records; blank lines are no records.
+    A record with a quote that neither begins nor ends a field is rejected as ``stray quote``; it ends with its line, and the records after it are read.
+    A text without anything, or whose header has no known column, is one rejected record of line 0: ``no text``, ``no known column``. ``record`` is the text of a
+    rejected record.
     """
     kept = [c for c in rows.columns if c != "content"]
-    text = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
-    whole = rows.withColumn("_text", text).where((F.length("_text") - F.length(F.replace(F.col("_text"), F.lit('"'), F.lit("")))) % 2 == 0)
-    records = whole.select(*kept, F.filter(F.regexp_extract_all("_text", F.lit(RECORD), F.lit(0)), lambda r: F.trim(r) != "").alias("_records"))
-    known = records.withColumn("_header", fields(F.get("_records", F.lit(0)))).where(F.arrays_overlap("_header", F.array(*[F.lit(n) for n in names])))
-    lines = known.select(*kept, "_header", F.posexplode(F.slice("_records", F.lit(2), F.size("_records"))).alias("_at", "_record"))
-    lines = lines.select(*kept, "_header", (F.col("_at") + 1).alias("line"), fields(F.col("_record")).alias("_fields"))
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), "^\ufeff", ""), r"\r\n?", "\n")
+    whole = rows.select(*kept, F.filter(F.regexp_extract_all(text, F.lit(rf"{RECORD}(?=\n|\z)|[^\n]++"), F.lit(0)), lambda r: F.trim(r) != "").alias("_records"))
+    heads = whole.withColumn("_top", F.get("_records", F.lit(0))).withColumn("_header", fields(F.coalesce("_top", F.lit(""))))
+    known = F.arrays_overlap("_header", F.array(*[F.lit(n) for n in names])) & F.col("_top").rlike(rf"^{RECORD}\z")
+    reason = F.when(F.col("_top").isNull(), "no text").when(~known, "no known column")
+    body = F.when(reason.isNull(), F.slice("_records", 2, F.size("_records"))).otherwise(F.array(F.coalesce("_top", F.lit(""))))
+    lines = heads.withColumn("_text_reason", reason).select(*kept, "_header", "_text_reason", F.posexplode(body).alias("_at", "record"))
+    stray = F.contains("record", F.lit('"')) & ~F.col("record").rlike(rf"^{RECORD}\z")
+    lines = lines.select(*kept, "_header", F.coalesce("_text_reason", F.when(stray, "stray quote")).alias("reason"), F.when(F.col("_text_reason").isNull(), F.col("_at") + 1).otherwise(0).alias("line"), "record")
+    lines = lines.withColumn("_fields", F.when(F.col("reason").isNull(), fields(F.col("record"))))
     missing = NA_TOKENS if compat_na_tokens else ("",)
 
     def value(name: str) -> Column:
@@ -105,10 +114,26 @@ def parsed(rows: DataFrame, names: dict[str, str] = STOCK_NAMES, compat_na_token
         return F.when(~found.isin(*missing), found)
 
     own = {name: mine for name, mine in names.items() if mine not in kept}
-    df = coerced(lines.select(*kept, "line", *[value(name).alias(mine) for name, mine in own.items()]))
+    shown = F.when(F.col("reason").isNotNull(), F.col("record")).alias("record")
+    df = coerced(lines.select(*kept, "line", "reason", shown, *[value(name).alias(mine) for name, mine in own.items()]))
     return df if "date" in kept else df.withColumn("date", day(F.col("date")))
 
 
+def parsed(rows: DataFrame, names: dict[str, str] = STOCK_NAMES, compat_na_tokens: bool = False) -> DataFrame:
+    """The records that are not rejected, see ``records``."""
+    return accepted(records(rows, names, compat_na_tokens))
+
+
+def accepted(found: DataFrame) -> DataFrame:
+    """Of ``records``, those that can be read."""
+    return found.where("reason IS NULL").drop("reason", "record")
+
+
+def rejected(found: DataFrame, *places: str) -> DataFrame:
+    """Of ``records``, those that cannot be read: ``places`` (columns that say where they stand), line, reason, record."""
+    return found.where("reason IS NOT NULL").select(*places, "line", "reason", "record")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return bool(_list(spark, path))
 
