@@ -100,7 +100,7 @@ def append(spark: SparkSession, path: str, new: DataFrame, key: str, lateness: i
     old = read_history(spark, path)
     if old is None:
         return Appended("missing")
-    cutoff = _cutoff(old, lateness)
+    cutoff = cutoff_of(old, lateness)
     fresh = with_ranks(new)
     fresh = fresh.where(F.col("date") > F.lit(cutoff)) if cutoff else fresh
     dates = [r[0] for r in fresh.select("date").distinct().collect()]  # one value a day
@@ -109,7 +109,7 @@ def append(spark: SparkSession, path: str, new: DataFrame, key: str, lateness: i
     return Appended("appended", replace_dates(spark, path, upserted(fresh, old.where(F.col("date").isin(dates)), key)), cutoff)
 
 
-def _cutoff(old: DataFrame, lateness: int) -> dt.date | None:
+def cutoff_of(old: DataFrame, lateness: int) -> dt.date | None:
     mark = high_water_mark(old)
     return mark - dt.timedelta(days=lateness) if mark else None
 
@@ -149,7 +149,7 @@ def append_from_commits(spark: SparkSession, repo: str, path: str, files: list[s
     old = read_history(spark, path)
     if old is None:
         return Appended("missing")
-    cutoff = _cutoff(old, lateness)
+    cutoff = cutoff_of(old, lateness)
     if not commits.newer(repo, cutoff):
         return Appended("current", cutoff=cutoff)
     new = from_commits(spark, repo, files, names, cutoff).persist()

@@ -13,7 +13,7 @@ from tidemark.operators import filters, industry, metrics, numbering, ranking, s
 from tidemark.plans import history
 from tidemark.plans.views import EV, IND, SNAP, ev, ind, snap
 from tidemark.sources import commits
-from tidemark.sources.files import parsed, union
+from tidemark.sources.files import parsed, records, union
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -416,3 +416,17 @@ def csv_text_parse(spark, sf_dir):
     header = F.when(even, "Ticker,Sector,Relative Strength").otherwise("Relative Strength,Ticker")
     texts = rows.groupBy("date", "file").agg(F.array_join(F.collect_list("record"), "\r\n").alias("records"))
     return parsed(texts.select("date", F.concat_ws("\n", header, "records").alias("content"))).select("date", "ticker", "sector", "rs")
+
+
+@query(
+    """SELECT date, file, CASE WHEN bad THEN NULL ELSE ticker END AS ticker, CASE WHEN bad THEN NULL ELSE CAST(printf('%.2f', rs) AS DOUBLE) END AS rs,
+      CASE WHEN bad THEN 'stray quote' END AS reason, CASE WHEN bad THEN '"' || ticker || ',' || printf('%.2f', rs) END AS record
+    FROM (SELECT *, CAST(floor(ordinal / 500) AS BIGINT) AS file, ordinal % 37 = 0 AS bad FROM ev)
+    UNION ALL SELECT date, -1, NULL, NULL, 'no known column', 'x,y' FROM (SELECT DISTINCT date FROM ev)""", EV,
+)
+def csv_rejects(spark, sf_dir):
+    """Texts of some hundred records, of which some cannot be read, and for each day one text of an unknown header"""
+    rows = ev(spark, sf_dir).select("date", F.floor(F.col("ordinal") / 500).alias("file"), F.concat(F.when(F.col("ordinal") % 37 == 0, '"').otherwise(""), F.format_string("%s,%.2f", "ticker", "rs")).alias("record"))
+    texts = rows.groupBy("date", "file").agg(F.concat(F.lit("Ticker,Relative Strength\n"), F.array_join(F.collect_list("record"), "\n")).alias("content"))
+    strange = rows.select("date").distinct().select("date", F.lit(-1).cast("bigint").alias("file"), F.lit("x,y\n1,2").alias("content"))
+    return records(texts.unionByName(strange)).select("date", "file", "ticker", "rs", "reason", "record")
