@@ -55,9 +55,9 @@ def page_member(kind: str, ident: str | None, url: str | None, digest: str, size
     return member([*fields, ("Content-Type", "application/http;msgtype=response")], head + (payload or b""))
 
 
-def _staged(pages: DataFrame, folder: str, date: str) -> DataFrame:
-    """Pass one, written beside the archive: rows (id, ident, url, digest, size, weight, plain, body): a payload below LEAST bytes as it is, of a larger one
-    the compressed response and its size (none where a batch has an equal payload of a lesser key, so the row cannot be the response)."""
+def _records(pages: DataFrame, date: str, bodies: bool) -> DataFrame:
+    """Rows (id, ident, url, digest, size, weight, plain, body): a payload below LEAST bytes as it is, of a larger one the compressed response (if ``bodies``)
+    and its size (neither where a batch has an equal payload of a lesser key, so the row cannot be the response)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -69,23 +69,22 @@ def _staged(pages: DataFrame, folder: str, date: str) -> DataFrame:
                 key = (ids[n] is None, 0 if ids[n] is None else ids[n], urls[n] is not None, urls[n] or "", n)
                 least[d] = min(least.get(d, key), key)
             plain = [p if len(p) < LEAST else None for p in payloads]
-            bodies = [page_member("response", idents[n], urls[n], d, len(p), 0, p, date) if len(p) >= LEAST and least[d][-1] == n else None for n, (p, d) in enumerate(zip(payloads, digests, strict=True))]
-            columns = [pa.array(digests, pa.string()), pa.array([len(x) for x in payloads], pa.int64()), pa.array([len(x or b"") or SMALL for x in bodies], pa.int64()), pa.array(plain, pa.binary()), pa.array(bodies, pa.binary())]
+            packed = [page_member("response", idents[n], urls[n], d, len(p), 0, p, date) if len(p) >= LEAST and least[d][-1] == n else None for n, (p, d) in enumerate(zip(payloads, digests, strict=True))]
+            columns = [pa.array(digests, pa.string()), pa.array([len(x) for x in payloads], pa.int64()), pa.array([len(x or b"") or SMALL for x in packed], pa.int64()), pa.array(plain, pa.binary()), pa.array(packed if bodies else [None] * len(packed), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ident"), batch.column("url"), *columns], ["id", "ident", "url", "digest", "size", "weight", "plain", "body"])
 
     kind = pages.schema["id"].dataType.simpleString()
-    pages.mapInArrow(run, f"id {kind}, ident string, url string, digest string, size bigint, weight bigint, plain binary, body binary").write.parquet(f"{folder}/_temporary/stage")
-    return pages.sparkSession.read.parquet(f"{folder}/_temporary/stage")
+    return pages.mapInArrow(run, f"id {kind}, ident string, url string, digest string, size bigint, weight bigint, plain binary, body binary")
 
 
-def _planned(stage: DataFrame, target: int) -> DataFrame:
+def _planned(records: DataFrame, target: int) -> DataFrame:
     """Rows (KEY, ident, size, plain, kind, refers_to, refers_url, file): what each row becomes and where. Only narrow rows move.
 
     Equal large payloads are one key of a scan by digest, whose first row is the response; a scan over all rows in their order numbers equal
     rows and sums the sizes above each, which the target cuts into files, the same ones whatever the cluster.
     """
     names = ["no_id", "id", "ident", "url", "digest", "size", "plain"]
-    rows = stage.withColumn("no_id", F.col("id").isNull()).select(*names, "weight")
+    rows = records.withColumn("no_id", F.col("id").isNull()).select(*names, "weight")
     large = scan(rows.where(F.col("size") >= LEAST), ["digest"], ["no_id", "id", "url"], firsts=["ident", "url"])
     first, none = F.col("place") == 0, F.lit(None).cast("string")
     large = large.select(
@@ -103,8 +102,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Rows are in order of id (null last), URL and payload digest, and a file ends where the compressed size above a record passes a multiple of ``target``,
     so the same rows give the same bytes, whatever the cluster. Of equal payloads of LEAST bytes or more the first is the response and the others
-    revisits that refer to it. Payloads are compressed once and shuffled once, as compressed records, to the task that writes their file;
-    all else is decided on narrow rows. Every attempt of a task writes under a name of its own; files get their names when all are there,
+    revisits that refer to it. Payloads are compressed for their size, then again
+    to be shuffled, once, to the task that writes their file; all else is decided on narrow rows. (To keep them between would cost as much disk as the archive.) Every attempt of a task writes under a name of its own; files get their names when all are there,
     and are an archive only once the manifest stands beside them. A lost executor costs a repeated task, and what failed leaves no archive.
 
     Null html is an empty payload; null ids and URLs have no field of their own; rows equal in all are a record each; other columns
@@ -112,8 +111,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     spark, given = pages.sparkSession, F.col(f"`{id_col}`")
     narrow = bounded(pages).select(given.alias("id"), given.cast("string").alias("ident"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    stage = _staged(narrow, folder, date)
-    plan = _planned(stage, target)
+    plan = _planned(cut(_records(narrow, date, False).drop("body")), target)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{root}/_temporary/files", recursive=True)
     first = plan.groupBy("file").agg(F.min(F.struct(*KEY)).alias("least")).orderBy("file").collect()  # a row a file
@@ -176,7 +174,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     store.move(source, to)
             yield batch.drop_columns(["temporary"])
 
-    bodies = stage.where("body IS NOT NULL").select("id", "ident", "url", "digest", "body").mapInArrow(place, f"id {stage.schema['id'].dataType.simpleString()}, ident string, url string, digest string, body binary, file int")
+    bodies = _records(narrow, date, True).where("body IS NOT NULL").select("id", "ident", "url", "digest", "body").mapInArrow(place, f"id {narrow.schema['id'].dataType.simpleString()}, ident string, url string, digest string, body binary, file int")
     bodies = bodies.withColumns({"no_id": F.col("id").isNull(), "copy": F.lit(0).cast("bigint"), "tag": F.lit(1)})
     whole = plan.withColumns({"body": F.lit(None).cast("binary"), "tag": F.lit(0)}).unionByName(bodies, allowMissingColumns=True)
     wide = max(1, min(len(files), tasks(spark)))
