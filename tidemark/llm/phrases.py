@@ -18,7 +18,11 @@ from tidemark.llm.texts import bounded, slices
 #: Words of the longest phrases: the depth of the tries.
 DEPTH = 3
 #: Words that a task gathers into one trie, and nodes that a merge holds before it sums up what it has.
-SHARD_WORDS, MERGE_NODES = 4_000_000, 8_000_000
+SHARD_WORDS, MERGE_NODES = 1_000_000, 1_500_000
+#: Prefix ranges, each merged by a task, for each task of a shuffle by default.
+RANGES = 3
+#: Bytes of serialised blocks in a batch, about.
+BLOCK_BYTES = 1 << 20
 #: Texts that show where the prefix ranges should be cut (a sample: it only balances the tasks), and most keys from 4 MB of them.
 SAMPLE_TEXTS, SAMPLE_KEYS = 4000, 2000
 
@@ -61,7 +65,7 @@ def summed(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     sorted_codes = codes[order]
     new = np.append(True, sorted_codes[1:] != sorted_codes[:-1]) if len(codes) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    total = np.diff(np.append(first, len(codes))) if counts is None else np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(codes))) if counts is None else np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
     place = np.empty(len(codes), np.int64)
     place[order] = np.cumsum(new) - 1
     return sorted_codes[first], total.astype(np.int64), place
@@ -134,11 +138,11 @@ def cuts(trie: Trie, bounds: list[tuple]) -> tuple[list[np.ndarray], list[np.nda
     return places, parents
 
 
-def packed(trie: Trie, bounds: list[tuple]) -> pa.RecordBatch:
+def packed(trie: Trie, bounds: list[tuple]) -> Iterator[pa.RecordBatch]:
     """The trie as serialised blocks, one for each prefix range that it has nodes of, or counts of the parents that the range begins under."""
     places, parents = cuts(trie, bounds)
     edges = [np.concatenate(([0], p, [len(trie.word[d])])) for d, p in enumerate(places)]
-    rows = []
+    rows, held = [], 0
     for r in range(len(bounds) + 1):
         begin = [int(parents[d][r - 1]) if r else 0 for d in range(DEPTH - 1)]
         spans = [slice(int(e[r]), int(e[r + 1])) for e in edges]
@@ -148,12 +152,21 @@ def packed(trie: Trie, bounds: list[tuple]) -> pa.RecordBatch:
         ids = np.split(ids.astype(np.int32), np.cumsum([s.stop - s.start for s in spans])[:-1])
         ups = [np.diff(np.maximum(trie.up[d][s] - spans[d - 1].start, -1), prepend=0).astype(np.int32) for d, s in enumerate(spans) if d]
         lang, known = np.unique(trie.lang[spans[0]], return_inverse=True)
-        counts = [trie.count[d][s] for d, s in enumerate(spans)]
+        counts = [trie.count[d][s].astype(np.int32) for d, s in enumerate(spans)]  # a shard has fewer words than that
         rows.append((r, trie.langs.take(pa.array(lang)).to_pylist(), trie.words.take(pa.array(used)), [known.astype(np.int32).tobytes(), *[x.tobytes() for x in [*ids, *ups, *counts]]], begin))
+        held += rows[-1][2].nbytes + sum(map(len, rows[-1][3]))
+        if held > BLOCK_BYTES:
+            yield block_rows(rows)
+            rows, held = [], 0
+    if rows:
+        yield block_rows(rows)
+
+
+def block_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.list_(pa.string())),
-            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in rows]))), pa.int32()), pa.concat_arrays([x[2] for x in rows]) if rows else pa.array([], pa.string())),
+            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in rows]))), pa.int32()), pa.concat_arrays([x[2] for x in rows])),
             pa.array([x[3] for x in rows], pa.list_(pa.binary())), pa.array([x[4] for x in rows], pa.list_(pa.int64())),
         ], ["range", "langs", "words", "arrays", "begin"],
     )
@@ -165,10 +178,9 @@ BLOCK = "range int, langs array<string>, words array<string>, arrays array<binar
 def unpacked(batch: pa.RecordBatch, i: int) -> Trie:
     """The block in row ``i``."""
     arrays = batch.column(3)[i].values
-    ints = [np.frombuffer(arrays[k].as_buffer(), np.int32).astype(np.int64) for k in range(2 * DEPTH)]
-    counts = [np.frombuffer(arrays[k].as_buffer(), np.int64) for k in range(2 * DEPTH, 3 * DEPTH)]
-    ups = [np.full(len(ints[1]), -1), *[np.cumsum(x) for x in ints[DEPTH + 1 :]]]
-    return Trie(batch.column(1)[i].values, batch.column(2)[i].values, ints[0], tuple(ints[1 : DEPTH + 1]), tuple(ups), tuple(counts))
+    ints = [np.frombuffer(arrays[k].as_buffer(), np.int32) for k in range(3 * DEPTH)]
+    ups = [np.full(len(ints[1]), -1, np.int32), *[np.cumsum(x, dtype=np.int32) for x in ints[DEPTH + 1 : 2 * DEPTH]]]
+    return Trie(batch.column(1)[i].values, batch.column(2)[i].values, ints[0], tuple(ints[1 : DEPTH + 1]), tuple(ups), tuple(ints[2 * DEPTH :]))
 
 
 def shards(texts: DataFrame, bounds: list[tuple]) -> DataFrame:
@@ -183,10 +195,10 @@ def shards(texts: DataFrame, bounds: list[tuple]) -> DataFrame:
             chunks.append((words.dictionary_encode(), of, follows))
             n += len(words)
             if n >= SHARD_WORDS:
-                yield packed(counted(chunks), bounds)
+                yield from packed(counted(chunks), bounds)
                 chunks, n = [], 0
         if n:
-            yield packed(counted(chunks), bounds)
+            yield from packed(counted(chunks), bounds)
 
     return texts.mapInArrow(run, BLOCK)
 
@@ -217,22 +229,18 @@ def merge(blocks: DataFrame, bounds: list[tuple], least: int) -> DataFrame:
     more, with the counts of their parents of one and of two words; and a row for each language with all words counted so far as ``a``, without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, nodes, begin = None, [], 0, np.zeros(DEPTH - 1, np.int64)
+        r, held, nodes, most, begin = None, [], 0, MERGE_NODES, np.zeros(DEPTH - 1, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.column(0)[i].as_py()
-                if r != now:
-                    if held:
-                        yield walk(merged(held), now, begin)
-                    now, held, nodes, begin = r, [], 0, np.zeros(DEPTH - 1, np.int64)
                 held.append(unpacked(batch, i))
                 begin = begin + np.array(batch.column(4)[i].as_py(), np.int64)
                 nodes += sum(len(x) for x in held[-1].count)
-                if nodes > MERGE_NODES and len(held) > 1:
+                if nodes > most and len(held) > 1:
                     held = [merged(held)]
-                    nodes = sum(len(x) for x in held[0].count) // 2
+                    nodes, most = 0, max(MERGE_NODES, sum(len(x) for x in held[0].count))
         if held:
-            yield walk(merged(held), now, begin)
+            yield walk(merged(held), r, begin)
 
     def walk(trie: Trie, r: int, begin: np.ndarray) -> pa.RecordBatch:
         bound = bounds[r - 1] if r else (None,) * (DEPTH + 1)
@@ -247,26 +255,25 @@ def merge(blocks: DataFrame, bounds: list[tuple], least: int) -> DataFrame:
 
         each = np.bincount(trie.lang, trie.count[0], len(langs)) if len(trie.lang) and trie.count[0].sum() < 1 << 53 else np.array([trie.count[0][trie.lang == i].sum() for i in range(len(langs))])
         put(pa.array(langs, pa.string()), [], each.astype(np.int64), [])
-        above = None  # language, words and counts of each node of the level above, the range's own parent last
-        for depth in range(DEPTH):
+        tail = lambda x, v: pa.concat_arrays([x, pa.array([v], pa.string())])
+        lang, path, left, place = pa.array([], pa.string()), [], [], np.zeros(0, np.int64)
+        for depth in range(DEPTH):  # parents of what is kept are kept, or are the range's own, which stand last
             kept = np.flatnonzero(trie.count[depth] >= least)
-            own = words.take(pa.array(trie.word[depth]))
+            own, count = words.take(pa.array(trie.word[depth][kept])), trie.count[depth][kept]
             if depth == 0:
-                lang, path, left = pa.array(langs, pa.string()).take(pa.array(trie.lang)), [own], []
+                lang, path = pa.array(langs, pa.string()).take(pa.array(trie.lang[kept])), [own]
             else:
-                up = pa.array(np.where(trie.up[depth] < 0, len(trie.up[depth - 1]), trie.up[depth]))
-                lang, path, left = above[0].take(up), [*[x.take(up) for x in above[1]], own], [x[up.to_numpy()] for x in above[2]]
-            some = pa.array(kept)
-            put(lang.take(some), [x.take(some) for x in path], trie.count[depth][kept], [x[kept] for x in left])
-            if depth + 1 < DEPTH:
-                more = [int(begin[d]) for d in range(depth + 1)]
-                tail = lambda x, v: pa.concat_arrays([x, pa.array([v], pa.string())])
-                above = tail(lang, bound[0]), [tail(x, bound[d + 1]) for d, x in enumerate(path)], [np.append(x, more[d]) for d, x in enumerate([*left, trie.count[depth]])]
+                up = np.append(place, len(lang) - 1)[trie.up[depth][kept]]
+                lang, path, left = lang.take(pa.array(up)), [*[x.take(pa.array(up)) for x in path], own], [x[up] for x in left]
+            put(lang, path, count, left)
+            place = np.full(len(trie.count[depth]), -1)
+            place[kept] = np.arange(len(kept))
+            left = [np.append(x, int(begin[d])) for d, x in enumerate([*left, count])] if depth + 1 < DEPTH else left
+            lang, path = tail(lang, bound[0]), [tail(x, bound[d + 1]) for d, x in enumerate(path)]
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "w1", "w2", "w3", "a", "l1", "l2"])
 
-    ranges = len(bounds) + 1
-    sorted_blocks = blocks.repartitionById(ranges, F.col("range")).sortWithinPartitions("range")
-    return sorted_blocks.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, a bigint, l1 bigint, l2 bigint")
+    ranges = len(bounds) + 1  # a task each
+    return blocks.repartitionById(ranges, F.col("range")).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, a bigint, l1 bigint, l2 bigint")
 
 
 def cut_score(a: Column, left: Column, right: Column) -> Column:
@@ -288,7 +295,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     are ignored. Languages without candidates, and empty tables, give no rows.
     """
     texts = bounded(docs).select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bounds = range_bounds(texts, tasks(docs.sparkSession))
+    bounds = range_bounds(texts, RANGES * tasks(docs.sparkSession))
     nodes = cut(merge(shards(texts, bounds), bounds, least))
     totals = nodes.where("w1 IS NULL").groupBy("lang").agg(F.sum("a").alias("n"))
     one = nodes.where("w1 IS NOT NULL AND w2 IS NULL").select("lang", F.col("w1").alias("x"), F.col("a").alias("right1"))
