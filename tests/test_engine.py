@@ -11,7 +11,7 @@ from tidemark.functions import columns as C
 from tidemark.functions.schema import INDUSTRY_NAMES, STOCK_NAMES
 from tidemark.operators import filters, industry, metrics, ranking, snapshot, table
 from tidemark.plans import history
-from tidemark.sources import commits, files, sinks
+from tidemark.sources import commits, files, sinks, versions
 from tidemark.streaming import append as stream
 
 D = dt.date
@@ -223,37 +223,37 @@ def test_history_of_commits(spark, tmp_path):
     repo.commit("2024-01-05", "bad", s1="", s2='Ticker\n"A\n')
     assert history.append_from_commits(spark, where, grown, STOCKS, "ticker") == history.Appended("no file", 0, D(2024, 1, 4))
     assert history.build_from_commits(spark, where, whole, STOCKS, "ticker").rows == 7
-    shown = [sorted(map(repr, rows(spark.read.parquet(p).select("date", "ticker", "price", "p1m", "r1m", "commit_hash")))) for p in (whole, grown)]
+    shown = [sorted(map(repr, rows(history.read_history(spark, p).select("date", "ticker", "price", "p1m", "r1m", "commit_hash")))) for p in (whole, grown)]
     assert shown[0] == shown[1]
-    got = {(r["date"].day, r["ticker"]): (r["price"], r["r1m"]) for r in spark.read.parquet(grown).collect()}
+    got = {(r["date"].day, r["ticker"]): (r["price"], r["r1m"]) for r in history.read_history(spark, grown).collect()}
     assert got == {(2, "A"): (None, 2.0), (2, "B"): (8.0, None), (3, "A"): (2.0, None), (3, "B"): (8.0, None), (3, "C"): (3.0, None), (4, "A"): (5.0, None), (4, "B"): (8.0, None)}
     old = [(r["date"].day, r["ticker"], r["price"]) for r in history.build_legacy(spark, where, STOCKS).collect()]
     assert old[:2] == [(2, "A", None), (2, "A", None)] and [r for r in old if r[0] == 3] == [(3, "A", 1.0), (3, "C", 3.0), (3, "A", 2.0)]
 
 
 def test_append_survives_failure(spark, tmp_path, monkeypatch):
-    """A write that fails after the newest of several dates is in place loses no date, be it the first or a later one."""
+    """A write that fails when all files are there but the version is not, be it the first or a later one, changes nothing and can be made again."""
     days = [stocks(spark, [(D(2024, 1, n), "A", "s", "i", float(n), 1.0, 1.0, 1.0)]) for n in (1, 2, 3, 4)]
-    path, write = f"{tmp_path}/history", history.write_history
+    path, publish = f"{tmp_path}/history", versions._publish
 
-    def half(df, where):
-        write(df.where(F.col("date") == F.lit(df.agg(F.max("date")).first()[0])), where)
+    def lost(*_):
         raise OSError("lost")
 
-    monkeypatch.setattr(history, "write_history", half)
+    monkeypatch.setattr(versions, "_publish", lost)
     with pytest.raises(OSError):
         history.replace_dates(spark, path, history.build(days[:2], "ticker"))
-    with pytest.raises(OSError):
-        history.append(spark, path, days[2], "ticker")
-    monkeypatch.setattr(history, "write_history", write)
-    assert history.append(spark, path, files.union(days[:2]), "ticker").state == "current"
-    monkeypatch.setattr(history, "write_history", half)
+    assert history.read_history(spark, path) is None
+    monkeypatch.setattr(versions, "_publish", publish)
+    history.replace_dates(spark, path, history.build(days[:2], "ticker"))
+    monkeypatch.setattr(versions, "_publish", lost)
     with pytest.raises(OSError):
         history.append(spark, path, files.union(days[2:]), "ticker")
-    monkeypatch.setattr(history, "write_history", write)
+    assert sorted(r["rs"] for r in history.read_history(spark, path).collect()) == [1.0, 2.0]
+    monkeypatch.setattr(versions, "_publish", publish)
+    assert history.append(spark, path, files.union(days[:2]), "ticker").state == "current"
     history.append(spark, path, files.union(days[2:]), "ticker")
-    assert sorted(r["rs"] for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 3.0, 4.0]
-    assert not files.exists(spark, f"{path}-stage")
+    assert sorted(r["rs"] for r in history.read_history(spark, path).collect()) == [1.0, 2.0, 3.0, 4.0]
+    assert versions.vacuum(spark, path, keep=1, hours=0) == 2 and history.read_history(spark, path).count() == 4
 
 
 def test_sinks(spark, tmp_path):
@@ -277,12 +277,12 @@ def test_history(spark, tmp_path):
     done = history.append(spark, path, rest, "ticker")
     assert (done.state, done.rows, done.cutoff) == ("appended", 3, D(2024, 1, 1))
     whole = sorted(map(repr, rows(history.build([first, rest], "ticker").select("date", "ticker", "rs", "r1m"))))
-    assert sorted(map(repr, rows(spark.read.parquet(path).select("date", "ticker", "rs", "r1m")))) == whole
+    assert sorted(map(repr, rows(history.read_history(spark, path).select("date", "ticker", "rs", "r1m")))) == whole
     assert history.append(spark, path, rest, "ticker").state == "current"
     late = rest.where("ticker = 'D'").withColumn("rs", F.lit(6.0))
     assert history.append(spark, path, late, "ticker", lateness=1).rows == 3
-    assert sorted(r["rs"] for r in spark.read.parquet(path).where("ticker = 'D'").collect()) == [6.0]
-    assert history.high_water_mark(spark.read.parquet(path)) == D(2024, 1, 2)
+    assert sorted(r["rs"] for r in history.read_history(spark, path).where("ticker = 'D'").collect()) == [6.0]
+    assert history.high_water_mark(history.read_history(spark, path)) == D(2024, 1, 2)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -293,7 +293,7 @@ def test_stream_equals_batch(spark, tmp_path):
         raw.where(F.col("date") == F.lit(day)).coalesce(1).write.mode("append").parquet(landed)
         stream.run(stream.landed(spark, landed, raw.schema, names), path, f"{tmp_path}/checkpoint", "ticker").awaitTermination()
     batch = history.build([C.coerced(raw.withColumnsRenamed(names))], "ticker").select("date", "ticker", "rs", "r1m")
-    assert sorted(map(repr, rows(spark.read.parquet(path).select("date", "ticker", "rs", "r1m")))) == sorted(map(repr, rows(batch)))
+    assert sorted(map(repr, rows(history.read_history(spark, path).select("date", "ticker", "rs", "r1m")))) == sorted(map(repr, rows(batch)))
 
 
 def test_stream_by_interval(spark, tmp_path):
@@ -305,9 +305,9 @@ def test_stream_by_interval(spark, tmp_path):
     running = stream.run(stream.landed(spark, landed, raw.schema, {"Ticker": "ticker"}), path, f"{tmp_path}/checkpoint", "ticker", once=False, every="1 second")
     try:
         running.processAllAvailable()
-        assert spark.read.parquet(path).count() == 2
+        assert history.read_history(spark, path).count() == 2
         days[1].write.mode("append").parquet(landed)
         running.processAllAvailable()
     finally:
         running.stop()
-    assert sorted(rows(spark.read.parquet(path).select("date", "ticker"))) == sorted({(r[0], r[1]) for r in DATA})
+    assert sorted(rows(history.read_history(spark, path).select("date", "ticker"))) == sorted({(r[0], r[1]) for r in DATA})

@@ -15,7 +15,7 @@ FILES = ["s1.csv", "s2.csv"]
 
 
 def shown(spark, path):
-    return sorted(map(repr, rows(spark.read.parquet(path).select("date", "ticker", "price", "p1m", "r1m", "commit_hash"))))
+    return sorted(map(repr, rows(history.read_history(spark, path).select("date", "ticker", "price", "p1m", "r1m", "commit_hash"))))
 
 
 @pytest.fixture
@@ -86,7 +86,7 @@ def test_stream_of_a_remote(spark, tmp_path):
     path, where = f"{tmp_path}/history", str(tmp_path / "near")
     for fetch, days in (("", [1]), ("origin", [1, 2])):
         stream.run_commits(commits.stream(spark, where, FILES, fetch), where, path, f"{tmp_path}/checkpoint", "ticker").awaitTermination()
-        assert sorted({r["date"].day for r in spark.read.parquet(path).collect()}) == days
+        assert sorted({r["date"].day for r in history.read_history(spark, path).collect()}) == days
 
 
 def test_history_of_a_commit_stream(spark, tmp_path):
@@ -121,9 +121,9 @@ def test_stream_of_drifting_csv(spark, tmp_path):
 
     def same(pattern):
         batch = history.build([files.read_all(spark, f"{landing}/{pattern}")[0]], "ticker")
-        columns = [c for c in batch.columns if c in spark.read.parquet(path).columns]
+        columns = [c for c in batch.columns if c in history.read_history(spark, path).columns]
         assert {"date", "ticker", "rs", "price", "p1m", "r1m", "source_file"} <= set(columns)
-        assert sorted(map(repr, rows(spark.read.parquet(path).select(columns)))) == sorted(map(repr, rows(batch.select(columns))))
+        assert sorted(map(repr, rows(history.read_history(spark, path).select(columns)))) == sorted(map(repr, rows(batch.select(columns))))
 
     take()
     same("rs_[12].csv")
@@ -134,7 +134,7 @@ def test_stream_of_drifting_csv(spark, tmp_path):
     take()
     got = rows(spark.read.parquet(rejects).select("source_file", "line", "reason", "record"))
     assert got == [("rs_4.csv", 2, "stray quote", 'E"x,2024-01-03')] or sorted(got) == [("rs_4.csv", 2, "stray quote", 'E"x,2024-01-03'), ("rs_5.csv", 0, "no text", "")]
-    assert sorted(rows(spark.read.parquet(path).where("date = DATE '2024-01-03'").select("ticker", "sector"))) == [("C", "Oil"), ("D", None), ("F", None)]
+    assert sorted(rows(history.read_history(spark, path).where("date = DATE '2024-01-03'").select("ticker", "sector"))) == [("C", "Oil"), ("D", None), ("F", None)]
 
 
 def test_dates_of_landed_files(spark, tmp_path):
@@ -145,7 +145,7 @@ def test_dates_of_landed_files(spark, tmp_path):
     date = F.regexp_extract(F.col("source_file"), r"(\d{4}-\d\d-\d\d)", 1).cast("date")
     found = stream.landed_csv(spark, str(landing), date)
     stream.run_csv(found, f"{tmp_path}/history", f"{tmp_path}/checkpoint", "ticker").awaitTermination()
-    assert sorted(rows(spark.read.parquet(f"{tmp_path}/history").select("date", "price"))) == [(D(2024, 1, 1), 1.0), (D(2024, 1, 2), 2.0)]
+    assert sorted(rows(history.read_history(spark, f"{tmp_path}/history").select("date", "price"))) == [(D(2024, 1, 1), 1.0), (D(2024, 1, 2), 2.0)]
 
 
 def test_records_and_rejects_are_all_records(spark):

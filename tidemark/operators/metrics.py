@@ -47,6 +47,18 @@ def daily_strength(df: DataFrame) -> DataFrame:
     return found.select("date", "mean_rs", "median_rs", "max_rs").unionByName(empty)
 
 
+def series_of_sums(sums: DataFrame) -> DataFrame:
+    """Mean percentile, tickers, mean price and mean strength of each date from a history's sums by day (``versions.daily``); its keys are unique in a date."""
+    mean = lambda c: (F.sum(f"sum_{c}").cast("double") / F.nullif(F.sum(f"n_{c}"), F.lit(0))).alias(f"avg_{c}")
+    return sums.where(F.col("date").isNotNull()).groupBy("date").agg(mean("percentile"), F.sum("n_tickers").alias("n_tickers"), mean("price"), mean("rs"), F.max("max_rs").alias("max_rs"))
+
+
+def trend_of_sums(sums: DataFrame, sector: str | None = None) -> DataFrame:
+    """As ``sector_trend``, from a history's sums by day."""
+    rows = sums.where(F.col("sector").isNotNull()) if sector is None else sums.where(F.col("sector") == sector)
+    return rows.select("sector", "date", (F.col("sum_rs").cast("double") / F.nullif(F.col("n_rs"), F.lit(0))).alias("mean_rs"), "min_rs", "max_rs")
+
+
 def sector_trend(df: DataFrame, sector: str | None = None) -> DataFrame:
     """Mean, least and greatest strength by sector and date; of one sector if it is named."""
     rows = df.where(F.col("sector").isNotNull()) if sector is None else df.where(F.col("sector") == sector)

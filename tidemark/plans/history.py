@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.functions.columns import with_ranks
 from tidemark.functions.schema import STOCK_NAMES
 from tidemark.operators.snapshot import per_key_and_date
-from tidemark.sources import commits
-from tidemark.sources.files import accepted, delete, exists, records, union
-from tidemark.sources.sinks import write_history
-
+from tidemark.sources import commits, versions
+from tidemark.sources.files import accepted, records, union
 
+#: How often a change is made anew because another writer was faster.
+ATTEMPTS = 20
 #: Columns that order rows of one key and date, and are no part of a history.
 PLACES = ("precedence", "age", "file_num", "line")
 
@@ -33,7 +33,7 @@ def build(snapshots: list[DataFrame], key: str) -> DataFrame:
 
 
 def high_water_mark(history: DataFrame) -> dt.date | None:
-    """S06, ST3: the newest date, whatever the order of the rows (T4)."""
+    """S06, ST3: the newest date of rows that are no versioned history (whose manifest knows it), whatever their order (T4)."""
     return history.agg(F.max("date")).first()[0]
 
 
@@ -53,64 +53,63 @@ class Appended:
     cutoff: dt.date | None = None
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def replace_dates(spark: SparkSession, path: str, rows: DataFrame) -> int:
-    """ST5: puts ``rows``, whole dates, in the place of those dates. They are staged beside the history first; from then on the
-    change can be finished by anyone (``finish``), so a failure between two dates loses none."""
-    rows.write.mode("overwrite").parquet(_stage(path))
-    return finish(spark, path)
-
+def read_history(spark: SparkSession, path: str, **which) -> DataFrame | None:
+    """The newest version of a history, or what of it ``versions.read`` is asked for; None if there is none."""
+    return versions.read(spark, path, **which)
 
-def finish(spark: SparkSession, path: str) -> int:
-    """ST5: puts dates in place that an unfinished change has staged whole; returns how many rows. Doing it again changes nothing.
 
-    One writer at a time is assumed. The stage's mark goes before its files, so what is half removed is never taken for whole.
-    """
-    stage = _stage(path)
-    if not exists(spark, f"{stage}/_SUCCESS"):
-        return 0
-    staged = spark.read.parquet(stage)
-    rows = staged.count()
-    write_history(staged, path)
-    delete(spark, f"{stage}/_SUCCESS")
-    delete(spark, stage)
-    return rows
+def replace_dates(spark: SparkSession, path: str, rows: DataFrame, key: str = "ticker") -> int:
+    """ST5: puts ``rows``, whole dates, in the place of those dates, as one change; returns how many there are. What other writers change meanwhile stays."""
+    rows = rows.persist()
+    try:
+        return _changed(spark, path, lambda _: rows, key)[1]
+    finally:
+        rows.unpersist()
 
 
-def _stage(path: str) -> str:
-    return path.rstrip("/") + "-stage"
+def _changed(spark: SparkSession, path: str, make: Callable[[versions.Version | None], DataFrame | None], key: str) -> tuple[versions.Version | None, int]:
+    """Commits what ``make`` gives for the newest version, again for a newer one if another writer was faster. The version, and the rows of the change."""
+    for _ in range(ATTEMPTS):
+        base = versions.version(spark, path)
+        rows = make(base)
+        if rows is None:
+            return base, 0
+        try:
+            made = versions.commit(spark, path, base, rows, key)
+        except versions.Conflict:
+            continue
+        before = base.dates if base else {}
+        return made, sum(n for d, (c, n) in made.dates.items() if before.get(d, ("", None))[0] != c) if made else 0
+    raise versions.Conflict(f"{path}: {ATTEMPTS} other changes came first")
 
 
 def append(spark: SparkSession, path: str, new: DataFrame, key: str, lateness: int = 0) -> Appended:
-    """ST3-ST5: rows of ``new`` after the history's newest date join it; dates that ``new`` touches are rewritten.
+    """ST3-ST5: rows of ``new`` after the history's newest date join it; dates that ``new`` touches are rewritten, as one change.
 
     ``lateness`` days before the newest date are taken too (T: the default, none, drops them silently, as a second
-    snapshot of the newest day). Rows that meet an old key and date replace it. An earlier append that failed is finished first;
-    running the same append again changes nothing.
+    snapshot of the newest day). Rows that meet an old key and date replace it. The newest date comes from the manifest, and of the history only
+    the dates touched are read. Running the same append again changes nothing; one that meets another writer's change is made anew on top of it.
     """
-    finish(spark, path)
-    old = read_history(spark, path)
-    if old is None:
-        return Appended("missing")
-    cutoff = cutoff_of(old, lateness)
-    fresh = with_ranks(new)
-    fresh = fresh.where(F.col("date") > F.lit(cutoff)) if cutoff else fresh
-    dates = [r[0] for r in fresh.select("date").distinct().collect()]  # one value a day
-    if not dates:
-        return Appended("current", cutoff=cutoff)
-    return Appended("appended", replace_dates(spark, path, upserted(fresh, old.where(F.col("date").isin(dates)), key)), cutoff)
+    done = Appended("missing")
+
+    def make(base: versions.Version | None) -> DataFrame | None:
+        nonlocal done
+        if base is None:
+            return None
+        cutoff = cutoff_of(base, lateness)
+        fresh = with_ranks(new)
+        fresh = fresh.where(F.col("date") > F.lit(cutoff)) if cutoff else fresh
+        dates = [r[0] for r in fresh.select("date").distinct().collect()]  # one value a day
+        done = Appended("appended" if dates else "current", cutoff=cutoff)
+        return upserted(fresh, versions.read(spark, path, base, dates), key) if dates else None
+
+    rows = _changed(spark, path, make, key)[1]
+    return replace(done, rows=rows)
 
 
-def cutoff_of(old: DataFrame, lateness: int) -> dt.date | None:
-    mark = high_water_mark(old)
+def cutoff_of(base: versions.Version, lateness: int) -> dt.date | None:
+    """The day after which rows are new."""
+    mark = base.newest()
     return mark - dt.timedelta(days=lateness) if mark else None
 
 
@@ -132,24 +131,22 @@ def from_commits(spark: SparkSession, repo: str, files: list[str], names: dict[s
 
 
 def build_from_commits(spark: SparkSession, repo: str, path: str, files: list[str], key: str, names: dict[str, str] = STOCK_NAMES) -> Appended:
-    """The whole history of a repository's snapshots, written to ``path``; dates that it had before and the repository lacks stay."""
-    finish(spark, path)
+    """The whole history of a repository's snapshots, written to ``path`` as one change; dates that it had before and the repository lacks stay."""
     if not commits.log(repo):
         return Appended("current")
     rows = build([from_commits(spark, repo, files, names)], key).persist()
     try:
-        return Appended("no file") if rows.isEmpty() else Appended("built", replace_dates(spark, path, rows))
+        return Appended("no file") if rows.isEmpty() else Appended("built", replace_dates(spark, path, rows, key))
     finally:
         rows.unpersist()
 
 
 def append_from_commits(spark: SparkSession, repo: str, path: str, files: list[str], key: str, names: dict[str, str] = STOCK_NAMES, lateness: int = 0) -> Appended:
     """ST3-ST6: the commits after the history's newest date join it; only their files are fetched."""
-    finish(spark, path)
-    old = read_history(spark, path)
-    if old is None:
+    base = versions.version(spark, path)
+    if base is None:
         return Appended("missing")
-    cutoff = cutoff_of(old, lateness)
+    cutoff = cutoff_of(base, lateness)
     if not commits.newer(repo, cutoff):
         return Appended("current", cutoff=cutoff)
     new = from_commits(spark, repo, files, names, cutoff).persist()

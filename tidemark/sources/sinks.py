@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import summary
+from tidemark.sources.versions import laid_out
 
 
-def write_history(df: DataFrame, path: str) -> None:
-    """Rows in Parquet, a folder for each date, newest rows first within a file. Only dates in ``df`` are replaced.
-
-    ``df`` must not be read from ``path``; see plans.history.append for updates.
+def write_history(df: DataFrame, path: str, key: str = "ticker") -> None:
+    """Rows in plain Parquet, a folder for each date, for readers that know no versions; within a date by ranges of ``key``, see ``versions.laid_out``.
+    Only dates in ``df`` are replaced, one after the other. ``df`` must not be read from ``path``; see plans.history for updates.
     """
-    ordered = df.repartition("date").sortWithinPartitions(F.col("date").desc())
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    laid_out(df, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import coerced, day
 from tidemark.functions.schema import STOCK_NAMES
 from tidemark.plans import history
-from tidemark.sources import commits
+from tidemark.sources import commits, versions
 from tidemark.sources.files import accepted, records, rejected
 
 
@@ -38,19 +38,15 @@ def _started(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpo
 def _appended(rows: DataFrame, path: str, key: str, lateness: int) -> None:
     """One batch joins the history, which it begins if there is none."""
     spark = rows.sparkSession
-    history.finish(spark, path)
-    if history.read_history(spark, path) is None:
-        if not rows.isEmpty():
-            history.replace_dates(spark, path, history.build([rows], key))
-    else:
-        history.append(spark, path, rows, key, lateness)
+    if history.append(spark, path, rows, key, lateness).state == "missing" and not rows.isEmpty():
+        history.replace_dates(spark, path, history.build([rows], key), key)
 
 
 def run(stream: DataFrame, path: str, checkpoint: str, key: str, once: bool = True, every: str = "30 minutes", lateness: int = 0):
     """Append what has landed: all of it now (``once``, for a scheduler), or again and again.
 
-    The checkpoint's offsets say what is new (T26). A batch may be run again after a failure: what it had staged whole is
-    finished, what it had not is staged again. Histories that do not exist yet are begun by the first batch.
+    The checkpoint's offsets say what is new (T26). A batch is one change of the history, so one that failed has changed nothing and may be run
+    again. Histories that do not exist yet are begun by the first batch.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
@@ -95,9 +91,8 @@ def run_commits(
         spark = found.sparkSession
         found = found.persist()
         try:
-            history.finish(spark, path)
-            old = history.read_history(spark, path)
-            cutoff = history.cutoff_of(old, lateness) if old is not None else None
+            base = versions.version(spark, path)
+            cutoff = history.cutoff_of(base, lateness) if base else None
             wanted = found.where(F.col("date") > F.lit(cutoff)) if cutoff else found
             if not wanted.isEmpty():
                 rows = history.from_index(wanted, repo, names, program=program)
