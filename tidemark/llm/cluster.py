@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder now, and where it is. Unlike a checkpoint it forgets the size that its plan was estimated to have: in
+    rounds that join what the rounds before made, these estimates multiply, their digits double each round, and the driver's memory fills with them."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes what ``kept`` has written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (already cut, so counting is cheap) with a broadcast hint if it is within ``rows``."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -97,13 +112,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Least labels spread along the edges and each label is replaced by its own label (pointer jumping), so
     rounds grow with the logarithm of a component's width. A round is one aggregate and one join by label; its partitions
-    are as many as the rows ask for, so that many rounds over few edges are few tasks. Only one flag of a round reaches the driver.
+    are as many as the rows ask for, so that many rounds over few edges are few tasks. Between rounds labels are kept as tables, of which the
+    last two stay. Only one flag of a round reaches the driver.
     """
     spark = edges.sparkSession
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).where("u != v").distinct())
+    both, _ = kept(edges.select("u", "v").union(edges.select("v", "u")).where("u != v").distinct())
     wide = parts_for(both.count(), spark)
-    both = cut(both.coalesce(wide)) if wide < tasks(spark) else both
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")).coalesce(wide))
+    labels, at = kept(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")).coalesce(wide))
     few = labels.count() <= BROADCAST_ROWS
     while True:
         known = F.broadcast(labels) if few else labels
@@ -112,10 +127,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = met.union(own).groupBy("node").agg(F.min("label").alias("to"), F.max("own").alias("old")).coalesce(wide)
         parents = known.select(F.col("node").alias("parent"), F.col("label").alias("up"))
         step = seen.join(parents, F.col("to") == F.col("parent"), "left").select("node", F.least("to", "up").alias("label"), "old")
-        step = cut(step if few else step.coalesce(wide))
+        step, now = kept(step if few else step.coalesce(wide))
+        delete(spark, at)
         if step.where("label != old").isEmpty():
             return step.select("node", "label")
-        labels = step.select("node", "label")
+        labels, at = step.select("node", "label"), now
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], hot: int = 1000) -> DataFrame:
