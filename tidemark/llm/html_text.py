@@ -34,11 +34,13 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 NOISE_TAGS = set("head nav header footer aside menu dialog button select label".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 SKIPPED = "script|style|noscript|template|iframe|svg|math|canvas|object|textarea|title|audio|video"
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsense|adbox|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|sidebar|widget|related|recommend\w*"
-    r"|comments?|commentlist|respond|disqus|replies|reply|breadcrumbs?|menu|navbar|nav|navigation|pagination|pager|footer|masthead|topbar|toolbar|login|search|skip)(?=$|[\s_-])"
-    r"|(?:^|\s)(?:(?:site|page|top|main|global)[_-])?header(?=$|\s)"
+NOISE_WORDS = (
+    r"(?:ads?|adsense|adbox|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|sidebar|widget|related|recommend\w*"
+    r"|comments?|commentlist|respond|disqus|replies|reply|breadcrumbs?|menu|navbar|nav|navigation|pagination|pager|footer|masthead|topbar|toolbar|login|search|skip)"
 )
+# Parts of a class that tell a state or what else is on the page, not what the element is.
+STATES = "has no not with without is are hide hidden show shown enable enabled disable disabled open opened close closed active inactive collapsed expanded visible on off".split()
+NOISE_NAME = re.compile(rf"{NOISE_WORDS}(?:[_-]\w+)*|(?:\w+[_-])+{NOISE_WORDS}|(?:(?:site|page|top|main|global)[_-])?header")
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>",
     re.IGNORECASE | re.DOTALL,
@@ -46,11 +48,21 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-z][a-z0-9-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.IGNORECASE)
 
 
+REMARKS = re.compile(r"[._-](?:comments?|commentlist|respond|disqus|replies|reply)(?![a-z])")
+#: Words of paragraphs that make the text of a page whose names all say noise.
+ENOUGH = 20
+
+
 class Block(NamedTuple):
+    """A text, where it stands, what tags and roles say it is, the elements above it (by their numbers) whose names say noise, and those that are articles."""
+
     node: int
     branches: bytes
     kind: int
     text: str
+    named: tuple[int, ...] = ()
+    mains: tuple[int, ...] = ()
+    tag: str = ""
 
 
 class Low(NamedTuple):
@@ -74,21 +86,59 @@ def child(node: int, branches: bytes, label: str, depth: int) -> tuple[int, byte
     return own, branches + own.to_bytes(8, "little", signed=True) if depth <= DEPTH or depth & (depth - 1) == 0 else branches
 
 
+def is_noise(names: str) -> bool:
+    """Whether one of the names (an id, classes) says that the element itself is a menu, an advert and the like. Names with a part of STATES do not."""
+    return any(NOISE_NAME.fullmatch(x) and not set(re.split("[_-]", x)) & STATE_PARTS for x in names.split())
+
+
+STATE_PARTS = frozenset(STATES)
+
+
 @lru_cache(maxsize=50_000)
-def label_of(name: str, attributes: str) -> tuple[str, int]:
-    """A node's label (tag, id and classes without their digits) and what its markup says it is."""
+def label_of(name: str, attributes: str) -> tuple[str, int, bool]:
+    """A node's label (tag, id and classes without their digits), what its tag and role say it is, and whether its names say noise."""
     values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     names = f"{values.get('id', '')} {values.get('class', '')}".strip()
     label = name + "".join(f".{x}" for x in sorted(re.sub(r"\d+", "", names).replace("/", "_").split()))
     hidden = "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""))
     role = values.get("role", "")
+    named = name not in ("html", "body", "main") and is_noise(names)
     if hidden or name in NOISE_TAGS or role in NOISE_ROLES:
-        return label, NOISE
-    if name not in ("html", "body", "main") and NOISE_WORDS.search(names):
-        return label, NOISE
+        return label, NOISE, named
     if name in ("article", "main") or role in ("main", "article") or values.get("itemprop") == "articlebody":
-        return label, MAIN
-    return label, FORM if name in ("form", "fieldset") or role == "form" else OPEN
+        return label, MAIN, named
+    return label, FORM if name in ("form", "fieldset") or role == "form" else OPEN, named
+
+
+def judged(blocks: list[Block], chains: dict[int, tuple[int, ...]], remarks: set[int]) -> list[Block]:
+    """The blocks with kind NOISE where a name above them says noise and is believed. chains: the elements with such names at and above each article; remarks: those with names of
+    reader comments.
+
+    Names of layouts and states often stand around an article or on it. If every article stands under a name that says noise, the names at and above the one with the most
+    text are not believed (those of reader comments only count if there are no others); on a page without articles whose names leave nothing, neither is the
+    outermost name above most words of paragraphs, if these are ENOUGH.
+    """
+    trusted: set[int] = {x for b in blocks for x in b.named}
+    texts = [b for b in blocks if b.kind in (MAIN, OPEN)]
+    if any(b.kind == MAIN for b in texts):
+        if not any(b.kind == MAIN and not b.named for b in texts):
+            length: dict[int, int] = {}
+            for b in texts:
+                for m in b.mains:
+                    if set(b.named) <= set(chains[m]):
+                        length[m] = length.get(m, 0) + len(b.text)
+            own = [m for m in length if not remarks & set(chains[m])] or list(length)
+            if own:
+                trusted -= set(chains[max(own, key=lambda m: (length[m], -m))])
+    elif texts and all(b.named for b in texts):
+        length = {}
+        for b in texts:
+            if b.tag == "p":
+                length[b.named[0]] = length.get(b.named[0], 0) + b.text.count(" ") + 1
+        most = max(length, key=lambda x: (length[x], -x), default=0)
+        if length.get(most, 0) >= ENOUGH:
+            trusted.discard(most)
+    return [b._replace(kind=NOISE) if trusted & set(b.named) else b for b in blocks]
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[int, bytes, str]]]:
@@ -99,20 +149,23 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, bytes, str]]]:
     """
     blocks: list[Block] = []
     styles: list[tuple[int, bytes, str]] = []
-    stack: list[tuple[str, int, bytes, int, list[str]]] = [("", 0, b"", OPEN, [])]
+    stack: list[tuple[str, int, bytes, int, list[str], tuple[int, ...], tuple[int, ...]]] = [("", 0, b"", OPEN, [], (), ())]
     run: list[str] = []
-    at = 0
+    chains: dict[int, tuple[int, ...]] = {}
+    remarks: set[int] = set()
+    at = number = 0
 
     def flush() -> None:
         if run:
             text = " ".join(html.unescape("".join(run)).split())
             if text:
-                blocks.append(Block(*stack[-1][1:4], text))
+                name, node, branches, kind, _, named, mains = stack[-1]
+                blocks.append(Block(node, branches, kind, text, named, mains, name))
             run.clear()
 
     def close(to: int) -> None:
         while len(stack) > to:
-            _, node, branches, _, children = stack.pop()
+            _, node, branches, _, children, _, _ = stack.pop()
             if children:
                 styles.append((node, branches, ",".join(children)))
 
@@ -138,21 +191,27 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, bytes, str]]]:
                         break
                     if stack[i][0] != "p" and not (name in CLOSES and stack[i][0] in ("b", "i")):
                         break
-                label, kind = label_of(name, m[4] or m[7] or "")
-                _, node, branches, above, children = stack[-1]
+                label, kind, noise = label_of(name, m[4] or m[7] or "")
+                _, node, branches, above, children, named, mains = stack[-1]
                 children.append(label)
+                number += 1
+                named = (*named, number) if noise else named
+                if noise and REMARKS.search(label):
+                    remarks.add(number)
+                if kind == MAIN and above != NOISE:
+                    mains, chains[number] = (*mains, number), named
                 if above == NOISE or kind == NOISE:
                     kind = NOISE
                 elif kind != MAIN:
                     kind = above if kind == OPEN or above == MAIN and kind != FORM else kind
                     if above == FORM:
                         kind = FORM
-                stack.append((name, *child(node, branches, label, len(stack)), kind, []))
+                stack.append((name, *child(node, branches, label, len(stack)), kind, [], named, mains))
     if at < len(page):
         run.append(page[at:])
     flush()
     close(0)
-    return blocks, styles
+    return judged(blocks, chains, remarks), styles
 
 
 def host(url: str) -> Column:
