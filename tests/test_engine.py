@@ -260,6 +260,13 @@ def test_sinks(spark, tmp_path):
     df = stocks(spark, DATA)
     sinks.write_csv(df, f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 6
+    many = spark.range(3000).select((F.col("id") * 7 % 3000).alias("n")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for one in (False, True):
+        sinks.write_csv(many, f"{tmp_path}/ordered", [F.col("n").desc()], one)
+        parts = sorted((tmp_path / "ordered").glob("part-*.csv"))
+        assert (len(parts) == 1) == one and [int(x) for p in parts for x in p.read_text().splitlines()[1:]] == list(range(2999, -1, -1))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     lists = spark.createDataFrame([("X_tickers.txt", "A,B"), ("Y_tickers.txt", "C")], "file_name string, tickers string")
     sinks.write_lists(lists, f"{tmp_path}/lists")
     assert spark.read.text(f"{tmp_path}/lists/file_name=X_tickers.txt").first()[0] == "A,B"

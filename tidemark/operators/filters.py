@@ -105,3 +105,10 @@ def options(df: DataFrame, column: str, ordered: bool = True) -> DataFrame:
     """The distinct values of ``column`` that are not null, in order."""
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
     return values.orderBy(column) if ordered else values
+
+
+def sampled(df: DataFrame, n: int, key: str = "ticker") -> DataFrame:
+    """``n`` rows for a plot that cannot show them all: those of least digest of date and ``key``, so that rows are alike to be taken and a rerun takes
+    the same. Each task keeps its ``n`` least; nothing else is shuffled."""
+    digest = F.md5(F.concat_ws("/", F.col("date").cast("string"), F.col(key)))
+    return df.orderBy(digest, "date", key).limit(n)

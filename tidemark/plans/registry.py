@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators import filters, industry, metrics, numbering, ranking, snapshot, table
 from tidemark.plans import history
+from tidemark.operators.steps import shared_folder
 from tidemark.plans.views import EV, IND, SNAP, ev, ind, snap
-from tidemark.sources import commits
-from tidemark.sources.files import parsed, records, union
+from tidemark.sources import commits, sinks, versions
+from tidemark.sources.files import load_stocks, parsed, read_all, records, union
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -430,3 +432,71 @@ def csv_rejects(spark, sf_dir):
     texts = rows.groupBy("date", "file").agg(F.concat(F.lit("Ticker,Relative Strength\n"), F.array_join(F.collect_list("record"), "\n")).alias("content"))
     strange = rows.select("date").distinct().select("date", F.lit(-1).cast("bigint").alias("file"), F.lit("x,y\n1,2").alias("content"))
     return records(texts.unionByName(strange)).select("date", "file", "ticker", "rs", "reason", "record")
+
+
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _grown(spark, sf_dir) -> str:
+    """A history of the stock snapshots at a new folder: built to the end of 1995, extended by all that came after, and by the newest month once more with other
+    strengths in one sector, which the default lateness leaves out and one of 31 days takes."""
+    path, rows = _new_folder(spark), snap(spark, sf_dir).select("date", "ticker", "sector", "rs", "percentile", "price")
+    rows = rows.persist()
+    try:
+        history.replace_dates(spark, path, rows.where("date <= DATE '1995-12-01'"))
+        history.append(spark, path, rows, "ticker")
+        newest = versions.version(spark, path).newest()
+        again = rows.where((F.col("date") == F.lit(newest)) & (F.col("sector") == "PROMO")).withColumn("rs", F.col("rs") + 1)
+        history.append(spark, path, again.withColumn("rs", F.lit(-1.0)), "ticker")
+        history.append(spark, path, again, "ticker", lateness=31)
+        return path
+    finally:
+        rows.unpersist()
+
+
+_appended = "grown AS (SELECT * REPLACE (CASE WHEN sector = 'PROMO' AND date = (SELECT max(date) FROM snap) THEN rs + 1 ELSE rs END AS rs) FROM snap)"
+
+
+@query("SELECT date, ticker, sector, rs, percentile, price FROM grown", SNAP, _appended)
+def history_appends(spark, sf_dir):
+    """ST3 ST4 ST5 S06 J06 U02 K01: a history built, extended twice and read back from its newest version"""
+    return history.read_history(spark, _grown(spark, sf_dir)).select("date", "ticker", "sector", "rs", "percentile", "price")
+
+
+@query(f"SELECT date, {MEAN.format('percentile')} AS avg_percentile, CAST(count(DISTINCT ticker) AS BIGINT) AS n_tickers, round(avg(price), 4) AS avg_price, {MEAN.format('rs')} AS avg_rs, max(rs) AS max_rs FROM grown GROUP BY date", SNAP, _appended)
+def daily_series_of_sums(spark, sf_dir):
+    """A07 A08 A09 ST5: the series of the same history from the sums that its changes have kept up"""
+    series = metrics.series_of_sums(versions.daily(spark, _grown(spark, sf_dir)))
+    return series.withColumn("avg_price", F.round("avg_price", 4))
+
+
+@query(f"SELECT sector, date, {MEAN.format('rs')} AS mean_rs, min(rs) AS min_rs, max(rs) AS max_rs FROM grown GROUP BY sector, date", SNAP, _appended)
+def sector_trend_of_sums(spark, sf_dir):
+    """A10 ST5"""
+    return metrics.trend_of_sums(versions.daily(spark, _grown(spark, sf_dir)))
+
+
+@query("SELECT date, ticker, CASE WHEN day(date) % 2 = 0 THEN sector END AS sector, CASE WHEN day(date) % 2 = 1 THEN CAST(printf('%.2f', rs) AS DOUBLE) END AS rs FROM ev", EV)
+def csv_files_union(spark, sf_dir):
+    """Files of two headers written and read back by one glob"""
+    folder, rows, even = _new_folder(spark), ev(spark, sf_dir), F.dayofmonth("date") % 2 == 0
+    sinks.write_csv(rows.where(even).select(F.col("ticker").alias("Ticker"), "date", F.col("sector").alias("Sector")), f"{folder}/a")
+    sinks.write_csv(rows.where(~even).select(F.format_string("%.2f", "rs").alias("Relative Strength"), "date", F.col("ticker").alias("Ticker")), f"{folder}/b")
+    return read_all(spark, f"{folder}/*/part-*.csv")[0].select("date", "ticker", "sector", "rs")
+
+
+@query("SELECT date, ticker, CAST(printf('%.2f', rs) AS DOUBLE) AS rs, 'historical_all' AS source_file FROM ev", EV)
+def stock_history_fallback(spark, sf_dir):
+    """A folder without the newer history, whose older one is loaded before the newest snapshot files"""
+    folder, rows = _new_folder(spark), ev(spark, sf_dir)
+    whole = rows.select("date", F.col("ticker").alias("Ticker"), F.format_string("%.2f", "rs").alias("Relative Strength"))
+    sinks.write_csv(whole, f"{folder}/rs_historical_all.csv")
+    sinks.write_csv(whole.where("date > DATE '2024-01-20'"), f"{folder}/rs_stocks.csv")
+    return load_stocks(spark, folder).select("date", "ticker", "rs", "source_file")
+
+
+@query("SELECT price, rs, percentile, ticker, sector FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(date AS VARCHAR) || '/' || ticker), date, ticker) AS place FROM snap) WHERE place <= 500", SNAP)
+def scatter_sample(spark, sf_dir):
+    """Points for a plot that cannot show all rows: 500, the same ones each time"""
+    return filters.sampled(snap(spark, sf_dir), 500).select("price", "rs", "percentile", "ticker", "sector")

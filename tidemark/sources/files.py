@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,10 @@ from tidemark.functions.schema import INDUSTRY_NAMES, STOCK_NAMES
 from tidemark.operators.industry import latest_industries
 
 
+#: Files whose headers are read at once.
+OPEN_FILES = 32
+
+
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -61,8 +66,10 @@ def read_all(spark: SparkSession, pattern: str, names: dict[str, str] = STOCK_NA
     Files are grouped by their first line, and each group is one scan, so the plan grows with the headers and not with the files.
     """
     groups: dict[str | None, list] = {}
-    for status in _list(spark, pattern):
-        groups.setdefault(header_of(spark, status), []).append(status.getPath())
+    found = _list(spark, pattern)
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        for status, header in zip(found, pool.map(lambda s: header_of(spark, s), found), strict=True):
+            groups.setdefault(header, []).append(status.getPath())
     frames, bad = [], []
     for header, paths in groups.items():
         frame = read_csv(spark, [p.toString() for p in paths], names, compat_na_tokens, with_source=True) if header and header.strip() else None

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import summary
@@ -18,9 +19,11 @@ def write_history(df: DataFrame, path: str, key: str = "ticker") -> None:
     laid_out(df, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, order: Sequence[Column | str] = (), one: bool = False) -> None:
+    """CSV with header. With an ``order`` the parts, by name, are the rows in that order; ``one`` makes them one file, as for a download, which one task
+    writes from the parts that others have sorted."""
+    rows = df.orderBy(*order) if order else df
+    (rows.coalesce(1) if one else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
