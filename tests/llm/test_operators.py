@@ -304,10 +304,6 @@ def test_wrapped_licenses(spark, docs):
     assert {r["doc_id"]: r["licences"] for r in licenses.scan(df).collect()} == {i: f for i, _, f in given}
 
 
-def test_templates_have_anchors(spark):
-    assert licenses.templates(spark).where(~licenses.anchored(F.col("text"))).count() == 0
-
-
 # 6
 
 
