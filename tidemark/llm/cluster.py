@@ -53,28 +53,48 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _listed(rows: DataFrame, place: Column, maps: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` joined with ``maps`` (_n, _bits) by broadcast, and whether the number ``place`` (long, from 0) is in them."""
+    both = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("_n"), "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return both, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def _bitmaps(places: DataFrame) -> DataFrame:
+    """(_n, _bits): bitmaps of the numbers in ``places`` (one column)."""
+    number = F.col(places.columns[0])
+    return cut(places.groupBy(F.bitmap_bucket_number(number).alias("_n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits")))
+
+
+def perhaps_in(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` (with columns _n and _bits more) and a condition that holds where ``key``, of any type, is among ``ids`` (one column, cut), and for some others: ids are
+    looked up by hash in broadcast bitmaps of eight bits an id and more, up to BITMAPS of them, so no row moves."""
+    bits = 1 << max(15, min((32_768 * BITMAPS).bit_length() - 1, max(20, (8 * ids.count()).bit_length())))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(bits))
+    return _listed(rows, place(key), _bitmaps(ids.select(place(ids.columns[0]).alias("_place"))))
+
+
 def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id is not in ``gone`` (one column of distinct ids; a null id names null ids).
 
     Up to BROADCAST_ROWS ids are sent to the tasks as they are, more as bitmaps of 32,768 ids each if those have at
-    most BITMAPS of them (integer ids that lie close), so that rows with their texts stay where they are; only beyond
-    that the rows are shuffled by id.
+    most BITMAPS of them (integer ids that lie close). Other ids are looked up by hash in such bitmaps first, and only rows that may be gone
+    are shuffled by id to be sure; so rows with their texts stay where they are unless most are to go.
     """
     gone = cut(gone.toDF("_id"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
-    many = gone.count() > BROADCAST_ROWS
-    if many and gone.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
-        number, place = F.bitmap_bucket_number, F.bitmap_bit_position
-        maps = cut(gone.where("_id IS NOT NULL").groupBy(number("_id").alias("_n")).agg(F.bitmap_construct_agg(place("_id")).alias("_bits")))
+    if gone.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), F.col("_key").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
+    if gone.schema["_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        maps = _bitmaps(gone.where("_id IS NOT NULL"))
         if maps.count() <= BITMAPS:
-            if not gone.where("_id IS NULL").isEmpty():
-                rows = rows.where("_key IS NOT NULL")
-            both = rows.join(F.broadcast(maps), number("_key") == F.col("_n"), "left")
-            byte = F.conv(F.hex(F.substring("_bits", F.floor(place("_key") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            listed = F.getbit(byte, (place("_key") % 8).cast("int")) == 1
-            return both.where(~F.coalesce(listed, F.lit(False))).select("_row.*")
-    gone = gone if many else F.broadcast(gone)
-    return rows.join(gone, F.col("_key").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
+            rows = rows if gone.where("_id IS NULL").isEmpty() else rows.where("_key IS NOT NULL")
+            both, listed = _listed(rows, F.col("_key"), maps)
+            return both.where(~listed).select("_row.*")
+    both, perhaps = perhaps_in(rows, "_key", gone)
+    doubtful = both.where(perhaps).join(gone, F.col("_key").eqNullSafe(F.col("_id")), "left_anti")
+    return both.where(~perhaps).select("_row.*").union(doubtful.select("_row.*"))
 
 
 def tasks(spark: SparkSession) -> int:

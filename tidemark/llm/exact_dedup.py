@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import BROADCAST_ROWS, cut, small, without
+from tidemark.llm.cluster import BROADCAST_ROWS, cut, perhaps_in, small, without
 
 
 def normal(text: Column) -> Column:
@@ -19,8 +19,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Refinement: rows are grouped by the length of their normalised text, then by length and the hash of its
     first ``prefix`` characters; only for groups that still have two rows are whole texts read again, normalised and
-    hashed (SHA-256): the second pass leaves out rows whose id is in no such group before it looks at their texts, if the
-    ids left can be broadcast; if they can't, it hashes all texts where they are, which is cheaper than to shuffle them.
+    hashed (SHA-256): the second pass leaves out rows whose id is in no such group before it looks at their texts. Up to BROADCAST_ROWS
+    ids are sent to the tasks for that, more as bitmaps of their hashes, which let a few other rows through; no text is shuffled.
     Groups are counted by partial aggregates, so a group of any size is no task's burden; key tables are joined by
     broadcast if counted to be small, else by shuffle.
 
@@ -41,7 +41,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = small(cut(alike))
 
     ids = cut(narrow.join(alike, ["_n", "_p"], "left_semi").select(F.col("_id").alias("_i")).distinct())
-    left = base.join(F.broadcast(ids), F.col("_id").eqNullSafe(F.col("_i")), "left_semi") if ids.count() <= BROADCAST_ROWS else base
+    if ids.count() <= BROADCAST_ROWS:
+        left = base.join(F.broadcast(ids), F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    else:
+        both, perhaps = perhaps_in(base, "_id", ids)
+        left = both.where(perhaps).select(*base.columns)
     hashed = keyed(left).select("_id", *kept, "_n", "_p", F.sha2("_text", 256).alias("_hash"))
     whole = cut(hashed.join(alike, ["_n", "_p"], "left_semi").drop("_n", "_p").withColumn("_row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
