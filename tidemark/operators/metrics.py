@@ -42,7 +42,7 @@ def by_date(df: DataFrame, **values: Column) -> DataFrame:
 def daily_strength(df: DataFrame) -> DataFrame:
     """Mean, median and maximum strength by date (T23); the medians of all dates are selected together. Dates without a strength have nulls."""
     days = df.where(F.col("date").isNotNull()).select("date", "rs")
-    found = quantiles(days, ["date"], ["rs"], {"median_rs": 0.5}, mean_rs=exact_mean(F.col("x")), max_rs=F.max("x"))
+    found = quantiles(days, ["date"], ["rs"], {"median_rs": 0.5}, mean_rs=exact_mean, max_rs=F.max)
     empty = days.groupBy("date").agg(F.count("rs").alias("n")).where("n = 0").select("date", *[F.lit(None).cast("double").alias(c) for c in ("mean_rs", "median_rs", "max_rs")])
     return found.select("date", "mean_rs", "median_rs", "max_rs").unionByName(empty)
 
@@ -75,8 +75,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, standard deviation, least, quartiles (interpolated) and greatest of each column, in their order; a column without values
     has a count of 0 and nulls. The quartiles of all columns are selected together, by passes that combine in the tasks."""
     quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    x = F.col("x")
-    found = quantiles(df, [], columns, quartiles, mean=F.avg(x), std=F.stddev_samp(x), min=F.min(x), max=F.max(x)).withColumnRenamed("metric", "_metric")
+    found = quantiles(df, [], columns, quartiles, mean=F.avg, std=F.stddev_samp, min=F.min, max=F.max).withColumnRenamed("metric", "_metric")
     every = df.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("_at", "metric"))
     both = every.join(F.broadcast(found), F.col("metric") == F.col("_metric"), "left")
     return both.orderBy("_at").select("metric", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "mean", "std", "min", *quartiles, "max")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from tidemark.operators.steps import small, table
+from tidemark.operators.steps import BROADCAST_ROWS, table
 
 #: Buckets that a round divides a bracket into, at most, and buckets of all brackets together.
 BUCKETS, ALL_BUCKETS = 4096, 1 << 20
@@ -14,8 +16,8 @@ BUCKETS, ALL_BUCKETS = 4096, 1 << 20
 FEW = 1000
 
 
-def quantiles(df: DataFrame, groups: list[str], columns: list[str], probs: dict[str, float], **more: Column) -> DataFrame:
-    """Exact quantiles, interpolated between neighbours, of each of ``columns`` in each group: a row (groups, metric, n, those of ``more``, which are aggregates of ``x``,
+def quantiles(df: DataFrame, groups: list[str], columns: list[str], probs: dict[str, float], **more: Callable[[Column], Column]) -> DataFrame:
+    """Exact quantiles, interpolated between neighbours, of each of ``columns`` in each group: a row (groups, metric, n, those of ``more``, which make an aggregate of a column,
     and a column for each of ``probs``) for each group and column that has a value. Nulls and NaN are no values; a null group is a group.
 
     All wanted ranks of all columns and groups are found together. A round counts the values in buckets between the bounds of each rank's bracket, with
@@ -24,15 +26,16 @@ def quantiles(df: DataFrame, groups: list[str], columns: list[str], probs: dict[
     buckets of their own, so brackets always shrink; those whose bounds meet are done, and those of at most FEW values are sorted. A round is one
     pass over the columns that combines in the tasks before its shuffle, so no task holds the values of a column, however many they are.
     """
-    narrow = df.select(*groups, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = df.select(*groups, *[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"_x{i}") for i, c in enumerate(columns)]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("x")) for c in columns])
-        rows = narrow.select(*groups, F.inline(pairs)).where(F.col("x").isNotNull() & ~F.isnan("x"))
         key = [*groups, "metric"]
-        sets = table(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"), *[v.alias(k) for k, v in more.items()]))
-        return table(_with_values(sets, _selected(rows, sets, key, probs), key, probs)).select(*key, "n", *more, *probs)
+        own = [F.struct(F.lit(i).alias("metric"), F.count(f"_x{i}").alias("n"), F.min(f"_x{i}").alias("_lo"), F.max(f"_x{i}").alias("_hi"), *[v(F.col(f"_x{i}")).alias(k) for k, v in more.items()]) for i in range(len(columns))]
+        sets = table(narrow.groupBy(*groups).agg(F.array(*own).alias("_sets")).select(*groups, F.inline("_sets")).where("n > 0"))
+        rows = narrow.select(*groups, F.posexplode(F.array(*[F.col(f"_x{i}") for i in range(len(columns))])).alias("metric", "x")).where("x IS NOT NULL")
+        found = table(_with_values(sets, _selected(rows, sets, key, probs), key, probs))
     finally:
         narrow.unpersist()
+    return found.select(*groups, F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("metric") + 1).alias("metric"), "n", *more, *probs)
 
 
 def _ranks(p: float) -> tuple[Column, Column]:
@@ -47,9 +50,10 @@ def _scaled(x: Column) -> Column:
     return F.when(x > 0, 1000 + F.log(x)).when(x < 0, -1000 - F.log(-x)).otherwise(0.0)
 
 
-def _within(rows: DataFrame, brackets: DataFrame, key: list[str]) -> DataFrame:
-    """The values in each of ``brackets`` (key, lo, hi), which do not overlap."""
-    there = small(table(brackets.select(*[F.col(k).alias(f"_{k}") for k in key], "lo", "hi").distinct()))
+def _within(rows: DataFrame, brackets: DataFrame, key: list[str], many: int) -> DataFrame:
+    """The values in each of ``brackets`` (key, lo, hi), at most ``many``, which do not overlap."""
+    there = brackets.select(*[F.col(k).alias(f"_{k}") for k in key], "lo", "hi").distinct()
+    there = F.broadcast(there) if many <= BROADCAST_ROWS else there
     condition: Column = F.col("x").between(F.col("lo"), F.col("hi"))
     for k in key:
         condition &= F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -73,7 +77,7 @@ def _selected(rows: DataFrame, sets: DataFrame, key: list[str], probs: dict[str,
         share = F.try_divide(on(F.col("x")) - on(low), on(high) - on(low))
         inner = F.least(F.coalesce(F.floor(F.when(~F.isnan(share), share) * buckets), F.lit(0)), F.lit(buckets - 1))
         bucket = F.when(F.col("x") == low, -1).when(F.col("x") == high, buckets).otherwise(inner).cast("int")
-        counts = _within(rows, found.where(dividing), key).groupBy(*key, "lo", "hi", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.min("x").alias("least"), F.max("x").alias("most"))
+        counts = _within(rows, found.where(dividing), key, open_brackets).groupBy(*key, "lo", "hi", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count"), F.min("x").alias("least"), F.max("x").alias("most"))
         order = Window.partitionBy(*key, "lo", "hi").orderBy("bucket")
         counts = counts.withColumn("before", F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1))).fillna({"before": 0}).alias("c")
         todo = found.where(dividing).alias("f")
@@ -85,7 +89,7 @@ def _selected(rows: DataFrame, sets: DataFrame, key: list[str], probs: dict[str,
     done = found.where(~wide).select(*key, "rank", F.col("lo").alias("value"))
     if not open_brackets:
         return done
-    lists = _within(rows, found.where(wide), key).groupBy(*key, "lo", "hi").agg(F.array_sort(F.collect_list("x")).alias("xs")).alias("l")  # at most FEW each
+    lists = _within(rows, found.where(wide), key, open_brackets).groupBy(*key, "lo", "hi").agg(F.array_sort(F.collect_list("x")).alias("xs")).alias("l")  # at most FEW each
     todo, same = found.where(wide).alias("f"), F.lit(True)
     for k in [*key, "lo", "hi"]:
         same &= F.col(f"f.{k}").eqNullSafe(F.col(f"l.{k}"))

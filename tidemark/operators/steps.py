@@ -1,4 +1,4 @@
-"""Results that later steps read again: checkpoints in the session's shared folder, tables small enough to broadcast."""
+"""Results that later steps read again: checkpoints and tables in the session's shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Narrow rows that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -35,8 +34,3 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df``, which is kept, with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
