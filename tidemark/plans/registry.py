@@ -16,6 +16,7 @@ from tidemark.operators.steps import shared_folder
 from tidemark.plans.views import EV, IND, SNAP, ev, ind, snap
 from tidemark.sources import commits, sinks, versions
 from tidemark.sources.files import load_stocks, parsed, read_all, records, union
+from tidemark.streaming import append as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -500,3 +501,15 @@ def stock_history_fallback(spark, sf_dir):
 def scatter_sample(spark, sf_dir):
     """Points for a plot that cannot show all rows: 500, the same ones each time"""
     return filters.sampled(snap(spark, sf_dir), 500).select("price", "rs", "percentile", "ticker", "sector")
+
+
+@query("SELECT date, ticker, max(CAST(printf('%.2f', rs) AS DOUBLE)) AS rs FROM ev GROUP BY date, ticker", EV)
+def csv_stream_history(spark, sf_dir):
+    """ST1 ST2 ST5 S05 T6 K01: files of two headers taken by a stream into a history, which keeps the strongest row of a ticker and date"""
+    folder, rows, even = _new_folder(spark), ev(spark, sf_dir), F.col("ordinal") % 2 == 0
+    strength = F.format_string("%.2f", "rs").alias("Relative Strength")
+    sinks.write_csv(rows.where(even).select(F.col("ticker").alias("Ticker"), "date", F.col("sector").alias("Sector"), strength), f"{folder}/landing/a")
+    sinks.write_csv(rows.where(~even).select(strength, "date", F.col("ticker").alias("Ticker")), f"{folder}/landing/b")
+    landed = stream.landed_csv(spark, f"{folder}/landing/*")
+    stream.run_csv(landed, f"{folder}/history", f"{folder}/checkpoint", "ticker", rejects=f"{folder}/rejects").awaitTermination()
+    return history.read_history(spark, f"{folder}/history").select("date", "ticker", "rs")
