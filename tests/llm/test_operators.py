@@ -184,7 +184,9 @@ SITES = [
 ]
 
 
-def test_style_tree(spark):
+@pytest.mark.parametrize("names", [html_text.NAMES, -1])
+def test_style_tree(spark, monkeypatch, names):
+    monkeypatch.setattr(html_text, "NAMES", names)  # -1: each page looks up its own names
     df = spark.createDataFrame(SITES, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "paths", "path", "id", "k", "text", "tree_host", "branches", "high", "place")})
     got = defaultdict(list)
     for r in html_text.extract(df).collect():
@@ -204,13 +206,23 @@ def test_style_tree_against_brute_force(spark, sf):
     df = spark.createDataFrame(SITES, "page_id long, url string, html string") if sf is None else spark.read.parquet(f"{sf}/pages.parquet")
     pages = [(r["host"], r["html"] or "") for r in df.select(html_text.host("url").alias("host"), "html").collect()]
     want = brute.style_trees(pages)
-    got = {r["tree_host"]: html_text.Low(*[frozenset(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r[c])) for c in html_text.Low._fields]) for r in html_text.style_tree(df.select(html_text.host("url").alias("host"), "html")).collect()}
+    got = {r["tree_host"]: html_text.Low(*[frozenset(map(lambda x: bytes(x) if isinstance(x, bytearray) else x, r[c])) for c in html_text.Low._fields]) for r in html_text.low_by_host(html_text.style_names(df.select(html_text.host("url").alias("host"), "html"))).collect()}
     empty = html_text.Low()
     assert {h: x for h, x in got.items() if x != empty} == {h: x for h, x in want.items() if x != empty}
     texts = key((r["page_id"], r["text"]) for r in (html_text.extract(df) if sf is None else queries.op3_html_text(spark, sf)).collect())
     assert texts == key((r["page_id"], text_of(r["html"] or "", h, want.get(h, empty))) for r, (h, _) in zip(df.collect(), pages, strict=True))
 
 
+def test_pages_look_up_their_names(spark, monkeypatch):
+    """No host's names are gathered beyond NAMES, and hot names are split; the texts are the same."""
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    want = key(map(tuple, html_text.extract(df).collect()))
+    monkeypatch.setattr(html_text, "NAMES", -1)
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(html_text, "low_by_host", None)
+    assert key(map(tuple, html_text.extract(df).collect())) == want
+
+
 def test_very_long_page(spark):
     long = page("<article>", *[f"<p>paragraph {i}" for i in range(60_000)], "<div>" * 2000, "end", "</article>")
     df = spark.createDataFrame([(1, "http://a.b/", long), (2, "http://a.b/", "<p>x")], "page_id long, url string, html string")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import cut, small
+from tidemark.llm.cluster import cut, lookup, small
 from tidemark.llm.texts import bounded, slices
 
 #: Distinct pages of a host that must have a branch or block before its importance says anything, and the importance below
@@ -51,6 +51,8 @@ ATTRIBUTE = re.compile(r"([a-z][a-z0-9-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+
 REMARKS = re.compile(r"[._-](?:comments?|commentlist|respond|disqus|replies|reply)(?![a-z])")
 #: Words of paragraphs that make the text of a page whose names all say noise.
 ENOUGH = 20
+#: Names of low and high branches and blocks of all hosts together, of 8 bytes each, up to which they are sent to the tasks by host.
+NAMES = 200_000
 
 
 class Block(NamedTuple):
@@ -243,8 +245,9 @@ def tree_rows(hosts: list[str], pages: list[str]) -> set[tuple]:
     return rows
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """The fields of ``Low`` by host: rows (tree_host, branches, blocks, article_branches, article_blocks, high), from the merged pages (host, html).
+def style_names(pages: DataFrame) -> DataFrame:
+    """What of ``Low`` each branch and block of a host is: rows (host, branches, blocks, article_branches, article_blocks, high), one for each
+    name, which stands in the fields that it belongs to (the others are null), from the merged pages (host, html).
 
     A node's presentation importance is the entropy, to base m, of its styles over the m distinct pages that have it; its
     content importance is the mean over its blocks of 1 - log k / log m for a text that stands on k of these pages. A
@@ -284,12 +287,45 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     found = branch.where(F.octet_length("branch") > 0).join(root, F.col("host") == F.col("root_host"))
     high = F.when((F.col("m") >= ARTICLE_PAGES) & (F.col("importance") >= HIGH * F.col("root")), F.col("branch"))
-    found = found.select("host", *[c.alias(x) for c, x in zip(named(found, "branch"), ("branches", "article_branches"), strict=True)], high.alias("high"))
+    found = found.select("host", *[c.alias(x) for c, x in zip(named(found, "branch"), ("branches", "article_branches"), strict=True)], high.alias("high")).where("branches IS NOT NULL OR article_branches IS NOT NULL OR high IS NOT NULL")
     texts = counts.where((F.col("kind") == "c") & (F.col("k") >= 2)).join(small(nodes).select(F.col("place").alias("at"), F.col("host").alias("of"), "m"), F.col("place") == F.col("at"))
     texts = texts.withColumn("importance", 1 - F.log(k) / F.log("m")).join(root, F.col("of") == F.col("root_host"))
     texts = texts.select(F.col("of").alias("host"), *[c.alias(x) for c, x in zip(named(texts, "value"), ("blocks", "article_blocks"), strict=True)]).where("blocks IS NOT NULL OR article_blocks IS NOT NULL")
-    both = found.unionByName(texts, allowMissingColumns=True)
-    return both.groupBy(F.col("host").alias("tree_host")).agg(*[F.collect_set(x).alias(x) for x in Low._fields])
+    return found.unionByName(texts, allowMissingColumns=True).select("host", *Low._fields)
+
+
+def low_by_host(names: DataFrame) -> DataFrame:
+    """Rows (tree_host, the fields of ``Low``): ``names`` gathered by host. For at most NAMES names."""
+    return names.groupBy(F.col("host").alias("tree_host")).agg(*[F.collect_set(x).alias(x) for x in Low._fields])
+
+
+def names_of(host: str, page: str) -> set[bytes]:
+    """The names, as bytes, of the branches and blocks of a page that its text may come from."""
+    found: set[bytes] = set()
+    for b in parse(page)[0]:
+        if b.kind in (MAIN, OPEN):
+            found.update(b.branches[i : i + 8] for i in range(0, len(b.branches), 8))
+            found.add(block_name(place(host, b.node), b.text).to_bytes(8, "big", signed=True))
+    return found
+
+
+def low_by_page(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (row, the fields of ``Low``): of the ``names`` (cut) those that a page itself has, for the pages ``rows`` (row, host, html; cut) that have some.
+
+    Each page asks for its own names, so what is gathered in one row grows with one page, never with its host.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            asked = [sorted(names_of(h, p)) for h, p in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+            of = pa.array([i for i, x in enumerate(asked) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(of), batch.column("host").take(of), pa.array([n for x in asked for n in x], pa.binary())], ["row", "host", "name"])
+
+    asked = cut(rows.select("row", "host", "html").mapInArrow(run, "row bigint, host string, name binary"))
+    block = F.coalesce("blocks", "article_blocks")
+    name = F.coalesce("branches", "article_branches", "high", F.unhex(F.lpad(F.hex(block), 16, "0")))
+    found = lookup(asked, cut(names.withColumn("name", name).dropDuplicates(["host", "name"])), ["host", "name"])
+    return found.groupBy("row").agg(*[F.collect_set(x).alias(x) for x in Low._fields])
 
 
 def main_text(page: str, host: str = "", low: Low = Low()) -> tuple[str, int]:
@@ -330,21 +366,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Pass one merges the pages of each host into a style tree and finds the branches and blocks of low importance; pass
     two reads every page again and removes these, and what markup names as menus, headers, footers, sidebars,
-    notices, adverts, forms or comments. See ``main_text`` for what an article element changes. What is low of a host
-    is joined by broadcast if counted to be few hosts, else by host.
+    notices, adverts, forms or comments. See ``main_text`` for what an article element changes. What is low is sent to
+    the tasks by host if it is at most NAMES names in all; beyond that each page looks up its own names, so no host is gathered.
 
     Nulls: null html is an empty page, null urls share one nameless host. Repeated rows are extracted each; extra
     columns are ignored; an empty table gives an empty result. Very long pages are read whole.
     """
     narrow = bounded(pages).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")).withColumn("host", host("url"))
-    low = small(cut(style_tree(narrow)), 20_000)
-    rows = narrow.join(low, F.col("host") == F.col("tree_host"), "left").drop("tree_host")
+    names = cut(style_names(narrow))
+    if names.count() <= NAMES:
+        rows = narrow.join(F.broadcast(low_by_host(names)), F.col("host") == F.col("tree_host"), "left").drop("tree_host")
+    else:
+        pages = cut(narrow.withColumn("row", F.monotonically_increasing_id()))
+        low = low_by_page(pages, names).withColumnRenamed("row", "_row")
+        rows = pages.join(low, F.col("row") == F.col("_row"), "left").drop("_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, Low] = {}
         for batch in slices(batches, "html"):
             hosts, got = batch.column("host").to_pylist(), []
             for i, page in enumerate(batch.column("html").to_pylist()):
+                if "row" in batch.schema.names:
+                    trees.clear()  # what is low is told for each page apart
                 if hosts[i] not in trees:
                     if len(trees) > 1000:
                         trees.clear()
