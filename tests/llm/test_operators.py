@@ -131,6 +131,32 @@ def test_sharding_keeps_groups(spark, docs):
         assert max(abs(x - mean) for x in size.values()) <= max(r["size"] for r in out) + mean / 16
 
 
+def test_large_groups_are_placed_in_rounds(spark):
+    rnd = random.Random(8)
+    sizes = {i: rnd.choice([3, 10, 10, 25, 60, 90]) for i in range(40)} | {100: 5000}
+    large = spark.createDataFrame(list(sizes.items()), "group long, size long")
+    given, rooms = sharding._placed_in_rounds(large, spark.range(9).select(F.col("id").cast("int").alias("leaf"), F.lit(100.0).alias("room")))
+    to, left = dict(rows(given)), dict(rows(rooms))
+    assert set(to) == set(sizes) and to[100] == -1 and set(left) == set(range(9))
+    assert left == {s: 100.0 - sum(sizes[g] for g, x in to.items() if x == s) for s in range(9)} and min(left.values()) >= 0
+    assert all(sizes[g] > max(left.values()) for g, x in to.items() if x == -1)
+
+
+def test_sharding_without_the_driver(spark, docs, monkeypatch):
+    """With no node, group or shard known to the driver: groups whole, shards near their share."""
+    monkeypatch.setattr(sharding, "NODES", 0)
+    monkeypatch.setattr(sharding, "_placed", None)
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", 0)
+    out = shards_of(docs, shards=5, group=F.coalesce("text", F.lit(""))).collect()
+    text, of, size, slots = dict(rows(docs.select("doc_id", "text"))), defaultdict(set), Counter(), defaultdict(list)
+    for r in out:
+        of[text[r["doc_id"]] or ""].add(r["shard"])
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == docs.count() and all(len(x) == 1 for x in of.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(abs(x - sum(size.values()) / 5) for x in size.values()) <= max(r["size"] for r in out) + sum(size.values()) / 80
+
+
 def test_sharding_against_a_plain_tree(spark):
     rnd = random.Random(6)
     items = [(i, rnd.randrange(1, 50), rnd.random(), float(rnd.randrange(9)), "abc"[rnd.randrange(3)] * rnd.randrange(1, 9)) for i in range(700)]

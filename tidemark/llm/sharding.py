@@ -5,24 +5,24 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from itertools import accumulate
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.cluster import cut, positions, small
+from tidemark.llm.cluster import cut, delete, kept, positions, small
 
 #: Bits of a split key: a place along the split dimension, then a tie-break.
 VALUE_BITS, TIE_BITS = 31, 32
 KEY_BITS = VALUE_BITS + TIE_BITS
-#: Histogram cells of one pass over all nodes, which is what reaches the driver; nodes beyond it get two cells each.
-CELLS = 1 << 15
+#: Bits of the medians that one pass over the rows fixes.
+BITS = 12
 #: A median is near enough if the cell it falls in has at most this part of its node's bytes.
 FINE = 2.0**-13
 #: A group is large, and gets its shard before the others, from this part of a shard's bytes or of all rows.
 LARGE_BYTES, LARGE_ROWS = 1 / 64, 1 / 1024
-#: Nodes whose splits are broadcast.
-NODES = 100_000
+#: Nodes whose splits are broadcast, and large groups and shards that are placed on the driver; more are placed in rounds.
+NODES = 50_000
 
 
 def number_place(value: Column) -> Column:
@@ -52,34 +52,31 @@ def _key(n_dims: int) -> Column:
     return F.shiftleft(value, TIE_BITS) + F.col("tie")
 
 
-def _medians(rows: DataFrame, splits: list[dict], n_dims: int) -> dict[int, int]:
-    """For each node the key whose smaller keys hold its ``share`` of the bytes, by histograms refined where the
-    median falls: each pass fixes some more bits of it and reads only the rows of the cell it is in."""
-    open_ = {s["shard"]: s | {"known": 0, "prefix": 0, "want": s["bytes"] * s["share"]} for s in splits}
-    found: dict[int, int] = {}
-    while open_:
-        known = next(iter(open_.values()))["known"]
-        bits = min(KEY_BITS - known, max(1, int(math.log2(CELLS / len(open_)))), 12)
-        at = _table(rows.sparkSession, [{"s": k, "s_dim": x["dim"], "s_low": x["low"], "s_high": x["high"], "s_prefix": x["prefix"]} for k, x in open_.items()], "s:int,s_dim:int,s_low:double,s_high:double,s_prefix:bigint")
-        keyed = rows.join(_sent(at, len(open_)), F.col("shard") == F.col("s")).select("shard", "size", "s_prefix", _key(n_dims).alias("key"))
-        inside = keyed.where(F.shiftright("key", KEY_BITS - known) == F.col("s_prefix")) if known else keyed
-        cell = F.shiftright("key", KEY_BITS - known - bits).bitwiseAND(F.lit((1 << bits) - 1))
-        cells: dict[int, list] = {}
-        for row in inside.groupBy("shard", cell.alias("cell")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect():
-            cells.setdefault(row["shard"], []).append((row["cell"], row["bytes"], row["n"]))
-        for shard in list(open_):
-            x, before = open_[shard], 0
-            last = max(cells[shard])
-            for digit, size, n in sorted(cells[shard]):
-                if before + size >= x["want"] or (digit, size, n) == last:
-                    break
-                before += size
-            x["prefix"], x["known"], x["want"] = (x["prefix"] << bits) | digit, known + bits, x["want"] - before
-            if n == 1 or size <= FINE * x["bytes"] or x["known"] == KEY_BITS:
-                rest = KEY_BITS - x["known"]
-                found[shard] = (x["prefix"] + (x["want"] * 2 > size)) << rest
-                del open_[shard]
-    return found
+def _medians(items: DataFrame, splits: DataFrame, n_splits: int, n_dims: int) -> DataFrame:
+    """Rows (s, s_last): for each node of ``splits`` the greatest key of its first part, whose keys hold ``want`` of the bytes, by histograms refined
+    where the median falls: each pass fixes BITS more bits of it and reads only the rows of the cell it is in. A node has at most 2^BITS cells in
+    a pass, which are summed in the order of their keys by a window; what reaches the driver is how many nodes are open."""
+    open_, left, known, found = splits.select("s", "s_dim", "s_low", "s_high", "bytes", "want", F.lit(0).cast("bigint").alias("prefix")), n_splits, 0, []
+    while left:
+        bits = min(BITS, KEY_BITS - known)
+        rest = KEY_BITS - known - bits
+        keyed = items.join(_sent(open_, left), F.col("shard") == F.col("s")).select("s", "size", "prefix", _key(n_dims).alias("key"))
+        inside = keyed.where(F.shiftright("key", KEY_BITS - known) == F.col("prefix")) if known else keyed
+        cell = F.shiftright("key", rest).bitwiseAND(F.lit((1 << bits) - 1))
+        cells = inside.groupBy("s", cell.alias("cell")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("s").orderBy("cell")
+        cells = cells.withColumns({"upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("cell").over(order)})
+        at = cells.join(_sent(open_, left), "s").where((F.col("upto") >= F.col("want")) | F.col("next").isNull())
+        fields = ["s_dim", "s_low", "s_high", "bytes", "want", "prefix", "size", "n", "upto"]
+        at = at.groupBy("s").agg(F.min(F.struct("cell", *fields)).alias("x")).select("s", "x.*")
+        at = at.withColumns({"prefix": F.shiftleft("prefix", bits).bitwiseOR(F.col("cell")), "want": F.col("want") - (F.col("upto") - F.col("size"))})
+        done = (F.col("n") == 1) | (F.col("size") <= FINE * F.col("bytes")) | F.lit(rest == 0)
+        at = cut(at.withColumn("done", done))
+        last = F.shiftleft("prefix", rest) + F.when(F.col("want") * 2 > F.col("size"), F.lit((1 << rest) - 1)).otherwise(F.lit(-1))
+        found.append(at.where("done").select("s", last.alias("s_last")))
+        open_ = at.where(~F.col("done")).select(*open_.columns)
+        left, known = open_.count(), known + bits
+    return reduce(DataFrame.unionByName, found)
 
 
 def _placed(large: list, leaves: int, room: float) -> tuple[dict[int, int], list[float]]:
@@ -96,6 +93,37 @@ def _placed(large: list, leaves: int, room: float) -> tuple[dict[int, int], list
     return found, [-free for free, _ in sorted(left, key=lambda x: x[1])]
 
 
+def _placed_in_rounds(large: DataFrame, rooms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``_placed`` for any number of groups (group, size) and shards (leaf, room): rows (group, to) and (leaf, room).
+
+    In a round the largest groups meet the emptiest shards, one each, by their places in two global orders. A group that fits stays; one that is
+    larger than any room is cut (-1); others wait. The first group of each round is settled, and a shard takes at most one in a round, so
+    rounds are about as many as large groups go into a shard. Rounds are kept as tables, and only counts and the greatest room reach the driver.
+    """
+    todo, done = large.select("group", "size"), []
+    while not todo.isEmpty():
+        most = rooms.agg(F.max("room")).first()[0]
+        asked, given = positions(todo, F.col("size").desc(), "group"), positions(rooms, F.col("room").desc(), "leaf")
+        to = F.when(F.col("size") > most, -1).when(F.col("size") <= F.col("room"), F.col("leaf"))
+        state, _ = kept(asked.join(given, "position", "left").select("group", "size", to.cast("int").alias("to")))
+        done.append(state.where("to IS NOT NULL").select("group", "to"))
+        todo = state.where("to IS NULL").select("group", "size")
+        taken = state.where("to >= 0").select(F.col("to").alias("leaf"), "size")
+        rooms, _ = kept(rooms.join(taken, "leaf", "left").select("leaf", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room")))
+    return reduce(DataFrame.unionByName, done, large.limit(0).select("group", F.lit(0).alias("to"))), rooms
+
+
+def _told(rows: DataFrame, given: DataFrame, large: DataFrame, n_large: int, n_rows: int) -> DataFrame:
+    """``rows`` with the shard of their large group as ``to``, null for others. Beyond NODES groups those with over a thousandth of the rows
+    are sent to their rows, which do not move, and only the other rows are shuffled by group."""
+    if n_large <= NODES:
+        return rows.join(F.broadcast(given), "group", "left")
+    hot = cut(given.join(F.broadcast(cut(large.where(F.col("rows") > n_rows / 1000).select("group"))), "group", "left_semi"))
+    told = rows.join(F.broadcast(hot), "group", "left")
+    rest = told.where("to IS NULL").drop("to").join(given, "group", "left")
+    return told.where("to IS NOT NULL").unionByName(rest)
+
+
 def kd_shards(docs: DataFrame, size: Column, dims: dict[str, Column], id_col: str = "doc_id", shards: int | None = None, target_bytes: int | None = None, carry: tuple[str, ...] = (), group: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: id, the ``carry`` columns, size, shard, slot (place in its shard, gapless from 0).
 
@@ -104,9 +132,10 @@ def kd_shards(docs: DataFrame, size: Column, dims: dict[str, Column], id_col: st
     each leaf has its target bytes: ``shards`` leaves, or as many as ``target_bytes`` asks for. A dimension is a
     number, or a string, which counts by its place among the distinct ones; a group has the least values of its
     rows. Medians are of (place, hash of the id or group), so that one value, however heavy, is itself split. Large groups
-    (at most a few thousand, see LARGE_BYTES) get the emptiest shards first, and medians allow for what is taken there; a group
-    that fits into no shard is cut into its rows. Only narrow rows are kept and read again; histograms of at most CELLS
-    cells a pass and one row a leaf reach the driver. Slots come from a range shuffle over all tasks, not from one task a shard.
+    (see LARGE_BYTES) get the emptiest shards first, and medians allow for what is taken there; a group
+    that fits into no shard is cut into its rows. Only narrow rows are kept and read again. Nodes, histograms and, beyond NODES,
+    large groups are tables, of which only counts reach the driver, so ``target_bytes`` may ask for any number of
+    shards. Slots come from a range shuffle over all tasks, not from one task a shard.
 
     Nulls: a null number or string comes before all; a null id or group is hashed like any other.
     Repeated rows are spread apart by their place in the files, or are a group. Extra columns are ignored unless carried. An
@@ -127,19 +156,26 @@ def kd_shards(docs: DataFrame, size: Column, dims: dict[str, Column], id_col: st
     whole = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *bounds).first()
     total = whole["bytes"] or 0
     count = shards or max(1, math.ceil(total / target_bytes))
-    room, taken = [total / count] * count, {}
+    spark = rows.sparkSession
+    leaves = spark.range(count).select(F.col("id").cast("int").alias("leaf"), F.lit(total / count).alias("room"))
     if group is None:
         items = rows.select("row", "size", *ds, "tie")
     else:
         groups = cut(rows.groupBy("group").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), *[F.min(d).alias(d) for d in ds]))
-        large = groups.where((F.col("size") > LARGE_BYTES * total / count) | (F.col("rows") > LARGE_ROWS * whole["rows"])).where("rows > 1").select("group", "size").collect()
-        taken, room = _placed([tuple(r) for r in large], count, total / count)
-        given = _table(rows.sparkSession, [{"g": g, "to": s} for g, s in taken.items()], "g:bigint,to:int")
+        large = groups.where((F.col("size") > LARGE_BYTES * total / count) | (F.col("rows") > LARGE_ROWS * whole["rows"])).where("rows > 1").select("group", "size", "rows")
+        n_large = large.count()
+        if max(n_large, count) <= NODES:
+            taken, room = _placed([(r["group"], r["size"]) for r in large.collect()], count, total / count)
+            given = _table(spark, [{"group": g, "to": x} for g, x in taken.items()], "group:bigint,to:int")
+            leaves = _table(spark, [{"leaf": i, "room": x} for i, x in enumerate(room)], "leaf:int,room:double")
+        else:
+            given, leaves = _placed_in_rounds(large, leaves)
         own = F.shiftrightunsigned(F.col("group"), 64 - TIE_BITS)
-        few = groups.join(F.broadcast(given), F.col("group") == F.col("g"), "left_anti").select(F.col("group").alias("row"), "size", *ds, own.alias("tie"))
-        rows = rows.join(F.broadcast(given), F.col("group") == F.col("g"), "left").drop("g").withColumn("row", F.when(F.col("to") == -1, F.xxhash64("group", "row")).when(F.col("to").isNull(), F.col("group")))
+        few = groups.join(_sent(given, n_large), "group", "left_anti").select(F.col("group").alias("row"), "size", *ds, own.alias("tie"))
+        told = _told(rows, given, large, n_large, whole["rows"])
+        rows = told.withColumn("row", F.when(F.col("to") == -1, F.xxhash64("group", "row")).when(F.col("to").isNull(), F.col("group")))
         items = few.unionByName(rows.where("to = -1").select("row", "size", *ds, "tie"))
-    items = _split(cut(items.withColumn("shard", F.lit(0))), whole, room, n)
+    items = _split(items.withColumn("shard", F.lit(0)), whole, leaves, count, n)
     found = items.select(F.col("row").alias("item"), F.col("shard").alias("found"))
     kept_columns = ["id", "size", *kept, "tie"]
     sharded = rows.where("row IS NOT NULL").join(found, F.col("row") == F.col("item")).select(*kept_columns, F.col("found").alias("shard"))
@@ -151,29 +187,36 @@ def kd_shards(docs: DataFrame, size: Column, dims: dict[str, Column], id_col: st
     return out.select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(carry, kept, strict=True)], "size", "shard", (F.col("position") - F.col("start")).alias("slot"))
 
 
-def _split(items: DataFrame, whole, room: list[float], n: int) -> DataFrame:
-    """``items`` (row, size, d0.., tie, shard 0) with their leaves as ``shard``; room: the bytes that each leaf should get."""
+def _split(items: DataFrame, whole, leaves: DataFrame, count: int, n: int) -> DataFrame:
+    """``items`` (row, size, d0.., tie, shard 0) with their leaves as ``shard``; leaves: (leaf, room), the bytes that each should get.
+
+    A node is named by its first leaf and has k leaves, of which the first half go to one side. Items and leaves are kept as tables from one level to the
+    next, for the estimates of the joins of many levels would multiply.
+    """
+    spark = items.sparkSession
     bounds = [f(f"d{i}").alias(f"{what}{i}") for i in range(n) for f, what in ((F.min, "low"), (F.max, "high"))]
-    upto = [0.0, *accumulate(room)]
-    leaves = {0: len(room)}
-    while whole["bytes"] and max(leaves.values()) > 1:
-        splits = []
-        open_ = [s for s, k in leaves.items() if k > 1]
-        for node in items.where(F.col("shard").isin(*open_) if len(open_) <= 1000 else F.lit(True)).groupBy("shard").agg(F.sum("size").alias("bytes"), *bounds).collect():
-            first, k = node["shard"], leaves[node["shard"]]
-            if k > 1:
-                spread = lambda i: (node[f"high{i}"] - node[f"low{i}"]) / ((whole[f"high{i}"] - whole[f"low{i}"]) or 1)  # noqa: B023, E731
-                dim = max(range(n), key=lambda i: (spread(i), -i))
-                all_room = upto[first + k] - upto[first]
-                share = (upto[first + k // 2] - upto[first]) / all_room if all_room > 0 else (k // 2) / k
-                splits.append({"shard": first, "dim": dim, "low": node[f"low{dim}"], "high": node[f"high{dim}"], "bytes": node["bytes"], "share": share})
-        if not splits:
+    spreads = F.array(*[(F.col(f"high{i}") - F.col(f"low{i}")) / float((whole[f"high{i}"] or 0) - (whole[f"low{i}"] or 0) or 1) for i in range(n)])
+    of = lambda what: F.get(F.array(*[F.col(f"{what}{i}") for i in range(n)]), F.col("s_dim"))
+    half = F.floor(F.col("k") / 2).cast("int")
+    items, items_at = kept(items)
+    leaves, leaves_at = kept(leaves.withColumns({"node": F.lit(0), "k": F.lit(count)}))
+    for _ in range((count - 1).bit_length() if whole["bytes"] else 0):
+        first = F.col("leaf") < F.col("node") + half
+        rooms = leaves.where("k > 1").groupBy("node", "k").agg(F.sum("room").alias("all"), F.sum(F.when(first, F.col("room")).otherwise(0.0)).alias("part"))
+        nodes = items.groupBy("shard").agg(F.sum("size").alias("bytes"), *bounds).join(rooms, F.col("shard") == F.col("node"))
+        share = F.when(F.col("all") > 0, F.col("part") / F.col("all")).otherwise(half / F.col("k"))
+        nodes = nodes.withColumn("s_dim", (F.array_position(spreads, F.array_max(spreads)) - 1).cast("int"))
+        splits = cut(nodes.select(F.col("node").alias("s"), "s_dim", of("low").alias("s_low"), of("high").alias("s_high"), "bytes", (F.col("bytes") * share).alias("want"), half.alias("s_add")))
+        n_splits = splits.count()
+        if not n_splits:
             break
-        medians = _medians(items, splits, n)
-        table = [{"s": x["shard"], "s_dim": x["dim"], "s_low": x["low"], "s_high": x["high"], "s_at": medians[x["shard"]], "s_add": leaves[x["shard"]] // 2} for x in splits]
-        at = _sent(_table(items.sparkSession, table, "s:int,s_dim:int,s_low:double,s_high:double,s_at:bigint,s_add:int"), len(table))
-        moved = items.join(at, F.col("shard") == F.col("s"), "left")
-        to = F.col("shard") + F.when(F.col("s").isNotNull() & (_key(n) >= F.col("s_at")), F.col("s_add")).otherwise(0)
-        items = cut(moved.withColumn("shard", to).select(*items.columns))
-        leaves = {s: k for shard, had in leaves.items() for s, k in ([(shard, had // 2), (shard + had // 2, had - had // 2)] if had > 1 else [(shard, had)])}
+        at = splits.join(_medians(items, splits, n_splits, n), "s")
+        moved = items.join(_sent(at, n_splits), F.col("shard") == F.col("s"), "left")
+        to = F.col("shard") + F.when(F.col("s").isNotNull() & (_key(n) > F.col("s_last")), F.col("s_add")).otherwise(0)
+        deeper = leaves.select("leaf", "room", F.when(first, F.col("node")).otherwise(F.col("node") + half).alias("node"), F.when(first, half).otherwise(F.col("k") - half).alias("k"))
+        before = items_at, leaves_at
+        items, items_at = kept(moved.withColumn("shard", to).select(*items.columns))
+        leaves, leaves_at = kept(deeper)
+        for path in before:
+            delete(spark, path)
     return items
