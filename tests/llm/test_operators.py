@@ -157,6 +157,24 @@ def test_sharding_without_the_driver(spark, docs, monkeypatch):
     assert max(abs(x - sum(size.values()) / 5) for x in size.values()) <= max(r["size"] for r in out) + sum(size.values()) / 80
 
 
+def test_many_shards_do_not_reach_the_driver(spark, monkeypatch):
+    """2,000 shards, known to the driver by counts: what it collects does not grow with shards or rows."""
+    df = spark.range(8000).select("id", F.lit(10).alias("size"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    collected, collect = [], type(df).collect
+
+    def counted(self):
+        got = collect(self)
+        collected.append(len(got))
+        return got
+
+    monkeypatch.setattr(sharding, "NODES", 100)
+    monkeypatch.setattr(type(df), "collect", counted)
+    out = sharding.kd_shards(df, F.col("size"), {"x": F.col("x"), "y": F.col("y")}, id_col="id", target_bytes=40)
+    assert max(collected, default=0) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = Counter(r["shard"] for r in collect(out))
+    assert set(sizes) == set(range(2000)) and sum(sizes.values()) == 8000 and 1 <= min(sizes.values()) and max(sizes.values()) <= 8
+
+
 def test_sharding_against_a_plain_tree(spark):
     rnd = random.Random(6)
     items = [(i, rnd.randrange(1, 50), rnd.random(), float(rnd.randrange(9)), "abc"[rnd.randrange(3)] * rnd.randrange(1, 9)) for i in range(700)]
