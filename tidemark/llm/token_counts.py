@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,11 @@ class Merges:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
 
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The rank of each pair by its key, made once for all long sequences of a worker."""
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.n_symbols + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -129,7 +135,7 @@ class Merges:
 
     def count_long(self, symbol: list[int], width: list[int]) -> int:
         """``count`` for one long sequence, where a round for each rank would read it too often: the pairs wait in a heap."""
-        ranks, n = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True)), self.n_symbols
+        ranks, n = self.rank_of, self.n_symbols
         after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
         heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (r := ranks.get(a * n + b)) is not None]  # noqa: B905
         heapq.heapify(heap)
