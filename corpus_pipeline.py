@@ -35,7 +35,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more.
+    """The document of the least id of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more. SimHash fingerprints in
+    multi-index tables find near ones, whole sets verify them, and an exact search finds those whose fingerprints lie farther apart.
 
     Null and empty texts are alike; a document without an id stays only if its group has none with one; rows that repeat an id stay or go together.
     """

@@ -42,7 +42,11 @@ def shingle_hashes(text: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
 
 def fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
     """The SimHash of each text as int64, over its ``shingle``-word shingles."""
-    hashes, counts = shingle_hashes(text, shingle)
+    return majorities(*shingle_hashes(text, shingle))
+
+
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each text's ``counts`` hashes, as int64."""
     at = np.concatenate(([0], np.cumsum(counts)))
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     result = np.zeros(len(counts), dtype=np.uint64)
@@ -76,8 +80,9 @@ def segment(number: int) -> Column:
     return F.shiftrightunsigned("fingerprint", SEGMENT * number).bitwiseAND(F.lit((1 << SEGMENT) - 1))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect exactly the distinct ``prints`` (fingerprint) within 2 differing bits of each other.
+def links(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Edges (u, v) that connect exactly the distinct ``prints`` (fingerprint) within 2 differing bits of each other; with a ``radius`` of 3, which the balls
+    of two segments cover too, also those within 3 bits, but for pairs that only meet in entries of more than BUCKET fingerprints.
 
     Each fingerprint stands in one table a segment, under its segment's value. Its ball of radius 1 in each
     segment is enumerated, the table's matches are fetched, and the complete distance of each is verified. Entries of
@@ -88,7 +93,7 @@ def links(prints: DataFrame) -> DataFrame:
     full = cut(table.groupBy("segment", "value").count().where(F.col("count") > BUCKET).select("segment", "value"))
     asked = table.select(F.col("fingerprint").alias("u"), "segment", F.explode(F.transform(F.array(*[F.lit(x) for x in flips(SEGMENT)]), lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
     entries = table.join(small(full), ["segment", "value"], "left_anti").withColumnRenamed("fingerprint", "v")
-    met = asked.join(entries, ["segment", "value"]).select("u", "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+    met = asked.join(entries, ["segment", "value"]).select("u", "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
     if full.isEmpty():
         return met
     dense = table.join(small(full), ["segment", "value"], "left_semi").select("fingerprint").distinct()

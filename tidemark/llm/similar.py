@@ -1,8 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, complete for any threshold (the pipeline's near-dedup).
+"""Near-duplicates by SimHash, and complete for any Jaccard similarity of word shingles (the pipeline's near-dedup).
 
-At similarity 0.8 two 64-bit SimHash fingerprints differ in about ten bits, and no index of segments finds
-all such pairs without comparing a fixed share of all pairs. So candidates come from prefixes of the shingle
-sets in one global order, which two sets of the wanted similarity must share. Parity bitmaps, whose Hamming
+Each text has a 64-bit SimHash fingerprint of its shingles. Fingerprints within RADIUS bits are found by
+multi-index hashing (``simhash.links``), their whole sets verify the similarity, and the components of these links
+are the first groups. At similarity 0.8 fingerprints differ in about ten bits, and no index of segments finds
+all such pairs without comparing a fixed share of all pairs. So an exact search follows between the groups: its candidates
+come from prefixes of the shingle sets in one global order, which two sets of the wanted similarity must share. Parity bitmaps, whose Hamming
 distance is never above the sets' difference, sort most of them out; whole sets verify the rest.
 """
 
@@ -19,9 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.cluster import components, cut, small, without
-from tidemark.llm.simhash import BATCH_BYTES, shingle_hashes
+from tidemark.llm.simhash import BATCH_BYTES, links, majorities, shingle_hashes
 from tidemark.llm.texts import bounded, slices
 
+#: Differing bits of two fingerprints that are looked for.
+RADIUS = 3
 #: One text in SAMPLE (by hash) shows which shingles are common: those in FREQUENT sampled texts, at most COMMON
 #: of them. They only come last in the global order; any order gives the same groups.
 SAMPLE, FREQUENT, COMMON = 32, 3, 100_000
@@ -37,7 +41,10 @@ SLACK = 1e-9
 
 def shingle_sets(text: pa.Array, shingle: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending, as int64."""
-    hashes, counts = shingle_hashes(text, shingle)
+    return _sets(*shingle_hashes(text, shingle))
+
+
+def _sets(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(hashes.view(np.int64), np.cumsum(counts)[:-1])] if len(counts) else []
 
 
@@ -83,7 +90,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Rows (id, node, n, bits, mark, keys), one per row of ``docs``: the name, size and bitmaps of its set of shingles and the set's prefix.
+    """Rows (id, node, fingerprint, n, bits, mark, keys), one per row of ``docs``: the name of its set of shingles, its SimHash, the set's size, bitmaps and prefix.
 
     The order is by hash, frequent shingles last. Sets of similarity t share an element among the first
     n - ceil(t n) + 1 of each.
@@ -104,10 +111,30 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
         return np.concatenate((rare, common[np.sort(by_hash[at[frequent]])[: length - len(rare)]]))
 
     def build(ids: pa.Array, text: pa.Array) -> dict[str, pa.Array]:
-        sets = shingle_sets(text, shingle)
-        return {"id": ids, "node": pa.array([_node(x) for x in sets], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int32()), "bits": _lists([parity(x) for x in sets]), "mark": _lists([parity(x, MARK) for x in sets]), "keys": _lists([prefix(x) for x in sets])}
+        hashes, counts = shingle_hashes(text, shingle)
+        sets = _sets(hashes, counts)
+        return {"id": ids, "node": pa.array([_node(x) for x in sets], pa.int64()), "fingerprint": pa.array(majorities(hashes, counts), pa.int64()), "n": pa.array([len(x) for x in sets], pa.int32()), "bits": _lists([parity(x) for x in sets]), "mark": _lists([parity(x, MARK) for x in sets]), "keys": _lists([prefix(x) for x in sets])}
 
-    return _mapped(docs, id_col, text_col, "id {id}, node bigint, n int, bits array<bigint>, mark array<bigint>, keys array<bigint>", build)
+    return _mapped(docs, id_col, text_col, "id {id}, node bigint, fingerprint bigint, n int, bits array<bigint>, mark array<bigint>, keys array<bigint>", build)
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of ``nodes`` (node, fingerprint) by SimHash: each node with the least one of its fingerprint, and the least ones of fingerprints within RADIUS bits."""
+    prints = cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("nodes")))
+    shared = small(cut(prints.where("nodes > 1").select(F.col("fingerprint").alias("_f"), "least")))
+    equal = nodes.join(shared, F.col("fingerprint") == F.col("_f")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = small(cut(links(prints.select("fingerprint"), RADIUS).select(F.least("u", "v").alias("f"), F.greatest("u", "v").alias("g")).distinct()))
+    for side, name in (("f", "a"), ("g", "b")):
+        near = prints.select(F.col("fingerprint").alias(side), F.col("least").alias(name)).join(near, side)
+    both = equal.union(near.select("a", "b")).where("a != b")
+    return both.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (u, v) that do not lie in one component of ``labels`` (node, label)."""
+    for side in ("u", "v"):
+        pairs = pairs.join(small(labels.select(F.col("node").alias(f"_{side}"), F.col("label").alias(f"label_{side}"))), F.col(side) == F.col(f"_{side}"), "left")
+    return pairs.where("label_u IS NULL OR label_v IS NULL OR label_u != label_v").select("u", "v")
 
 
 def _reachable(n_u, pos_u, n_v, pos_v, similarity: float, least):
@@ -212,7 +239,8 @@ def _open_pairs(met: DataFrame, similarity: float) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: id, component_id, the least id reachable over pairs of at least the similarity.
 
-    Equal sets are one node. The members of each key are first compared with the one before them and with the
+    Equal sets are one node. Nodes of near SimHash fingerprints are compared first; what they link needs no further pairs. Then the members of
+    each key of the prefixes are compared with the one before them and with the
     first, in order of where the key stands in them, so that the least altered copy of a group of near copies
     gathers the others without pairs; then all pairs under a key that are still in different components and whose
     bitmaps are near are compared. No candidate is left out.
@@ -222,7 +250,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     rows = cut(prefixes(docs, id_col, text_col, shingle, similarity).withColumn("row", F.monotonically_increasing_id()))
     ids = cut(rows.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")))
     several = small(cut(ids.where("copies > 1").select(F.col("node").alias("_s"), "first")))
-    nodes = rows.join(several, F.col("node") == F.col("_s"), "left").where("first IS NULL OR first = row").select("node", "n", "bits", "mark", "keys")
+    nodes = rows.join(several, F.col("node") == F.col("_s"), "left").where("first IS NULL OR first = row").select("node", "fingerprint", "n", "bits", "mark", "keys")
+    check = (docs, ids, id_col, text_col, shingle, similarity)
+    by_print = _verified(fingerprint_pairs(nodes), *check)
+    grouped = components(by_print)
+
     table = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     met = cut(table.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("members > 1").drop("members"))
 
@@ -231,19 +263,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     chained = met.withColumns({"leader": F.first(one).over(order), "before": F.lag(one).over(order)})
     chained = chained.select("node", "n", "pos", F.explode(F.array_distinct(F.array("leader", "before"))).alias("a")).where(F.col("a.node") != F.col("node"))
     first = chained.where(_reachable(F.col("a.n"), F.col("a.pos"), F.col("n"), F.col("pos"), similarity, F.least))
-    first = cut(first.select(F.least("a.node", "node").alias("u"), F.greatest("a.node", "node").alias("v")).distinct())
+    first = cut(_between(first.select(F.least("a.node", "node").alias("u"), F.greatest("a.node", "node").alias("v")).distinct(), grouped))
     bits = cut(nodes.select("node", "n", "bits", "mark").join(met.select("node").distinct(), "node", "left_semi"))
-    check = (docs, ids, id_col, text_col, shingle, similarity)
-    links = _verified(_near_bits(first, bits, similarity), *check)
-    labels = components(links)
+    linked = by_print.union(_verified(_near_bits(first, bits, similarity), *check))
+    labels = components(linked)
     marked = met.join(small(labels).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     mixed = marked.groupBy(F.col("key").alias("_k")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("_k")
     marked = marked.join(mixed, F.col("key") == F.col("_k"), "left_semi").join(bits.select(F.col("node").alias("_b"), "mark"), F.col("node") == F.col("_b")).drop("_b")
     rest = cut(_open_pairs(marked, similarity).join(first, ["u", "v"], "left_anti"))
-    labels = components(links.union(_verified(_near_bits(rest, bits, similarity), *check)))
-    linked = cut(ids.join(labels, "node").select("node", "id", "label"))
-    best = linked.groupBy("label").agg(F.min("id").alias("best"))
-    moved = small(cut(linked.join(best, "label").select(F.col("node").alias("_m"), "best")))
+    labels = components(linked.union(_verified(_near_bits(rest, bits, similarity), *check)))
+    named = cut(ids.join(labels, "node").select("node", "id", "label"))
+    best = named.groupBy("label").agg(F.min("id").alias("best"))
+    moved = small(cut(named.join(best, "label").select(F.col("node").alias("_m"), "best")))
     copies = ids.select(F.col("node").alias("_c"), F.col("id").alias("least"))
     out = rows.select("id", "node").join(small(copies), F.col("node") == F.col("_c")).join(moved, F.col("node") == F.col("_m"), "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("_m").isNotNull(), F.col("best")).otherwise(F.col("least")).alias("component_id"))
